@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
 #: Pieces in one generation of a task's cache.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 400_000
+
+#: Ends of words that are a pre-token of their own after letters, and where the Latin letters end.
+MARKS, LATIN_END = ".,;:!?%&*$#|()[]{}<>@^~+=/\\\"_-`", "\u0250"
 
 _BOUNDARY = re.compile(r"(?= \S)")
 
@@ -35,6 +39,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = byte_letters()
+        self.stems: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
         self.limit = cache_pieces
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
@@ -47,10 +54,35 @@ class Encoder:
         again = missing.intersection(self.old)
         for piece in again:
             self.young[piece] = self.old[piece]
-        fresh = list(missing.difference(again))
-        for piece, ids in zip(fresh, self._raw([f" {p}" for p in fresh]), strict=True):
-            # after white space the next space may belong to the same run: such texts take the exact path
-            self.young[piece] = None if not piece or piece[-1].isspace() else ids
+        fresh = missing.difference(again)
+        rest = []
+        for piece in fresh:
+            stem = piece.rstrip(MARKS)
+            if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
+                # letters, then marks: two pre-tokens, the first shared by all words with that stem
+                self.young[piece] = self._stem(stem) + self._tail(piece[len(stem) :])
+            elif piece and not piece[-1].isspace():
+                rest.append(piece)
+            else:  # the next space may belong to the same run of white space: such texts take the exact path
+                self.young[piece] = None
+        if rest:
+            self.young.update(zip(rest, self._raw([f" {p}" for p in rest]), strict=True))
+
+    def _stem(self, stem: str) -> bytes:
+        ids = self.stems.get(stem)
+        if ids is None:
+            if len(self.stems) >= self.limit:
+                self.stems.clear()
+            found = self.tokenizer.model.tokenize(f" {stem}".encode().decode("latin-1").translate(self.letters))
+            ids = self.stems[stem] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
+        return ids
+
+    def _tail(self, tail: str) -> bytes:
+        if tail not in self.tails:
+            if len(self.tails) >= self.limit:
+                self.tails.clear()
+            self.tails[tail] = self._raw([tail])[0] if tail else b""
+        return self.tails[tail]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -65,15 +97,22 @@ class Encoder:
         self._fill(wanted)
         get, out = self.young.__getitem__, []
         for text, head, parts in zip(texts, heads, split, strict=True):
-            if len(parts) == 1:
-                out.append(head)
-                continue
-            found = [head, *map(get, parts[1:])]
-            safe = not parts[0][-1:].isspace() and None not in found
-            out.append(b"".join(found) if safe else b"".join(self._raw(_BOUNDARY.split(text))))
+            try:
+                if parts[0][-1:].isspace() and len(parts) > 1:
+                    raise TypeError
+                out.append(head + b"".join(map(get, parts[1:])))
+            except TypeError:  # a piece that can't be taken alone
+                out.append(b"".join(self._raw(_BOUNDARY.split(text))))
         return out
 
 
+def byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies write each byte: visible Latin-1 characters as they are, the others from U+0100 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
