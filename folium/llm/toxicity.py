@@ -1,11 +1,12 @@
 """Toxicity: gradient-boosted trees over dense features with isotonic calibration.
 
 Features of a text are densities and rates, none its length: hits of a short
-fixed lexicon and of one learned from labelled rows, how near a hit stands to a
+fixed lexicon and of one learned from labelled rows (words, and beginnings of
+words, since insults inflect), how near a hit stands to a
 second-person word, capitals, punctuation, symbols, digits, and words with
 characters swapped for look-alikes. The labelled sample (bounded by a parameter,
-drawn by hash) is split in three: the learned lexicon, the trees, and the
-isotonic calibration each see rows of their own. Everything is scored in Spark.
+drawn by hash) is split in three: one part teaches the lexicon, two the trees,
+which are calibrated on the half they have not seen. Everything is scored in Spark.
 """
 
 from __future__ import annotations
@@ -43,6 +44,13 @@ FEATURES = ("lexicon", "learned", "disguised", "near_second_person", "second_per
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[a-z]+[0-9@$!*]+[a-z][a-z0-9@$!*]*")
 _NEAR = 6
+#: Lengths of the word beginnings that the learned lexicon may hold, and how few openings an entry must be seen in.
+STEMS, LEAST_SEEN = (4, 5, 6), 5
+
+
+def _learned_hits(words: list[str], learned: frozenset[str]) -> int:
+    gate = {w[: STEMS[0]] for w in learned}
+    return sum(1 for w in words if w[: STEMS[0]] in gate and (w in learned or any(w[:k] in learned for k in STEMS if len(w) > k)))
 
 
 def features(text: str | None, learned: frozenset[str]) -> list[float]:
@@ -53,7 +61,7 @@ def features(text: str | None, learned: frozenset[str]) -> list[float]:
         return [0.0] * len(FEATURES)
     n = max(1, len(words))
     hits = [i for i, w in enumerate(words) if w in LEXICON]
-    found = sum(w in learned for w in words)
+    found = _learned_hits(words, learned)
     spoken = [i for i, w in enumerate(words) if w in SECOND_PERSON]
     mixed = _MIXED.findall(lower)
     disguised = sum(bool({m.translate(LOOKALIKES), m.translate(LOOKALIKES).replace(" ", "")} & LEXICON) for m in mixed)
@@ -78,14 +86,16 @@ def _remainder(id_col: str):
 
 
 def learned_lexicon(docs: DataFrame, sample: DataFrame, words: int = LEARNED_WORDS) -> frozenset[str]:
-    """Words that labelled-toxic texts use far more than others, counted over texts with different beginnings."""
+    """Words and beginnings of words that labelled-toxic texts use far more than others, counted over texts with different beginnings."""
     text = docs.join(F.broadcast(sample), "doc_id")  # sample: at most SAMPLE_ROWS rows
-    seen = text.select("toxic", F.xxhash64(F.substring("text", 1, 48)).alias("opening"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1))).alias("word"))
+    seen = text.select("toxic", F.xxhash64(F.substring("text", 1, 48)).alias("opening"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1))).alias("whole"))
+    entries = F.array(F.col("whole"), *(F.when(F.length("whole") > k, F.substring("whole", 1, k)) for k in STEMS))
+    seen = seen.select("toxic", "opening", F.explode(F.array_compact(entries)).alias("word"))
     per = seen.groupBy("word", "opening").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     totals = sample.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = (totals["bad"] or 0) + 1, (totals["good"] or 0) + 1
     odds = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
-    kept = per.where("bad >= 5").withColumn("odds", odds).where("odds >= 3").orderBy(F.desc("odds"), F.desc("bad"), "word").limit(words)
+    kept = per.where(F.col("bad") >= LEAST_SEEN).withColumn("odds", odds).where("odds >= 3").orderBy(F.desc("odds"), F.desc("bad"), "word").limit(words)
     return frozenset(x["word"] for x in kept.select("word").collect())
 
 
@@ -124,10 +134,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         scored = table.select("doc_id", held_out, F.least(F.lit(1.0), F.col("f")[0] * 50).alias("score"))
     else:
         rows = table.join(F.broadcast(sample), "doc_id").select("part", "toxic", array_to_vector("f").alias("features"))
-        trees = GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=5).fit(rows.where("part = 1").coalesce(1))
-        raw = lambda df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
-        curve = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="calibrated").fit(raw(rows.where("part = 2").coalesce(1)).select("raw", "toxic"))
-        full = curve.transform(raw(table.select("doc_id", array_to_vector("f").alias("features"))).select("doc_id", "raw"))
+        rows = materialize(rows.coalesce(1), "toxicity-training")  # at most sample_rows rows
+        fit = lambda df: GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=3).fit(df)
+        raw = lambda trees, df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
+        one, two = rows.where("part = 1"), rows.where("part = 2")
+        # each half is scored by the trees of the other, so the curve sees no row its trees have seen
+        unseen = raw(fit(one), two).unionByName(raw(fit(two), one)).select("raw", "toxic")
+        curve = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="calibrated").fit(unseen)
+        trees = fit(rows.where("part > 0"))
+        full = curve.transform(raw(trees, table.select("doc_id", array_to_vector("f").alias("features"))).select("doc_id", "raw"))
         # isotonic steps leave ties: the trees' own order breaks them by at most a hundredth
         scored = full.select("doc_id", held_out, (0.99 * F.col("calibrated") + 0.01 * F.col("raw")).alias("score"))
     return scored.select("doc_id", "held_out", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
