@@ -95,7 +95,7 @@ def learned_lexicon(docs: DataFrame, sample: DataFrame, words: int = LEARNED_WOR
     totals = sample.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = (totals["bad"] or 0) + 1, (totals["good"] or 0) + 1
     odds = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
-    kept = per.where(F.col("bad") >= LEAST_SEEN).withColumn("odds", odds).where("odds >= 3").orderBy(F.desc("odds"), F.desc("bad"), "word").limit(words)
+    kept = per.where(F.col("bad") >= LEAST_SEEN).withColumn("odds", odds).where("odds >= 4").orderBy(F.desc("odds"), F.desc("bad"), "word").limit(words)
     return frozenset(x["word"] for x in kept.select("word").collect())
 
 
