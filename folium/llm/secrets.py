@@ -38,15 +38,21 @@ ENCODINGS = (
 _BIN, _BINS = 0.1, 3000
 
 
-def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(uid, doc_id, g0, f0, ..): per kind the lengths of the gaps before each match and the matches; null where there are none."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    columns = [F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("doc_id")]
+def _holds(text: Column) -> Column:
+    """Whether any kind of match occurs."""
+    found = F.lit(False)
+    for _, pattern in KINDS:
+        found = found | text.rlike(pattern)
+    return found
+
+
+def _marked(docs: DataFrame, text_col: str) -> DataFrame:
+    """The rows with matches, under a key `uid`, with g0, f0, ..: per kind the lengths of the gaps before each match and the matches."""
+    text = F.col(text_col).cast("string")
+    columns = [F.monotonically_increasing_id().alias("uid"), F.struct(*docs.columns).alias("row"), text.alias("text")]
     for i, (_, pattern) in enumerate(KINDS):
-        hit = text.rlike(pattern)
-        columns.append(F.when(hit, F.transform(F.split(text, pattern, -1), F.length)).alias(f"g{i}"))
-        columns.append(F.when(hit, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias(f"f{i}"))
-    return docs.select(*columns)
+        columns += [F.transform(F.split(text, pattern, -1), F.length).alias(f"g{i}"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias(f"f{i}")]
+    return materialize(docs.where(_holds(text)).select(*columns), "secret-matches")
 
 
 def _spans(marked: DataFrame) -> DataFrame:
@@ -125,6 +131,13 @@ def _random(tokens: DataFrame) -> DataFrame:
     return kept.select("uid", "kind", "value", "start", "end")
 
 
+def _found(marked: DataFrame) -> DataFrame:
+    """(uid, kind, value, start, end): base spans that hold and the tokens kept as random."""
+    spans = materialize(_spans(marked), "secret-spans")
+    base = spans.where("kind < 3").where((F.col("kind") > 0) | (F.length(F.regexp_extract("value", ASSIGN, 2)) >= LEAST_VALUE))
+    return base.unionByName(_random(spans.where("kind = 3")))
+
+
 def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_random): one row per row of docs.
 
@@ -133,31 +146,37 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     have zeros, the checksum of the empty string and no spans. Rows of equal or
     null doc_id keep their own finds.
     """
-    marked = materialize(_marked(docs, id_col, text_col), "secret-matches")
-    spans = materialize(_spans(marked), "secret-spans")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    marked = _marked(docs, "text")
     names = F.element_at(F.array(*(F.lit(n) for n, _ in KINDS)), F.col("kind") + 1)
-    base = spans.where("kind < 3").where((F.col("kind") > 0) | (F.length(F.regexp_extract("value", ASSIGN, 2)) >= LEAST_VALUE))
-    found = base.unionByName(_random(spans.where("kind = 3")))
     label = F.concat_ws(":", names, "start", "end").alias("label")
-    gathered = found.groupBy("uid").agg(
+    gathered = _found(marked).groupBy("uid").agg(
         *(F.count_if(F.col("kind") == i).alias(f"n_{n}") for i, (n, _) in enumerate(KINDS)),
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", label))).alias("all"),
     )
     joined = lambda array: F.concat_ws(",", F.transform(array, lambda x: x["label"]))
     per = gathered.withColumns({"spans": joined(F.col("all")), "base": joined(F.filter("all", lambda x: x["kind"] < 3))}).drop("all")
-    out = marked.select("uid", "doc_id").join(per, "uid", "left")
+    clean = docs.where(~F.coalesce(_holds(F.col("text")), F.lit(False))).select(F.lit(None).cast("long").alias("uid"), "doc_id")
+    hit = marked.select("uid", "row.doc_id").join(per, "uid", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    out = clean.unionByName(hit, allowMissingColumns=True)
     return out.select("doc_id", zero("n_assign"), zero("n_access"), zero("n_hex"), F.sha2(empty("base"), 256).alias("base_sha256"), empty("spans").alias("spans"), zero("n_random"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every base match and every token that could be a secret's value replaced by its kind in brackets.
+def redact(docs: DataFrame, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """docs with every found span, overlapping ones as one, replaced by the mark; other columns and rows stay, null texts stay null."""
+    marked = _marked(docs, text_col)
+    spans = _found(marked).groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    text = F.col("text")
+    cut = lambda a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
 
-    All other columns stay as they are; null texts stay null.
-    """
-    text = F.col(text_col)
-    text = F.regexp_replace(text, ACCESS, "[access]")
-    text = F.regexp_replace(text, HEX, "[hex]")
-    value = ASSIGN.replace("([A-Za-z0-9+/_.=-]+)", f"([A-Za-z0-9+/_.=-]{{{LEAST_VALUE},}})")
-    return docs.withColumn(text_col, F.regexp_replace(text, value, "$1=[secret]"))
+    def step(state: Column, span: Column) -> Column:
+        new = span["start"] >= state["at"]
+        out = F.when(new, F.concat(state["out"], cut(state["at"], span["start"]), F.lit(mark))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], span["end"]).alias("at"), out.alias("out"))
+
+    folded = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substr(text, (s["at"] + 1).cast("int"))))
+    changed = marked.join(spans, "uid", "left").withColumn("new", F.when(F.col("spans").isNotNull(), folded).otherwise(text))
+    hit = changed.select(*(F.col("new").alias(c) if c == text_col else F.col(f"row.{c}").alias(c) for c in docs.columns))
+    return docs.where(~F.coalesce(_holds(F.col(text_col).cast("string")), F.lit(False))).unionByName(hit)

@@ -30,6 +30,8 @@ from folium.llm.tokens import default_tokenizer, encoder
 #: Ids after which a block of whole documents is closed.
 BLOCK_IDS = 1 << 16
 
+_TOKENS = ["doc_id", "n", "blob", "counts"]
+
 _LENGTHS = np.array([[(c >> 2 * i & 3) + 1 for i in range(4)] for c in range(256)], np.uint8)
 _BYTE = np.arange(4, dtype=np.uint8)
 
@@ -52,19 +54,26 @@ def unpack_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, n, blob): ids of each document with the end id, zstandard over their two- or four-byte form."""
+    """(doc_id, n, blob, counts): ids of each document with the end id, zstandard over their two- or four-byte form.
+
+    The last row of a task has no document but the task's counts of each id.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, squeeze = encoder(tokenizer).encode, zstandard.ZstdCompressor(level=1).compress
-        end = np.array([end_id], "<u4").tobytes()
+        end, counts = np.array([end_id], "<u4").tobytes(), np.zeros(1, np.int64)
         for batch in batches:
             (texts,) = batch_columns(batch, "text")
             ids = [np.frombuffer(x + end, "<u4") for x in encode([t or "" for t in texts])]
             blobs = [squeeze(_narrow(x)) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array(blobs, pa.binary())], ["doc_id", "n", "blob"])
+            seen = np.bincount(np.concatenate(ids)) if ids else counts[:0]
+            counts = np.pad(counts, (0, max(0, len(seen) - len(counts))))
+            counts[: len(seen)] += seen
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(ids), pa.binary())], _TOKENS)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], _TOKENS)
 
     ready = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return ready.mapInArrow(run, "doc_id long, n int, blob binary")
+    return ready.mapInArrow(run, "doc_id long, n int, blob binary, counts binary")
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -78,20 +87,17 @@ def _widen(raw: bytes) -> np.ndarray:
 
 
 def frequencies(tokens: DataFrame) -> DataFrame:
-    """(id, count) over all documents: counted in each task, then summed."""
+    """(id, count) over all documents: the tasks' counts, summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, expand = np.zeros(1, np.int64), zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                seen = np.bincount(_widen(expand(blob)))
-                if len(seen) > len(counts):
-                    counts = np.pad(counts, (0, len(seen) - len(counts)))
-                counts[: len(seen)] += seen
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts[ids])], ["id", "count"])
+            for raw in batch.column(0).to_pylist():
+                counts = np.frombuffer(raw, np.int64)
+                ids = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(counts[ids])], ["id", "count"])
 
-    return tokens.select("blob").mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    held = tokens.where("counts is not null").select("counts")
+    return held.mapInArrow(run, "id int, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", *, tokenizer: str | None = None, end_id: int = 2, partitions: int | None = None) -> None:
@@ -136,7 +142,7 @@ def write_token_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_c
             yield close()
 
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.withColumn("h", F.xxhash64("blob")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "blob")
+    ordered = tokens.where("counts is null").withColumn("h", F.xxhash64("blob")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "blob")
     ordered.mapInArrow(run, _BLOCKS_DDL).write.option("compression", "zstd").parquet(f"{path}/blocks")
 
 

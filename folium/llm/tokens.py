@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -30,6 +31,22 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Generations(dict):
+    """A cache of what `make` gives, bounded to two generations; entries used again live on in the younger one."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        value = self.older[key] if key in self.older else self.make(key)
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to encode(text, add_special_tokens=False)."""
 
@@ -43,30 +60,17 @@ class Encoder:
         self.stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.limit = cache_pieces
-        self.young: dict[str, bytes | None] = {}
-        self.old: dict[str, bytes | None] = {}
-
-    def _fill(self, wanted: set[str]) -> None:
-        """Put every wanted piece (a run without spaces, taken with one space before it) into the young generation."""
-        if len(self.young) + len(wanted) > self.limit:
-            self.old, self.young = self.young, {}
-        missing = wanted.difference(self.young)
-        again = missing.intersection(self.old)
-        for piece in again:
-            self.young[piece] = self.old[piece]
-        fresh = missing.difference(again)
-        rest = []
-        for piece in fresh:
-            stem = piece.rstrip(MARKS)
-            if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
-                # letters, then marks: two pre-tokens, the first shared by all words with that stem
-                self.young[piece] = self._stem(stem) + self._tail(piece[len(stem) :])
-            elif piece and not piece[-1].isspace():
-                rest.append(piece)
-            else:  # the next space may belong to the same run of white space: such texts take the exact path
-                self.young[piece] = None
-        if rest:
-            self.young.update(zip(rest, self._raw([f" {p}" for p in rest]), strict=True))
+        self.pieces = Generations(self.piece, cache_pieces)
+
+    def piece(self, piece: str) -> bytes | None:
+        """Ids of a run without spaces, taken with one space before it; None where it can't be taken alone."""
+        stem = piece.rstrip(MARKS)
+        if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
+            # letters, then marks: two pre-tokens, the first shared by all words with that stem
+            return self._stem(stem) + self._tail(piece[len(stem) :])
+        if not piece or piece[-1].isspace():
+            return None  # the next space may belong to the same run of white space: such texts take the exact path
+        return self._raw([f" {piece}"])[0]
 
     def _stem(self, stem: str) -> bytes:
         ids = self.stems.get(stem)
@@ -91,11 +95,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
         heads = self._raw([parts[0] for parts in split])
-        wanted: set[str] = set()
-        for parts in split:
-            wanted.update(parts[1:])
-        self._fill(wanted)
-        get, out = self.young.__getitem__, []
+        get, out = self.pieces.__getitem__, []
         for text, head, parts in zip(texts, heads, split, strict=True):
             try:
                 if parts[0][-1:].isspace() and len(parts) > 1:
