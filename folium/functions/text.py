@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 #: Months of long-form dates.
 MONTHS = ("janeiro", "fevereiro", "março", "abril", "maio", "junho", "julho", "agosto", "setembro", "outubro", "novembro", "dezembro")
@@ -85,8 +86,8 @@ def drop_glyph_lines(c: Column, max_ratio: float = 0.3) -> Column:
 def repair_lines(c: Column, drop: Sequence[str], replacements: Sequence[tuple[str, str]]) -> Column:
     """Drop lines matching any pattern, then replace literally."""
     kept = lines(c)
-    for p in drop:
-        kept = F.filter(kept, lambda x, p=p: ~x.rlike(p))
+    if drop:
+        kept = F.filter(kept, lambda x: ~x.rlike("|".join(f"(?:{p})" for p in drop)))
     c = F.array_join(kept, "\n")
     for a, b in replacements:
         c = F.replace(c, F.lit(a), F.lit(b))
@@ -278,7 +279,7 @@ def title_case_name(c: Column) -> Column:
     return F.when(F.upper(c) == c, F.array_join(cased, " ")).otherwise(c)
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_text(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without marks, lower case, single spaces; null stays null."""
     return s.map(lambda t: " ".join("".join(ch for ch in unicodedata.normalize("NFKD", t) if not unicodedata.combining(ch)).lower().split()), na_action="ignore")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from folium.functions.text import CONNECTIVES, MONTHS, fold_text
 
@@ -18,7 +19,7 @@ CONFIDENCE = ("alta", "media", "baixa")
 
 _NAME_WORD = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’-]+"
 _NAMES = re.compile(rf"{_NAME_WORD}(?:\s+(?:(?:{'|'.join(CONNECTIVES)})\s+)?{_NAME_WORD})+")
-NAME_STRUCT = "array<struct<name:string,start:int,end:int>>"
+NAME_STRUCT = ArrayType(StructType([StructField("name", StringType()), StructField("start", IntegerType()), StructField("end", IntegerType())]))
 WINDOW_STRUCT = "array<struct<start:int,end:int,term:string,window:string,at:int>>"
 
 

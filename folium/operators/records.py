@@ -89,10 +89,13 @@ def numbered_items(chunks: DataFrame, item: str = r"^(\d{2,3})\)\s+(.+)$", refer
 
 
 def spreadsheet_records(chunks: DataFrame, least: int = 10) -> DataFrame:
-    """(source, number, name, birth, state, sex, year): records of a table dump, fields picked by their shape."""
+    """(source, number, name, birth, state, sex, year): records of a table dump, fields picked by their shape.
+
+    A record starts at a number of at most three digits (four are a year) before a capitalised line.
+    """
     w = Window.partitionBy("source").orderBy("page_first", "ordinal", "line_no")
     each = _segments(chunks, F.lit(False)).where("line <> ''").withColumn("next", F.lead("line").over(w))
-    start = F.col("line").rlike(r"^\d{1,4}$") & F.col("next").rlike(r"^\p{Lu}\p{L}")
+    start = F.col("line").rlike(r"^\d{1,3}$") & F.col("next").rlike(r"^\p{Lu}\p{L}")
     marked = each.withColumn("record", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("record > 0")
     per = marked.groupBy("source", "record").agg(F.array_sort(F.collect_list(F.struct("page_first", "ordinal", "line_no", "line"))).alias("l")).withColumn("f", F.transform("l", lambda x: x["line"])).where(F.size("f") >= least)
     pick = lambda p: F.get(F.filter("f", lambda x: x.rlike(p)), F.lit(0))
