@@ -56,11 +56,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.letters = byte_letters()
+        self.model, self.letters = self.tokenizer.model, byte_letters()
         self.stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.limit = cache_pieces
         self.pieces = Generations(self.piece, cache_pieces)
+        self.heads = Generations(self.head, cache_pieces // 8)
 
     def piece(self, piece: str) -> bytes | None:
         """Ids of a run without spaces, taken with one space before it; None where it can't be taken alone."""
@@ -72,12 +73,21 @@ class Encoder:
             return None  # the next space may belong to the same run of white space: such texts take the exact path
         return self._raw([f" {piece}"])[0]
 
+    def release(self) -> None:
+        """Give the caches' memory back, for workers that other stages use next."""
+        for cache in (self.pieces, self.pieces.older, self.heads, self.heads.older, self.stems, self.tails):
+            cache.clear()
+
+    def head(self, piece: str) -> bytes:
+        """Ids of a run without spaces at the start of a text."""
+        return self._raw([piece])[0]
+
     def _stem(self, stem: str) -> bytes:
         ids = self.stems.get(stem)
         if ids is None:
             if len(self.stems) >= self.limit:
                 self.stems.clear()
-            found = self.tokenizer.model.tokenize(f" {stem}".encode().decode("latin-1").translate(self.letters))
+            found = self.model.tokenize(f" {stem}".encode().decode("latin-1").translate(self.letters))
             ids = self.stems[stem] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         return ids
 
@@ -94,7 +104,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.split(" ") for t in texts]
-        heads = self._raw([parts[0] for parts in split])
+        heads = [self.heads[parts[0]] for parts in split]
         get, out = self.pieces.__getitem__, []
         for text, head, parts in zip(texts, heads, split, strict=True):
             try:
