@@ -72,40 +72,43 @@ def _two_sided(z: Column) -> Column:
     return F.lit(2.0) / (F.lit(1.0) + F.exp(1.5976 * a + 0.07056 * a * a * a))
 
 
-def battery(value: Column) -> dict[str, Column]:
-    """p_random (small: not random) and p_word (small: not an ordinary word) of a token."""
-    core = F.regexp_replace(value, "=+$", "")
-    alphabet = F.coalesce(*(F.when(value.rlike(p), F.lit(a)) for a, p in ENCODINGS))
-    k, n = F.length(alphabet).cast("double"), F.length(core).cast("double")
-    chars = F.filter(F.split(core, ""), lambda c: c != "")
-    counts = F.transform(F.array_distinct(chars), lambda c: (F.length(core) - F.length(F.replace(core, c, F.lit("")))).cast("double"))
+def battery(tokens: DataFrame) -> DataFrame:
+    """tokens(value) with p_random (small: not random) and strength (-log10 of the chance as an ordinary word).
+
+    Steps stand in columns of their own, so that each is computed once a token.
+    """
     total = lambda array: F.aggregate(array, F.lit(0.0), lambda a, x: a + x)
-    chi = k / n * total(F.transform(counts, lambda c: c * c)) - n
-    df = k - 1
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
-    p_chi = F.when(z_chi > 0, _two_sided(z_chi) / 2).otherwise(1 - _two_sided(z_chi) / 2)
-    codes = F.transform(chars, lambda c: F.position(c, alphabet).cast("double") - 1)
     tail = lambda a: F.slice(a, F.lit(2), F.greatest(F.size(a) - 1, F.lit(0)))
     front = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
-    mean = total(codes) / n
-    off = F.transform(codes, lambda c: c - mean)
-    power = total(F.transform(off, lambda x: x * x))
-    serial = total(F.zip_with(front(off), tail(off), lambda a, b: a * b)) / F.greatest(power, F.lit(1e-9))
-    high = F.transform(codes, lambda c: F.when(c * 2 >= k, 1.0).otherwise(0.0))
-    n1 = total(high)
-    n2 = n - n1
-    runs = 1 + total(F.zip_with(front(high), tail(high), lambda a, b: F.abs(a - b)))
-    mu = 2 * n1 * n2 / n + 1
-    z_runs = (runs - mu) / F.sqrt(F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(1e-9)))
-    ps = F.array_sort(F.array(p_chi, _two_sided(z_runs), _two_sided(serial * F.sqrt(n))))
-    kind = F.filter(F.split(F.translate(core, *_CLASSES), ""), lambda c: c != "")
-    changes = total(F.zip_with(front(kind), tail(kind), lambda a, b: F.when(a != b, 1.0).otherwise(0.0)))
-    rate = F.least(changes / (n - 1), F.lit(1 - 1e-9))
+    split = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    alphabet = F.coalesce(*(F.when(F.col("value").rlike(p), F.lit(a)) for a, p in ENCODINGS))
+    t = tokens.withColumns({"core": F.regexp_replace("value", "=+$", ""), "alphabet": alphabet})
+    t = t.withColumns({"k": F.length("alphabet").cast("double"), "n": F.greatest(F.length("core"), F.lit(2)).cast("double"), "chars": split(F.col("core")), "classes": split(F.translate("core", *_CLASSES))})
+    core, k, n = F.col("core"), F.col("k"), F.col("n")
+    t = t.withColumns({
+        "counts": F.transform(F.array_distinct("chars"), lambda c: (F.length(core) - F.length(F.replace(core, c, F.lit("")))).cast("double")),
+        "codes": F.transform("chars", lambda c: F.position(c, F.col("alphabet")).cast("double") - 1),
+        "changes": total(F.zip_with(front(F.col("classes")), tail(F.col("classes")), lambda a, b: F.when(a != b, 1.0).otherwise(0.0))),
+    })
+    t = t.withColumns({"chi": k / n * total(F.transform("counts", lambda c: c * c)) - n, "mean": total(F.col("codes")) / n, "high": F.transform("codes", lambda c: F.when(c * 2 >= k, 1.0).otherwise(0.0))})
+    t = t.withColumns({"off": F.transform("codes", lambda c: c - F.col("mean")), "n1": total(F.col("high")), "runs": 1 + total(F.zip_with(front(F.col("high")), tail(F.col("high")), lambda a, b: F.abs(a - b)))})
+    df, n1 = k - 1, F.col("n1")
+    power = total(F.transform("off", lambda x: x * x))
+    serial = total(F.zip_with(front(F.col("off")), tail(F.col("off")), lambda a, b: a * b)) / F.greatest(power, F.lit(1e-9))
+    mu = 2 * n1 * (n - n1) / n + 1
+    t = t.withColumns({
+        "z_chi": (F.pow(F.greatest(F.col("chi"), F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)),
+        "z_runs": (F.col("runs") - mu) / F.sqrt(F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(1e-9))),
+        "z_serial": serial * F.sqrt(n),
+        "rate": F.least(F.col("changes") / (n - 1), F.lit(1 - 1e-9)),
+    })
+    upper = _two_sided(F.col("z_chi")) / 2
+    t = t.withColumn("ps", F.array_sort(F.array(F.when(F.col("z_chi") > 0, upper).otherwise(1 - upper), _two_sided(F.col("z_runs")), _two_sided(F.col("z_serial")))))
+    rate, ps = F.col("rate"), F.col("ps")
     kl = rate * F.log(F.greatest(rate, F.lit(1e-9)) / WORD_CHANGES) + (1 - rate) * F.log((1 - rate) / (1 - WORD_CHANGES))
-    return {
-        "p_random": F.least(ps[0] * 3, ps[1] * 1.5, ps[2]),
-        "strength": F.when(rate > WORD_CHANGES, (n - 1) * kl / F.log(F.lit(10.0))).otherwise(F.lit(0.0)),
-    }
+    p_random = F.least(ps[0] * 3, ps[1] * 1.5, ps[2])
+    strength = F.when(rate > WORD_CHANGES, (n - 1) * kl / F.log(F.lit(10.0))).otherwise(F.lit(0.0))
+    return t.select(*tokens.columns, p_random.alias("p_random"), strength.alias("strength"))
 
 
 _CLASSES = (
@@ -116,12 +119,11 @@ _CLASSES = (
 
 def _random(tokens: DataFrame) -> DataFrame:
     """The tokens that are kept as random strings: (uid, kind, value, start, end)."""
-    length = F.length("value")
-    band = sum((F.when(length >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
-    tests = battery(F.col("value"))
-    tested = tokens.withColumn("band", band).withColumns(tests)
-    # strength is -log10 of p_word; its bin's lower edge gives the larger p
-    tested = materialize(tested.withColumn("bin", F.least(F.floor(F.col("strength") / _BIN), F.lit(_BINS)).cast("int")), "secret-tokens")
+    band = sum((F.when(F.length("value") >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
+    # equal tokens are tested once, dealt out by value; strength is -log10 of p_word, its bin's lower edge the larger p
+    dealt = tokens.select("value").distinct().repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    scored = battery(dealt).withColumns({"band": band, "bin": F.least(F.floor(F.col("strength") / _BIN), F.lit(_BINS)).cast("int")})
+    tested = materialize(tokens.join(scored.select("value", "band", "bin", "p_random"), "value"), "secret-tokens")
     bins = tested.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n"))
     down = Window.partitionBy("band").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = bins.withColumn("above", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy("band")))

@@ -122,6 +122,11 @@ def test_secret_base_spans(spark, table):
         assert hashlib.sha256(",".join(s for s in spans if not s.startswith("random")).encode()).hexdigest() == r.base_sha256
 
 
+def test_secret_battery_on_degenerate_tokens(spark):
+    df = spark.createDataFrame([(1, "=" * 30), (2, "a" + "=" * 25), (3, "-" * 40), (4, "_" * 20 + "+/=")], "doc_id long, text string")
+    assert [r.n_random for r in secrets.secrets(df).collect()] == [0] * 4
+
+
 def test_secret_battery(spark):
     rng = random.Random(3)
     b64 = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40))
