@@ -17,7 +17,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Pieces in one generation of a task's cache.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 
 #: Ends of words that are a pre-token of their own after letters, and where the Latin letters end.
 MARKS, LATIN_END = ".,;:!?%&*$#|()[]{}<>@^~+=/\\\"_-`", "\u0250"
@@ -57,45 +57,50 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.stems: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.limit = cache_pieces
         self.pieces = Generations(self.piece, cache_pieces)
         self.heads = Generations(self.head, cache_pieces // 8)
+        self.line_feed = self._raw(["\n"])[0]
 
     def piece(self, piece: str) -> bytes | None:
         """Ids of a run without spaces, taken with one space before it; None where it can't be taken alone."""
-        stem = piece.rstrip(MARKS)
-        if stem.isalpha() and (stem.isascii() or max(stem) < LATIN_END):
-            # letters, then marks: two pre-tokens, the first shared by all words with that stem
-            return self._stem(stem) + self._tail(piece[len(stem) :])
+        found = self._word(piece, " ", self.pieces)
+        if found is not None:
+            return found
         if not piece or piece[-1].isspace():
             return None  # the next space may belong to the same run of white space: such texts take the exact path
+        if "\n" in piece and all(part.split() == [part] for part in piece.split("\n")):
+            # single line feeds between visible characters are pre-tokens of their own, and no space comes after them
+            first, *others = piece.split("\n")
+            return self.pieces[first] + b"".join(self.line_feed + self.heads[part] for part in others)
         return self._raw([f" {piece}"])[0]
 
     def release(self) -> None:
         """Give the caches' memory back, for workers that other stages use next."""
-        for cache in (self.pieces, self.pieces.older, self.heads, self.heads.older, self.stems, self.tails):
+        for cache in (self.pieces, self.pieces.older, self.heads, self.heads.older, self.tails):
             cache.clear()
 
     def head(self, piece: str) -> bytes:
-        """Ids of a run without spaces at the start of a text."""
-        return self._raw([piece])[0]
-
-    def _stem(self, stem: str) -> bytes:
-        ids = self.stems.get(stem)
-        if ids is None:
-            if len(self.stems) >= self.limit:
-                self.stems.clear()
-            found = self.model.tokenize(f" {stem}".encode().decode("latin-1").translate(self.letters))
-            ids = self.stems[stem] = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-        return ids
+        """Ids of a run without spaces at the start of a text or of a line."""
+        found = self._word(piece, "", self.heads)
+        return self._raw([piece])[0] if found is None else found
+
+    def _word(self, piece: str, before: str, known: Generations) -> bytes | None:
+        """Ids of letters, then marks: two pre-tokens, the first shared by all words with that stem. None for other pieces."""
+        stem = piece.rstrip(MARKS)
+        if not stem.isalpha() or not (stem.isascii() or max(stem) < LATIN_END):
+            return None
+        if stem != piece:
+            return known[stem] + self._tail(piece[len(stem) :])
+        found = self.model.tokenize(f"{before}{stem}".encode().decode("latin-1").translate(self.letters))
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found])
 
     def _tail(self, tail: str) -> bytes:
         if tail not in self.tails:
             if len(self.tails) >= self.limit:
                 self.tails.clear()
-            self.tails[tail] = self._raw([tail])[0] if tail else b""
+            self.tails[tail] = self._raw([tail])[0]
         return self.tails[tail]
 
     def _raw(self, texts: list[str]) -> list[bytes]:
