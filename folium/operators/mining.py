@@ -160,7 +160,7 @@ def birth_narrative(pages: DataFrame, state_name: str, other_states: Sequence[st
 
     each = pages.where(F.col("text").contains(state_name)).withColumn("x", F.explode(run("text"))).select("source", "page", "x.*")
     name = nearest_name(proper_names("window"), F.col("start"), F.col("end"), reach)
-    return each.select("source", "page", name.alias("name"), "city", F.col("window").alias("excerpt"), F.when("explicit", "media").otherwise("baixa").alias("confidence")).where("name is not null")
+    return each.select("source", "page", name.alias("name"), "city", F.col("window").alias("excerpt"), F.when(F.col("explicit"), "media").otherwise("baixa").alias("confidence")).where("name is not null")
 
 
 def birth_date(text: Column, position: Column, latest: int = 1980) -> Column:

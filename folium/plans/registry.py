@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.plans import people, serving, texts, vectors
+from folium.plans import details, people, serving, texts, vectors
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**texts.QUERIES, **vectors.QUERIES, **people.QUERIES, **serving.QUERIES}
-ORACLE_SQL: dict[str, str] = {**texts.ORACLE_SQL, **vectors.ORACLE_SQL, **people.ORACLE_SQL, **serving.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**texts.QUERIES, **vectors.QUERIES, **people.QUERIES, **serving.QUERIES, **details.QUERIES}
+ORACLE_SQL: dict[str, str] = {**texts.ORACLE_SQL, **vectors.ORACLE_SQL, **people.ORACLE_SQL, **serving.ORACLE_SQL, **details.ORACLE_SQL}
