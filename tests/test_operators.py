@@ -180,6 +180,10 @@ def test_sources(spark, tmp_path):
     assert files.file_fingerprints(spark, str(tmp_path / "c.json")).first().size == (tmp_path / "c.json").stat().st_size
     whole = files.feature_collection(spark.createDataFrame([(1, '{"type":"Point"}')], "k int, geometry string")).first().collection
     assert json.loads(whole)["features"][0]["properties"] == {"k": 1}
+    rows = spark.createDataFrame([("a", 1, "x\u2028y"), ("b", 2, None)], "source string, ordinal int, text string")
+    files.write_chunks(rows, str(tmp_path / "chunks"))
+    back = spark.read.json(str(tmp_path / "chunks"), schema="ordinal int, text string, source string")
+    assert {(r.source, r.ordinal, r.text) for r in back.collect()} == {("a", 1, "x\u2028y"), ("b", 2, None)}
     for _ in range(2):
         files.replace_source(spark.createDataFrame([("a", 1), ("b", 2)], "source string, n int"), str(tmp_path / "o"))
         files.replace_source(spark.createDataFrame([("a", 3)], "source string, n int"), str(tmp_path / "o"))
