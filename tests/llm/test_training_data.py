@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 
-from folium.llm import flac, html_text, licenses, merge_dropout, packing, secrets, simhash, token_files, tokens, topk, toxicity
+from folium.llm import flac, html_text, jaccard, licenses, merge_dropout, packing, secrets, simhash, token_files, tokens, topk, toxicity
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, uid string, key long, bucket long, fp long"
@@ -86,6 +86,66 @@ def test_anchor_links_are_exact_in_small_cells(spark):
     assert got == plain
 
 
+# ------------------------------------------------------------------ Jaccard similarity
+
+
+def plain_similar(rows):
+    """The smallest doc_id of each row's component over five-word shingle sets, all pairs compared."""
+    sets = []
+    for r in rows:
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in r.text or "").encode().split()
+        sets.append(frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)] if words else []))
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 9 * len(a & b) >= 4 * (len(a) + len(b))):
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        if r.doc_id is not None:
+            least[find(i)] = min(r.doc_id, least.get(find(i), r.doc_id))
+    return [least.get(find(i)) for i in range(len(rows))]
+
+
+def near_copies(spark):
+    """Texts around the least similarity, some of them with a shared half, and chains of near copies."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcde", k=3))
+    shared, rows = [word() for _ in range(60)], []
+    for _ in range(12):
+        words = [word() for _ in range(rng.choice([6, 12, 45, 200]))] + rng.choice([[], shared])
+        for _ in range(9):
+            rows.append(" ".join(words))
+            words = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 25)):
+                words[rng.randrange(len(words))] = word()
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("table", [sample, awkward, empty, near_copies])
+@pytest.mark.parametrize("cell_rows", [2048, 5])
+def test_similar_texts_against_brute_force(spark, table, cell_rows):
+    df = table(spark)
+    rows = df.select("doc_id", "text").collect()
+    want = sorted(str((r.doc_id, c)) for r, c in zip(rows, plain_similar(rows), strict=True))
+    assert sorted(str(tuple(r)) for r in jaccard.near_duplicates(df, cell_rows=cell_rows).collect()) == want
+
+
+def test_pipeline_removes_similar_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted(set(plain_similar(rows)))
+
+
 # ------------------------------------------------------------------ secrets
 
 
