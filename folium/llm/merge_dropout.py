@@ -2,13 +2,14 @@
 
 Merges of a sentencepiece model of the merge type are taken from an agenda, best
 score first. A candidate whose keyed hash falls under the dropout rate is
-skipped, so one text has many segmentations, fixed by seed, variant and place,
-and all decode to the text. With a rate of zero the ids are the model's own.
+skipped, so one text has many segmentations, fixed by seed, variant, document and
+place in the text, and all decode to the text. With a rate of zero the ids are the model's own.
 
 No piece of such a model continues after a space mark or, with one class of
 exceptions that is checked when the model is loaded, joins a letter to a
-punctuation mark, so words and their trailing marks are segmented apart and a
-task keeps a bounded cache of them.
+punctuation mark, so words and their trailing marks are segmented apart. A task
+keeps a bounded cache of words without dropout, each with the merges it takes; an
+occurrence that skips none of these is the cached one, any other is merged anew.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from folium.llm.common import batch_columns, bounded_batches
 from folium.llm.tokens import Generations
 
-#: The share of candidate merges that is skipped, segmentations a word can have in one pass, words cached a worker.
+#: The share of candidate merges that is skipped, passes whose segmentations differ, words cached a worker.
 RATE, VARIANTS, SEED, CACHE_WORDS = 0.1, 2, 42, 400_000
 #: Symbols up to which scanning a list beats a heap.
 SHORT = 48
@@ -63,13 +63,16 @@ class Pieces:
         self.surface = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if special[i] else p.replace(SPACE, " ").encode() for i, p in enumerate(self.names)]
         self.apart = not any(p[i].isalpha() and p[i + 1] in MARKS for p in self.ids for i in range(len(p) - 1))
         self.limit, self.seed, self.variants = int(rate * (_MASK + 1)), seed, variants
-        self.words = [Generations(partial(self._word, variant=v), CACHE_WORDS // 2 // variants) for v in range(variants)]
-        self.stems: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.words = Generations(self._word, CACHE_WORDS // 2)
+        self.stems: dict[str, bytes] = {}
+        self.known = Generations(self._known, CACHE_WORDS // 4)
 
-    def merge(self, word: str, variant: int) -> list[int]:
-        """Ids of a word, its spaces written as marks; a mark that was in the text goes byte by byte."""
-        key = xxhash.xxh64_intdigest(word.encode(), self.seed * self.variants + variant) if self.limit else 0
-        parts = self._short(word, key) if len(word) <= SHORT else self._long(word, key)
+    def merge(self, word: str, key: int = 0, taken: list[int] | None = None) -> list[int]:
+        """Ids of a word, its spaces written as marks; a mark that was in the text goes byte by byte.
+
+        With `taken` nothing is skipped and the merges are added to it.
+        """
+        parts = self._short(word, key, taken) if len(word) <= SHORT else self._long(word, key, taken)
         out: list[int] = []
         for p in parts:
             i = self.ids.get(p)
@@ -80,7 +83,7 @@ class Pieces:
         h = (key ^ (rank * 0x9E3779B97F4A7C15 + place)) * 0xD6E8FEB86659FD93 & _MASK
         return (h ^ h >> 32) * 0xD6E8FEB86659FD93 & _MASK < self.limit
 
-    def _short(self, word: str, key: int) -> list[str]:
+    def _short(self, word: str, key: int, taken: list[int] | None = None) -> list[str]:
         """The agenda of a short word is a list of ranks, scanned for its least."""
         get, none = self.order.get, len(self.order)
         parts, places = list(word), list(range(len(word)))
@@ -90,7 +93,9 @@ class Pieces:
             if rank == none:
                 break
             i = agenda.index(rank)
-            if self.limit and self._skipped(key, rank, places[i]):
+            if taken is not None:
+                taken.append(rank * 0x9E3779B97F4A7C15 + places[i] & _MASK)
+            elif self.limit and self._skipped(key, rank, places[i]):
                 agenda[i] = none
                 continue
             merged = parts[i] + parts.pop(i + 1)
@@ -102,7 +107,7 @@ class Pieces:
                 agenda[i] = get(merged + parts[i + 1], none)
         return parts
 
-    def _long(self, word: str, key: int) -> list[str]:
+    def _long(self, word: str, key: int, taken: list[int] | None = None) -> list[str]:
         """The agenda of a long word is a heap; neighbours are linked by place."""
         parts: list[str | None] = list(word)
         last = len(parts)
@@ -121,7 +126,9 @@ class Pieces:
             a, b = parts[left], parts[right]
             if a is None or b is None or after[left] != right or len(a) + len(b) != size:
                 continue
-            if self.limit and self._skipped(key, rank, left):
+            if taken is not None:
+                taken.append(rank * 0x9E3779B97F4A7C15 + left & _MASK)
+            elif self.limit and self._skipped(key, rank, left):
                 continue
             parts[left], parts[right] = a + b, None
             after[left] = after[right]
@@ -132,23 +139,21 @@ class Pieces:
                 offer(before[left], left)
         return [p for p in parts if p is not None]
 
-    def _word(self, part: str, variant: int) -> bytes | None:
+    def _word(self, part: str) -> bytes | None:
         """Ids of a space and the part that follows it; None for an empty part, whose space belongs to a run."""
         if not part:
             return None
         stem = part.rstrip(MARKS) if self.apart else part
-        ids = self._stem(SPACE + self._guard(stem), variant) if stem and stem[-1].isalpha() and len(stem) < len(part) else None
-        if ids is None:
-            return self._pack(self.merge(SPACE + self._guard(part), variant))
-        return ids + self._stem(part[len(stem) :], variant)
+        if stem and stem[-1].isalpha() and len(stem) < len(part):
+            return self._stem(SPACE + self._guard(stem)) + self._stem(part[len(stem) :])
+        return self._pack(self.merge(SPACE + self._guard(part)))
 
-    def _stem(self, word: str, variant: int) -> bytes:
-        cache = self.stems[variant]
-        ids = cache.get(word)
+    def _stem(self, word: str) -> bytes:
+        ids = self.stems.get(word)
         if ids is None:
-            if len(cache) * self.variants >= CACHE_WORDS:
-                cache.clear()
-            ids = cache[word] = self._pack(self.merge(word, variant))
+            if len(self.stems) >= CACHE_WORDS:
+                self.stems.clear()
+            ids = self.stems[word] = self._pack(self.merge(word))
         return ids
 
     @staticmethod
@@ -160,24 +165,54 @@ class Pieces:
     def _pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str, variant: int = 0) -> bytes:
+    def _marked(self, chunk: str) -> str:
+        """A chunk of the text with its leading spaces written as marks."""
+        part = chunk.lstrip(" ")
+        return SPACE * (len(chunk) - len(part)) + self._guard(part)
+
+    def encode(self, text: str, variant: int = 0, doc_id: int | None = None) -> bytes:
         """Ids as little-endian unsigned 32-bit bytes; the empty text has none."""
         if not text:
             return b""
+        if self.limit:
+            return self._dropped(text, xxhash.xxh64_intdigest(str(doc_id), self.seed * self.variants + variant))
         if "\0" in text:  # rare: NUL stands in for the mark above, so such texts go piece by piece
-            return b"".join(self._plain(c, variant) for c in re.split("(\0)", f" {text}") if c)
-        cache = self.words[variant]
-        parts = text.split(" ")
+            return b"".join(self._plain(c) for c in re.split("(\0)", f" {text}") if c)
         try:
-            ids = b"".join(map(cache.__getitem__, parts))
+            return b"".join(map(self.words.__getitem__, text.split(" ")))
         except TypeError:  # runs of spaces
-            ids = b"".join(self._stem(SPACE * (len(c) - len(c.lstrip(" "))) + self._guard(c.lstrip(" ")), variant) for c in _CHUNK.findall(f" {text}"))
-        return ids
+            return b"".join(self._stem(self._marked(c)) for c in _CHUNK.findall(f" {text}"))
 
-    def _plain(self, chunk: str, variant: int) -> bytes:
+    def _plain(self, chunk: str) -> bytes:
         if chunk == "\0":
             return self._pack([self.bytes[0]])
-        return b"".join(self._stem(SPACE * (len(c) - len(c.lstrip(" "))) + self._guard(c.lstrip(" ")), variant) for c in _CHUNK.findall(chunk))
+        return b"".join(self._stem(self._marked(c)) for c in _CHUNK.findall(chunk))
+
+    def _known(self, chunk: str) -> tuple[list[int], bytes]:
+        """(the merges that a chunk of the text takes without dropout, its ids)."""
+        taken: list[int] = []
+        ids = self._pack(self.merge(self._marked(chunk), taken=taken))
+        return taken, ids
+
+    def _dropped(self, text: str, key: int) -> bytes:
+        """Ids with dropout: a candidate is keyed by the text's key and its place in the text."""
+        known, limit, mask, out, at = self.known, self.limit, _MASK, [], 0
+        for piece in re.split("(\0)", f" {text}") if "\0" in text else (f" {text}",):
+            if piece == "\0":
+                out.append(self._pack([self.bytes[0]]))
+                at += 1
+                continue
+            for chunk in _CHUNK.findall(piece):
+                taken, ids = known[chunk]
+                place = key + at * 0xC2B2AE3D27D4EB4F & mask
+                at += len(chunk)
+                for step in taken:  # as in _skipped
+                    h = (place ^ step) * 0xD6E8FEB86659FD93 & mask
+                    if (h ^ h >> 32) * 0xD6E8FEB86659FD93 & mask < limit:
+                        ids = self._pack(self.merge(self._marked(chunk), place))
+                        break
+                out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         surface = self.surface
@@ -230,7 +265,7 @@ def _each(docs: DataFrame, id_col: str, text_col: str, key: tuple, columns: str,
             doc_ids, texts = batch_columns(batch, "doc_id", "text")
             chosen = [_variant(d, p.seed, p.variants) for d in doc_ids]
             texts = [t or "" for t in texts]
-            ids = [p.encode(t, v) for t, v in zip(texts, chosen, strict=True)]
+            ids = [p.encode(t, v, d) for t, v, d in zip(texts, chosen, doc_ids, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, pa.int32()), *of(p, ids, texts)], names)
 
     ready = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -408,6 +408,28 @@ def test_merge_dropout():
     assert p._short(word, 9) == p._long(word, 9)
 
 
+def test_merge_dropout_by_occurrence():
+    p = merge_dropout.Pieces(merge_dropout.default_model())
+    word, n = " international", 400
+    ids = [p.encode(word[1:], 0, d) for d in range(n)]
+    assert len(set(ids)) > 5 and ids == [p.encode(word[1:], 0, d) for d in range(n)]
+    # in one text: cut into occurrences by what each decodes to
+    seen, at, found = [], "", set()
+    for i in np.frombuffer(p.encode(word[1:] + word * (n - 1), 0, 1), "<u4").tolist():
+        seen, at = [*seen, i], at + p.surface[i].decode()
+        if at == word:
+            found.add(tuple(seen))
+            seen, at = [], ""
+    assert not seen and len(found) > 5
+    # the cached way equals merging each occurrence anew
+    text = "the segmentation of  unusual vocabulary, " * 20
+    plain, at, key = b"", 0, xxhash.xxh64_intdigest("7", 42 * 2 + 1)
+    for chunk in re.findall(r" +[^ ]*|[^ ]+", f" {text}"):
+        plain += p._pack(p.merge(p._marked(chunk), key + at * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
+        at += len(chunk)
+    assert p.encode(text, 1, 7) == plain and p.decode(plain) == text
+
+
 @pytest.mark.parametrize("table", [awkward, empty])
 def test_segmentation_digest(spark, table):
     df = table(spark)
