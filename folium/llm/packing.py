@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import batch_columns, bounded_batches, materialize
+from folium.llm.common import bounded_batches, materialize
 from folium.llm.tokens import default_tokenizer, encoder
 
 CAPACITY, BUCKET_PIECES, MERGE, OPEN_BELOW = 1024, 16_384, 16, 0.97
@@ -108,19 +108,19 @@ def pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_id:
     """(doc_id, piece, start, length, ids_crc32): documents with their end id; the first piece takes the remainder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        encode = encoder(tokenizer).encode_batch
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode([t or "" for t in next(batch_columns(batch, "text"))]), strict=True):
-                ids += end
-                n = len(ids) // 4
-                first = n % capacity or capacity
-                starts = [0, *range(first, n, capacity)]
-                for k, a in enumerate(starts):
-                    b = starts[k + 1] if k + 1 < len(starts) else n
-                    for column, v in zip(out, (doc_id, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])), strict=True):
-                        column.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids, offsets = encode(batch.column(1), end_id)
+            size = np.diff(offsets)
+            count = -(-size // capacity)
+            first = size - (count - 1) * capacity
+            row = np.repeat(np.arange(len(size)), count)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            start = np.where(piece > 0, first[row] + (piece - 1) * capacity, 0)
+            length = np.where(piece > 0, capacity, first[row])
+            at = offsets[row] + start
+            crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
         encoder(tokenizer).release()
 
     ready = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -60,29 +60,24 @@ def _tokenized(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, end_
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, squeeze = encoder(tokenizer).encode, zstandard.ZstdCompressor(level=1).compress
-        end, counts = np.array([end_id], "<u4").tobytes(), np.zeros(1, np.int64)
+        encode, squeeze, counts = encoder(tokenizer).encode_batch, zstandard.ZstdCompressor(level=1).compress, np.zeros(1, np.int64)
         for batch in batches:
-            (texts,) = batch_columns(batch, "text")
-            ids = [np.frombuffer(x + end, "<u4") for x in encode([t or "" for t in texts])]
-            blobs = [squeeze(_narrow(x)) for x in ids]
-            seen = np.bincount(np.concatenate(ids)) if ids else counts[:0]
+            ids, offsets = encode(batch.column(1), end_id)
+            seen = np.bincount(ids)
             counts = np.pad(counts, (0, max(0, len(seen) - len(counts))))
             counts[: len(seen)] += seen
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(len(ids), pa.binary())], _TOKENS)
+            wide = len(seen) > 1 << 16
+            mark, raw = (b"\4", ids) if wide else (b"\2", ids.astype("<u2"))
+            blobs = [squeeze(mark + raw[a:b].tobytes()) for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets).astype(np.int32)), pa.array(blobs, pa.binary()), pa.nulls(len(blobs), pa.binary())], _TOKENS)
         yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], _TOKENS)
 
     ready = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return ready.mapInArrow(run, "doc_id long, n int, blob binary, counts binary")
 
 
-def _narrow(ids: np.ndarray) -> bytes:
-    """Two bytes an id where all fit, else four, after a byte that tells."""
-    wide = bool(len(ids)) and int(ids.max()) > 0xFFFF
-    return (b"\4" + ids.astype("<u4").tobytes()) if wide else (b"\2" + ids.astype("<u2").tobytes())
-
-
 def _widen(raw: bytes) -> np.ndarray:
+    """Ids of two or four bytes, as the first byte tells."""
     return np.frombuffer(raw, "<u4" if raw[0] == 4 else "<u2", offset=1).astype(np.uint32)
 
 

@@ -203,17 +203,26 @@ def test_secret_battery(spark):
 def plain_ids(texts):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_tokenizer())
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(tokens.default_tokenizer())  # as it is: added tokens in a text count as such
     return [np.array([*t.encode(x or "", add_special_tokens=False).ids, 2], "<u4") for x in texts]
 
 
 def test_encoder_equals_library():
     rng = random.Random(4)
-    bits = ["a", "b'", "'s", " ", "  ", "\n", "\t", "1", ".", "é", " \x1c", "　", "<|endoftext|>", "\x85", "Word,", "日本"]
-    texts = ["".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(4000)]
-    got = tokens.Encoder(tokens.default_tokenizer(), cache_pieces=50).encode(texts)
+    bits = ["a", "b'", "'s", " ", "  ", "\n", "\t", "1", ".", "é", " \x1c", "　", "<|endoftext|>", "\x85", "Word,", "日本", "²", "½", "ª", "ɏ", "ɐ", "\xa0", "'ll", "_", "“x”", " — ", "\u0301", "<|", "\0"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(20_000)]
+    # characters of all Latin blocks, and some of any
+    texts += ["".join(chr(rng.choice([rng.randrange(0x250), 32, rng.randrange(0x3000)])) for _ in range(rng.randrange(20))) for _ in range(20_000)]
+    texts += ["x" * 70_000 + " y " * 30_000, "a  b " * 40_000 + "<|endoftext|>"]
+    encoder = tokens.Encoder(tokens.default_tokenizer(), cache_size=50)
+    got = [ids for i in range(0, len(texts), 700) for ids in encoder.encode(texts[i : i + 700])]
     assert all(np.array_equal(np.frombuffer(g, "<u4"), w[:-1]) for g, w in zip(got, plain_ids(texts), strict=True))
+    assert encoder.encode([]) == []
+
+
+def test_encoder_keeps_added_tokens():
+    got = tokens.Encoder(tokens.default_tokenizer()).encode(["x <|endoftext|> y"])
+    assert np.frombuffer(got[0], "<u4").tolist() == [87, 220, 50256, 331]
 
 
 @pytest.mark.parametrize("table", [sample, awkward, empty])
