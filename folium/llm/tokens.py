@@ -14,7 +14,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-from collections.abc import Callable
 from itertools import chain, islice
 
 import numpy as np
@@ -42,22 +41,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Generations(dict):
-    """A cache of what `make` gives, bounded to two generations; entries used again live on in the younger one."""
-
-    def __init__(self, make: Callable, limit: int):
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        value = self.older[key] if key in self.older else self.make(key)
-        self[key] = value
-        return value
-
-
 class Encoder:
     """Ids of texts, equal to encode(text, add_special_tokens=False) of the library."""
 
@@ -166,9 +149,9 @@ class Encoder:
         if end is not None:
             codes = np.insert(codes, np.cumsum(counts), len(sizes) - 1)
             counts = counts + 1
-        per = _gathered(pre_codes, starts, sizes, codes)
+        per = gathered(pre_codes, starts, sizes, codes)
         widths = np.fromiter(map(len, table), np.int64, len(table)) // 4
-        ids = _gathered(np.frombuffer(b"".join(table), "<u4"), np.cumsum(widths) - widths, widths, per)
+        ids = gathered(np.frombuffer(b"".join(table), "<u4"), np.cumsum(widths) - widths, widths, per)
         upto = np.r_[0, np.cumsum(widths[per])]  # ids before each pre-token
         return ids, upto[np.r_[0, np.cumsum(sizes[codes])][np.r_[0, np.cumsum(counts)]]]
 
@@ -178,7 +161,7 @@ class Encoder:
         return [ids[a:b].tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
 
 
-def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """The runs flat[starts[c]:starts[c] + sizes[c]] of all codes c, one after another."""
     after = np.cumsum(sizes[codes])
     out = np.empty(int(after[-1]) if len(after) else 0, flat.dtype)

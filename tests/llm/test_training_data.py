@@ -400,43 +400,68 @@ def test_licenses(spark):
 # ------------------------------------------------------------------ merge-dropout
 
 
-def test_merge_dropout():
+def plain_order(model):
+    ids = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
+    return ids, {x: r for r, x in enumerate(sorted(ids, key=lambda x: (-model.get_score(ids[x]), ids[x])))}
+
+
+def plain_segmentation(ids, order, model, text, doc_id):
+    """The agenda over the whole text, one candidate at a time, each drawn by a hash of seed, document, rank and place."""
+    mask = (1 << 64) - 1
+    parts = [("\0mark" if c == "▁" else "▁" if c == " " else c, i) for i, c in enumerate(f" {text}")]
+    key, skipped = xxhash.xxh64_intdigest(str(doc_id), 42), set()
+    while True:
+        best = min(((order[a + b], i) for i, ((a, at), (b, _)) in enumerate(zip(parts, parts[1:])) if a + b in order and (order[a + b], at, len(a)) not in skipped), default=None)
+        if best is None:
+            break
+        rank, i = best
+        (a, at), (b, _) = parts[i : i + 2]
+        h = (key ^ (rank * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F) & mask) * 0xD6E8FEB86659FD93 & mask
+        if (h ^ h >> 32) * 0xD6E8FEB86659FD93 & mask < int(0.1 * 2**64):
+            skipped.add((rank, at, len(a)))
+        else:
+            parts[i : i + 2] = [(a + b, at)]
+    out = []
+    for x, _ in parts:
+        out += [ids[x]] if x in ids else [model.piece_to_id(f"<0x{b:02X}>") for b in x.replace("\0mark", "▁").encode()]
+    return out if text else []
+
+
+def test_merge_dropout(monkeypatch):
     import sentencepiece
 
     rng = random.Random(7)
-    bits = ["a", "b", "the ", "s", " ", "  ", "\n", "1", ".,", "é", "日", "ing", "x" * 60]
-    texts = ["".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(800)]
-    exact = merge_dropout.Pieces(merge_dropout.default_model(), rate=0.0)
+    bits = ["a", "b", "the ", "s", " ", "  ", "\n", "1", ".,", "é", "日", "ing", "x" * 60, "²", "_", "½", ";\r", "ation", "The", "unus", "ual"]
+    texts = ["", *("".join(rng.choices(bits, k=rng.randrange(14))) for _ in range(800))]
     model = sentencepiece.SentencePieceProcessor(model_file=merge_dropout.default_model())
-    assert all(np.frombuffer(exact.encode(t), "<u4").tolist() == model.encode(t) for t in texts)
+    exact = merge_dropout.Pieces(merge_dropout.default_model(), rate=0.0)
+    assert [np.frombuffer(x, "<u4").tolist() for x in exact.encode_batch(texts, [None] * len(texts))] == [model.encode(t) for t in texts]
     p, q = merge_dropout.Pieces(merge_dropout.default_model()), merge_dropout.Pieces(merge_dropout.default_model(), seed=43)
     texts += ["▁", "a▁ b", "\0", "x\0▁ y"]
-    assert all(p.decode(p.encode(t, v)) == t for t in texts for v in (0, 1))
-    assert p.encode("segmentation of unusual vocabulary", 0) != q.encode("segmentation of unusual vocabulary", 0) or p.encode("another sentence altogether", 0) != q.encode("another sentence altogether", 0)
-    word = merge_dropout.SPACE + "antidisestablishmentarianism"
-    assert p._short(word, 9) == p._long(word, 9)
+    plain_order_of = plain_order(model)
+    for size in (1 << 20, 7):  # long texts are cut into parts
+        monkeypatch.setattr(merge_dropout, "CHARACTERS_AT_ONCE", size)
+        got = p.encode_batch(texts, list(range(len(texts))))
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == [plain_segmentation(*plain_order_of, model, t, i) for i, t in enumerate(texts)]
+        assert [p.decode(x) for x in got] == texts
+    long = "segmentation of unusual vocabulary " * 40
+    assert p.encode(long, 1) == p.encode(long, 1) != q.encode(long, 1) and p.encode(long, 1) != p.encode(long, 2)
+    monkeypatch.setattr(merge_dropout, "SHORT", 1)  # every run has a heap
+    assert p.encode_batch(texts, list(range(len(texts)))) == got
 
 
 def test_merge_dropout_by_occurrence():
     p = merge_dropout.Pieces(merge_dropout.default_model())
     word, n = " international", 400
-    ids = [p.encode(word[1:], 0, d) for d in range(n)]
-    assert len(set(ids)) > 5 and ids == [p.encode(word[1:], 0, d) for d in range(n)]
+    assert len({p.encode(word[1:], d) for d in range(n)}) > 5
     # in one text: cut into occurrences by what each decodes to
     seen, at, found = [], "", set()
-    for i in np.frombuffer(p.encode(word[1:] + word * (n - 1), 0, 1), "<u4").tolist():
+    for i in np.frombuffer(p.encode(word[1:] + word * (n - 1), 1), "<u4").tolist():
         seen, at = [*seen, i], at + p.surface[i].decode()
         if at == word:
             found.add(tuple(seen))
             seen, at = [], ""
     assert not seen and len(found) > 5
-    # the cached way equals merging each occurrence anew
-    text = "the segmentation of  unusual vocabulary, " * 20
-    plain, at, key = b"", 0, xxhash.xxh64_intdigest("7", 42 * 2 + 1)
-    for chunk in re.findall(r" +[^ ]*|[^ ]+", f" {text}"):
-        plain += p._pack(p.merge(p._marked(chunk), key + at * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
-        at += len(chunk)
-    assert p.encode(text, 1, 7) == plain and p.decode(plain) == text
 
 
 @pytest.mark.parametrize("table", [awkward, empty])
