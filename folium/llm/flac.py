@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import batch_columns, bounded_batches
+from folium.llm.common import batch_columns, bounded_batches, materialize
 
 BLOCK, RATE, LPC_ORDER, LPC_BITS, WARM_BITS = 192, 8000, 2, 12, 8
 #: Fixed values of the format: seek points a table may hold, frames coded at a time.
 MOST_POINTS, FRAMES_AT_ONCE = 900_000, 8192
+_POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
 
 
 def _crc_table(polynomial: int, bits: int) -> np.ndarray:
@@ -218,7 +219,7 @@ def _stream_head(n_samples: int, md5: bytes, sizes: np.ndarray) -> bytes:
     info = BLOCK.to_bytes(2, "big") * 2 + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
     info += ((RATE << 44) | (0 << 41) | (7 << 36) | n_samples).to_bytes(8, "big") + md5
     step = -(-len(sizes) // MOST_POINTS)
-    points = np.zeros(-(-len(sizes) // step), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+    points = np.zeros(-(-len(sizes) // step), _POINT)
     points["sample"] = np.arange(len(sizes), dtype=np.int64)[::step] * BLOCK
     points["offset"] = (np.cumsum(sizes) - sizes)[::step]
     points["n"] = BLOCK
@@ -369,46 +370,59 @@ def decode_frames(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
-    """The payloads of streams; raises CorruptStream where a checksum doesn't hold."""
-    heads, starts, owners, base = [], [], [], 0
-    for i, s in enumerate(streams):
-        n_samples, md5, first, points = _read_head(s)
-        if len(points) * BLOCK < n_samples and len(points) < MOST_POINTS // 2:
-            raise CorruptStream("the seek table is incomplete")
-        heads.append((n_samples, md5))
-        starts.append(points + (base + first))
-        owners.append(np.full(len(points), i))
-        base += len(s)
+    """The payloads of streams; raises CorruptStream where a checksum doesn't hold.
+
+    Frames are entered at the seek points, all at once, and followed from each to the next.
+    """
+    heads, lanes, base, total = [], [], 0, 0
+    for s in streams:
+        n_samples, md5, first, samples, offsets = _read_head(s)
+        n = n_samples // BLOCK
+        if n and (not len(samples) or samples[0]):
+            raise CorruptStream("no seek point at the start")
+        frames = samples // BLOCK
+        lanes.append(np.stack([offsets + (base + first), frames, np.r_[frames[1:], n][: len(frames)], np.full(len(frames), total)]))
+        heads.append((n, md5))
+        base, total = base + len(s), total + n
     buffer = np.frombuffer(b"".join(streams), np.uint8)
-    lanes, owner = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (starts, owners))
-    rows: list[np.ndarray] = []
-    for at in range(0, len(lanes), FRAMES_AT_ONCE):
-        rows.append(decode_frames(buffer, lanes[at : at + FRAMES_AT_ONCE])[0].astype(np.int8))
-    signed = np.concatenate(rows) if rows else np.empty((0, BLOCK), np.int8)
-    out, at = [], 0
-    for n_samples, md5 in heads:
-        own = signed[at : at + n_samples // BLOCK].tobytes()
-        at += n_samples // BLOCK
+    at, frame, until, before = np.concatenate(lanes, axis=1) if lanes else np.empty((4, 0), np.int64)
+    signed = np.zeros((total, BLOCK), np.int8)
+    while len(at):
+        ends = []
+        for i in range(0, len(at), FRAMES_AT_ONCE):
+            part = slice(i, i + FRAMES_AT_ONCE)
+            x, number, end = decode_frames(buffer, at[part])
+            if (number != frame[part]).any():
+                raise CorruptStream("a frame is out of place")
+            signed[before[part] + number] = x
+            ends.append(end)
+        at, frame = np.concatenate(ends), frame + 1
+        more = frame < until
+        at, frame, until, before = at[more], frame[more], until[more], before[more]
+    out, row = [], 0
+    for n, md5 in heads:
+        own = signed[row : row + n].tobytes()
+        row += n
         if hashlib.md5(own).digest() != md5:
             raise CorruptStream("the audio's checksum differs")
         out.append((np.frombuffer(own, np.uint8) ^ 0x80).tobytes())
     return out
 
 
-def _read_head(s: bytes) -> tuple[int, bytes, int, np.ndarray]:
-    """(samples, MD5, first frame, frame offsets)."""
+def _read_head(s: bytes) -> tuple[int, bytes, int, np.ndarray, np.ndarray]:
+    """(samples, MD5, first frame, sample numbers of the seek points, their offsets)."""
     if s[:4] != b"fLaC":
         raise CorruptStream("not a FLAC stream")
-    at, last, info, points = 4, False, b"", np.empty(0, np.int64)
+    at, last, info, points = 4, False, b"", np.empty(0, _POINT)
     while not last:
         kind, size = s[at] & 0x7F, int.from_bytes(s[at + 1 : at + 4], "big")
         last, body = bool(s[at] & 0x80), s[at + 4 : at + 4 + size]
         if kind == 0:
             info = body
         elif kind == 3:
-            points = np.frombuffer(body, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))["offset"].astype(np.int64)
+            points = np.frombuffer(body, _POINT)
         at += 4 + size
-    return int.from_bytes(info[10:18], "big") & ((1 << 36) - 1), info[18:34], at, points
+    return int.from_bytes(info[10:18], "big") & ((1 << 36) - 1), info[18:34], at, points["sample"].astype(np.int64), points["offset"].astype(np.int64)
 
 
 # --------------------------------------------------------------------- Spark
@@ -429,11 +443,12 @@ def _features(payload: bytes) -> str:
 
 def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each text as a FLAC stream. Null texts are empty ones: one frame of spaces."""
-    return _by_batch(docs, id_col, text_col, "doc_id long, n_bytes long, media binary", lambda texts: (
+    return _by_batch(docs, id_col, text_col, [], "doc_id long, n_bytes long, media binary", lambda texts: (
         pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(encode([payload_of(t) for t in texts]), pa.binary())))
 
 
-def _by_batch(df: DataFrame, id_col: str, data_col: str, schema: str, of) -> DataFrame:
+def _by_batch(df: DataFrame, id_col: str, data_col: str, kept: list[str], schema: str, of) -> DataFrame:
+    """A row for each row of df: its id, the columns kept, and what `of` makes of a batch of its data."""
     bounded_batches(df.sparkSession)
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -441,9 +456,9 @@ def _by_batch(df: DataFrame, id_col: str, data_col: str, schema: str, of) -> Dat
         for batch in batches:
             (data,) = batch_columns(batch, "data")
             if data:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *of(data)], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *of(data)], names)
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(data_col).cast("binary").alias("data")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(data_col).cast("binary").alias("data")).mapInArrow(run, schema)
 
 
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -470,13 +485,13 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     media_sha256, feature). Null and empty texts are one frame of spaces. Equal
     texts have equal values; repeated rows and null ids stay as they are.
     """
+    stored = materialize(to_media(docs, id_col, text_col), "flac-media", compression="none")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def of(texts: list[bytes | None]) -> list[pa.Array]:
-        media = encode([payload_of(t) for t in texts])
+    def of(media: list[bytes]) -> list[pa.Array]:
         back = decode(media)
         longs = lambda values: pa.array(values, pa.int64())
         sha = lambda values: pa.array([hashlib.sha256(v).hexdigest() for v in values])
-        return [longs([len(t or b"") for t in texts]), longs([len(p) for p in back]), sha(back), longs([zlib.crc32(p[-16:]) for p in back]), longs([len(m) for m in media]), sha(media), pa.array([_features(p) for p in back])]
+        return [longs([len(p) for p in back]), sha(back), longs([zlib.crc32(p[-16:]) for p in back]), longs([len(m) for m in media]), sha(media), pa.array([_features(p) for p in back])]
 
-    return _by_batch(docs, id_col, text_col, schema, of)
+    return _by_batch(stored, "doc_id", "media", ["n_bytes"], schema, of)
