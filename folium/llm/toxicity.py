@@ -21,8 +21,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from folium.llm.common import batch_columns, bounded_batches, materialize
+from folium.llm.common import bounded_batches, materialize
 
 #: Most labelled rows the model is fitted on, and words the learned lexicon holds.
 SAMPLE_ROWS, LEARNED_WORDS = 20_000, 400
@@ -43,8 +44,9 @@ FEATURES = ("lexicon", "learned", "disguised", "near_second_person", "second_per
 
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[a-z]+[0-9@$!*]+[a-z][a-z0-9@$!*]*")
+_CAPITALS = re.compile("[A-ZÀ-ÖØ-Þ]+")
 _NEAR = 6
-#: Lengths of the word beginnings that the learned lexicon may hold, and how few openings an entry must be seen in.
+#: Lengths of the word beginnings that the learned lexicon may hold, and how few texts an entry must be seen in.
 STEMS, LEAST_SEEN = (4, 5, 6), 5
 
 
@@ -73,9 +75,10 @@ def features(text: str | None, learned: frozenset[str]) -> list[float]:
         near = int((gap <= _NEAR).sum())
     counts = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
     size = max(1, int(counts.sum()))
-    letters = max(1, int(counts[65:91].sum() + counts[97:123].sum()))
+    letters = max(1, len("".join(words)))
+    capitals = sum(map(len, _CAPITALS.findall(text)))
     return [
-        len(hits) / n, found / n, disguised / n, near / n, len(spoken) / n, counts[65:91].sum() / letters, counts[33] / size,
+        len(hits) / n, found / n, disguised / n, near / n, len(spoken) / n, capitals / letters, counts[33] / size,
         counts[[34, 39, 40, 41, 44, 45, 46, 58, 59, 63]].sum() / size, counts[[35, 36, 37, 38, 42, 43, 47, 61, 64, 94, 95, 124, 126]].sum() / size,
         counts[48:58].sum() / size, len(mixed) / n,
     ]
@@ -86,12 +89,12 @@ def _remainder(id_col: str):
 
 
 def learned_lexicon(docs: DataFrame, sample: DataFrame, words: int = LEARNED_WORDS) -> frozenset[str]:
-    """Words and beginnings of words that labelled-toxic texts use far more than others, counted over texts with different beginnings."""
+    """Words and beginnings of words that labelled-toxic texts use far more than others, equal texts counted once."""
     text = docs.join(F.broadcast(sample), "doc_id")  # sample: at most SAMPLE_ROWS rows
-    seen = text.select("toxic", F.xxhash64(F.substring("text", 1, 48)).alias("opening"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1))).alias("whole"))
+    seen = text.select("toxic", F.xxhash64("text").alias("content"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1))).alias("whole"))
     entries = F.array(F.col("whole"), *(F.when(F.length("whole") > k, F.substring("whole", 1, k)) for k in STEMS))
-    seen = seen.select("toxic", "opening", F.explode(F.array_compact(entries)).alias("word"))
-    per = seen.groupBy("word", "opening").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    seen = seen.select("toxic", "content", F.explode(F.array_compact(entries)).alias("word"))
+    per = seen.groupBy("word", "content").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     totals = sample.agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).first()
     bad, good = (totals["bad"] or 0) + 1, (totals["good"] or 0) + 1
     odds = F.log((F.col("bad") + 0.5) / bad) - F.log((F.col("good") + 0.5) / good)
@@ -99,15 +102,17 @@ def learned_lexicon(docs: DataFrame, sample: DataFrame, words: int = LEARNED_WOR
     return frozenset(x["word"] for x in kept.select("word").collect())
 
 
-def with_features(docs: DataFrame, learned: frozenset[str]) -> DataFrame:
-    """(doc_id, f array<double>) of docs(doc_id, text)."""
+def with_features(docs: DataFrame, learned: frozenset[str], text_col: str = "text") -> DataFrame:
+    """docs with a column f array<double>."""
+    at = docs.columns.index(text_col)
+    schema = StructType([*docs.schema.fields, StructField("f", ArrayType(DoubleType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (texts,) = batch_columns(batch, "text")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t, learned) for t in texts], pa.list_(pa.float64()))], ["doc_id", "f"])
+            f = pa.array([features(t, learned) for t in batch.column(at).cast(pa.string()).to_pylist()], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, f], [*batch.schema.names, "f"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, f array<double>")
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
@@ -120,29 +125,39 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     classes among the labels the score is the fixed lexicon's density times 50,
     at most 1. An empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    held_out = F.coalesce(_remainder("doc_id") == 1, F.lit(False)).alias("held_out")
+    return score_rows(docs, labels, sample_rows=sample_rows, threshold=threshold).select("doc_id", held_out, "toxicity.score", "toxicity.predicted")
+
+
+def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, whose columns may not be called f or toxicity, with a column `toxicity` (score, predicted); learned as in toxicity(), scored without a shuffle."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("double")).alias("toxic"))
-    known = known.where(_remainder("doc_id") != 1).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = known.where(_remainder("doc_id") != 1).join(named.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(3))), "toxicity-sample")
     parts = {(x["part"], x["toxic"] > 0) for x in sample.select("part", "toxic").distinct().collect()}  # at most sample_rows
     trainable = all((p, y) in parts for p in (1, 2) for y in (False, True))
-    words = learned_lexicon(docs, sample.where("part = 0").select("doc_id", "toxic")) if trainable else frozenset()
-    table = materialize(with_features(docs, words), "toxicity-features")
-    held_out = F.coalesce(_remainder("doc_id") == 1, F.lit(False)).alias("held_out")
+    words = learned_lexicon(named, sample.where("part = 0").select("doc_id", "toxic")) if trainable else frozenset()
+    featured = with_features(docs, words, text_col)
     if not trainable:
-        scored = table.select("doc_id", held_out, F.least(F.lit(1.0), F.col("f")[0] * 50).alias("score"))
-    else:
-        rows = table.join(F.broadcast(sample), "doc_id").select("part", "toxic", array_to_vector("f").alias("features"))
-        rows = materialize(rows.coalesce(1), "toxicity-training")  # at most sample_rows rows
-        fit = lambda df: GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=3).fit(df)
-        raw = lambda trees, df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
-        one, two = rows.where("part = 1"), rows.where("part = 2")
-        # each half is scored by the trees of the other, so the curve sees no row its trees have seen
-        unseen = raw(fit(one), two).unionByName(raw(fit(two), one)).select("raw", "toxic")
-        curve = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="calibrated").fit(unseen)
-        trees = fit(rows.where("part > 0"))
-        full = curve.transform(raw(trees, table.select("doc_id", array_to_vector("f").alias("features"))).select("doc_id", "raw"))
-        # isotonic steps leave ties: the trees' own order breaks them by at most a hundredth
-        scored = full.select("doc_id", held_out, (0.99 * F.col("calibrated") + 0.01 * F.col("raw")).alias("score"))
-    return scored.select("doc_id", "held_out", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        score = F.least(F.lit(1.0), F.get("f", F.lit(0)) * 50)
+        return featured.withColumn("toxicity", F.struct(score.alias("score"), (score >= threshold).cast("int").alias("predicted"))).drop("f")
+    drawn = named.join(F.broadcast(sample.where("part > 0")), "doc_id").groupBy("doc_id", "part", "toxic").agg(F.min("text").alias("text"))  # at most sample_rows
+    rows = with_features(drawn, words).select("part", "toxic", array_to_vector("f").alias("features"))
+    rows = materialize(rows.coalesce(1), "toxicity-training")
+    fit = lambda df: GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=3).fit(df)
+    raw = lambda trees, df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
+    one, two = rows.where("part = 1"), rows.where("part = 2")
+    # each half is scored by the trees of the other, so the curve sees no row its trees have seen
+    unseen = raw(fit(one), two).unionByName(raw(fit(two), one)).select("raw", "toxic")
+    curve = IsotonicRegression(featuresCol="raw", labelCol="toxic", predictionCol="calibrated").fit(unseen)
+    # docs' own columns travel as one, so that none clashes with the model's
+    ready = featured.select(F.struct(*docs.columns).alias("row"), array_to_vector("f").alias("features"))
+    full = curve.transform(raw(fit(rows), ready).select("row", "raw"))
+    # isotonic steps leave ties: the trees' own order breaks them by at most a hundredth
+    score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.99 * F.col("calibrated") + 0.01 * F.col("raw")))
+    scored = full.select("row", score.alias("score"))
+    return scored.select("row.*", F.struct("score", (F.col("score") >= threshold).cast("int").alias("predicted")).alias("toxicity"))
