@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch sent to Python: bounds a worker's memory when texts are long.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
@@ -28,15 +29,19 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a local one only where none is named."""
+    """The folder of spark.checkpoint.dir, which all executors see. Only a local session gets one of its own where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _LOCAL.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="folium-")
-        _LOCAL[spark.sparkContext.applicationId] = base
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="folium-")
+    return _LOCAL[app]
 
 
-_LOCAL: dict[str, str | None] = {}
+_LOCAL: dict[str, str] = {}
 
 
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -50,3 +55,9 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
 def batch_columns(batch: pa.RecordBatch, *names: str) -> Iterator[list]:
     """Columns of an Arrow batch as Python lists."""
     return (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+
+
+def without(df: DataFrame, removed: DataFrame, key: str, most: int = 1 << 20) -> DataFrame:
+    """df without the rows whose key is in removed(key): removed is broadcast up to `most` rows, else both are shuffled."""
+    few = removed.count() <= most
+    return df.join(F.broadcast(removed) if few else removed.hint("merge"), key, "left_anti")

@@ -82,9 +82,17 @@ def _step(lengths: np.ndarray, bins: np.ndarray, fill: np.ndarray, victim: int,
     best: tuple[int, list[int], list[int], int] = (0, [], [], -1)
     there = np.flatnonzero((room[bins] > 0) & (bins != victim))
     other_length, other_room = lengths[there], room[bins[there]]
-    groups = [[int(i)] for i in mine] + [[int(a), int(b)] for k, a in enumerate(mine[:8]) for b in mine[k + 1 : 8]]
-    for group in groups:
-        size = int(lengths[group].sum())
+    # items of equal length are alike: one group for each length and for each sum of two
+    groups: dict[tuple[int, int], list[int]] = {}
+    alike: dict[int, list[int]] = {}
+    for i in mine.tolist():
+        alike.setdefault(int(lengths[i]), []).append(i)
+    for a, x in alike.items():
+        groups.setdefault((1, a), x[:1])
+        for b, y in alike.items():
+            if a < b or a == b and len(x) > 1:
+                groups.setdefault((2, a + b), [x[0], y[-1]])
+    for (_, size), group in groups.items():
         if len(group) == 1:  # move
             fits = others[room[others] >= size]
             if len(fits) and size > best[0]:

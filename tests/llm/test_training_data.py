@@ -298,6 +298,30 @@ def test_flac_round_trip_and_checks():
             flac.decode([bytes(bad)])
 
 
+def test_flac_follows_frames_between_seek_points(monkeypatch):
+    monkeypatch.setattr(flac, "MOST_POINTS", 3)
+    rng = random.Random(8)
+    payloads = [flac.payload_of(rng.randbytes(192 * n)) for n in (0, 1, 3, 4, 50)]
+    media = flac.encode(payloads)
+    assert flac.decode(media) == payloads and len(flac._read_head(media[4])[3]) == 3
+
+
+def test_flac_reads_known_bytes():
+    """A stream of one constant frame of 192 samples of value 5, written by hand from the format's description."""
+    frame = bytes([0xFF, 0xF8, 0x14, 0x02, 0x00])
+    frame += bytes([int(flac._crc(np.frombuffer(frame, np.uint8), np.array([0]), np.array([5]), 8)[0]), 0x00, 0x05])
+    crc = 0
+    for byte in frame:
+        crc ^= byte << 8
+        for _ in range(8):
+            crc = (crc << 1 ^ 0x8005 if crc & 0x8000 else crc << 1) & 0xFFFF
+    frame += crc.to_bytes(2, "big")
+    info = (192).to_bytes(2, "big") * 2 + (10).to_bytes(3, "big") * 2 + (8000 << 44 | 7 << 36 | 192).to_bytes(8, "big") + hashlib.md5(b"\5" * 192).digest()
+    seek = (0).to_bytes(8, "big") * 2 + (192).to_bytes(2, "big")
+    stream = b"fLaC" + bytes([0, 0, 0, 34]) + info + bytes([0x83, 0, 0, 18]) + seek + frame
+    assert flac.decode([stream]) == [b"\x85" * 192] and flac.encode([b"\x85" * 192]) == [stream]
+
+
 @pytest.mark.parametrize("table", [sample, awkward, empty])
 def test_media_digest(spark, table):
     df = table(spark)
@@ -325,16 +349,18 @@ def test_topk_against_brute_force(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=12), 2)]) for i in range(230)]
     rows += [(250, None), (300, [float("nan")] * 12), (350, [None] * 12), (400, rows[1][1]), (401, rows[1][1]), (450, [float("inf")] * 12), (None, rows[2][1])]
+    rows += [(50, rows[7][1]), (50, rows[7][1]), (100, rows[100][1]), (3, rows[50][1])]
     df = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id long, embedding array<float>, rank int")
     sound = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all()]
     want = []
-    for i, q in sound:
+    for at, (i, q) in enumerate(sound):
         if i % 50 == 0:
-            best = sorted(((-int(q @ c), j) for j, c in sound if j != i))[:5]
+            best = sorted((-int(q @ c), j) for other, (j, c) in enumerate(sound) if other != at)[:5]
             want += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
     for cell in (8192, 40):
         assert sorted(map(tuple, topk.top_k(df, cell_vectors=cell, cell_queries=2).collect())) == sorted(want)
     assert topk.top_k(df.where("vec_id < 3")).count() == 2
+    assert topk.top_k(df.where("vec_id = 0")).count() == 0
     assert topk.top_k(df.limit(0)).count() == 0
 
 
@@ -486,7 +512,7 @@ def test_pipeline_stages(spark, tmp_path):
     judged = {r.doc_id for r in toxicity.toxicity(docs, spark.read.parquet(f"{d}/labels.parquet")).where("predicted = 1").collect()}
     one = corpus_pipeline.drop_toxic(spark, docs, d).cache()
     assert {r.doc_id for r in one.collect()} == {r.doc_id for r in docs.collect()} - judged
-    two = corpus_pipeline.keep_one_of_each(spark, one, d).cache()
+    two = corpus_pipeline.keep_one_of_each(spark, one, d, simhash.near_duplicates).cache()
     rows = one.select("doc_id", "text").collect()
     roots = plain_components([r.doc_id for r in rows], [plain_fingerprint(r.text) for r in rows])
     assert sorted(r.doc_id for r in two.collect()) == sorted(set(roots))
@@ -495,3 +521,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert secrets.secrets(three).where("n_hex + n_access > 0").count() == 0
     four = corpus_pipeline.pack(spark, three, d)
     assert {r.doc_id for r in four.select("doc_id").distinct().collect()} == {r.doc_id for r in three.collect()}
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row long, toxicity string"
+    texts = ["one two three four five six", "quite another text under the same id", None, "", "no id here at all", "no id here at all", "one two three four five six", "token = 0123456789abcdef01234567", "word " * 30_000]
+    rows = [(i, t, "en", "s", len(t or ""), 7, "x") for i, t in zip([1, 1, 2, 3, None, None, 1, 4, 5], texts, strict=True)]
+    docs, stages = spark.createDataFrame(rows, schema), dict(corpus_pipeline.STAGES)
+    d = "/root/testdata/sf0.001"
+    clean = stages["toxicity"](spark, docs, d)
+    assert clean.columns == list(corpus_pipeline.COLUMNS) and clean.count() == len(rows)
+    one = stages["near_duplicates"](spark, docs, d)
+    assert sorted((r.doc_id or 0, r.text or "") for r in one.collect()) == sorted([(1, texts[0]), (1, texts[1]), (2, ""), (0, texts[4]), (4, texts[7]), (5, texts[8])])
+    hidden = stages["secrets"](spark, docs, d)
+    assert {(r.doc_id, r.text) for r in hidden.collect() if r.doc_id in (2, 3, 4)} == {(2, None), (3, ""), (4, "[secret]")}
+    assert stages["packing"](spark, docs, d).where("piece = 0").count() == len(rows)
+    nothing = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, d).count() == 0
