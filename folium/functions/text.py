@@ -200,18 +200,20 @@ def spelled_ordinal(c: Column) -> Column:
 
 
 def session_number(c: Column) -> Column:
-    """Number of the public session that the first fitting line (at most 250 characters) opens."""
-    fits = F.filter(lines(c), lambda x: (F.length(x) <= 250) & x.rlike("(?i)instalad") & x.rlike("(?i)audi[êe]ncia p[úu]blica") & (x.rlike(r"\d+\s*[ªa]") | spelled_ordinal(x).isNotNull()))
-    line = F.get(fits, F.lit(0))
-    digits = F.regexp_extract(line, r"(\d+)\s*[ªa]", 1)
-    return F.when(line.isNotNull(), F.coalesce(F.nullif(digits, F.lit("")).cast("int"), spelled_ordinal(line)))
+    """Number of the public session that the first fitting line (at most 250 characters) opens: digits before its title, else ordinal words."""
+    numbered = rf"\b(\d{{1,3}})\s*[ºª°*]\s*[Aa]udi[eê]ncia\s+[Pp][uú]blica"
+    number = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, numbered, 1), F.lit("")).cast("int"), spelled_ordinal(x))
+    opens = lambda x: (F.length(x) <= 250) & x.rlike(r"(?iu)audi[eê]ncia\s+p[uú]blica") & x.rlike("(?iu)instal(?:ada|ado|ação)")
+    found = F.filter(F.transform(F.filter(F.transform(lines(c), strip_ws), opens), number), lambda n: n.isNotNull())
+    return F.get(found, F.lit(0))
 
 
 def session_date(c: Column, first: int = 2012, last: int = 2015) -> Column:
-    """The first numeric date if its year fits, else the first long-form one under the same test."""
+    """The first numeric date if its year fits, else the first long-form one ("5 de março de 2013", the words "de" optional) under the same test."""
     part = lambda p, i: F.regexp_extract(c, p, i)
-    numeric, long_form = r"(\d{1,2})/(\d{1,2})/(\d{4})", rf"(?i)(\d{{1,2}})[ºo]? de ({'|'.join(MONTHS)}) de (\d{{4}})"
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(long_form, 2)))
+    numeric, long_form = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b", r"(?i)\b(\d{1,2})\s*(?:de)?\s*([A-Za-zçÇãõ]+)\s*(?:de)?\s*(\d{4})\b"
+    word = F.lower(part(long_form, 2))
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.when(word == "marco", F.lit("março")).otherwise(word))
     one = F.try_to_date(F.concat_ws("-", part(numeric, 3), F.lpad(part(numeric, 2), 2, "0"), F.lpad(part(numeric, 1), 2, "0")))
     two = F.try_to_date(F.concat_ws("-", part(long_form, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(long_form, 1), 2, "0")))
     fits = lambda d: F.when(F.year(d).between(first, last), d)

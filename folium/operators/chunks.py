@@ -9,9 +9,12 @@ sections is one run of numbers alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -19,7 +22,9 @@ from pyspark.sql.functions import pandas_udf
 from folium.functions.text import page_label, strip_ws
 
 TARGET, OVERLAP, LIMIT, SPECIAL = 395, 80, 512, 2
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+#: One rule for both counters: runs of letters, digits and marks, and single other visible characters.
+_RULE = r"[\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\t-\r ]"
+_TOKEN = regex.compile(_RULE)
 
 
 def count_words(text: str) -> int:
@@ -31,7 +36,7 @@ def count_tokens(c: Column | str, counter: Callable[[str], int] | None = None) -
     """Tokens of a text by a pluggable counter; the default one stays in the JVM. Null texts have none."""
     c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
     if counter is None:
-        return F.size(F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}\p{M}_]+|[^\p{L}\p{N}\p{M}_\s])"), 1))
+        return F.size(F.regexp_extract_all(c, F.lit(_RULE), 0))
 
     @pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:
@@ -72,33 +77,26 @@ def greedy(tokens: list[int], split: list[bool], target: int = TARGET, overlap:
     """Chunks as lists of unit numbers, in order.
 
     A chunk closes when the next unit would pass the target. A close before a
-    whole paragraph seeds the next chunk with the units at the end, as many as
-    reach the overlap, none if the last one alone is larger; the paragraph then
-    joins untested. Pieces of split paragraphs close without overlap.
+    whole paragraph seeds the next chunk with carried() units; the paragraph then
+    joins untested, so even a seed of the whole chunk makes progress. Pieces of
+    split paragraphs close without overlap.
     """
     chunks: list[list[int]] = []
-    held: list[int] = []
-    total = 0
-    for i, n in enumerate(tokens):
-        if held and total + n > target:
-            chunks.append(held)
-            seed: list[int] = []
-            if not split[i] and tokens[held[-1]] <= overlap:
-                size = 0
-                for j in reversed(held):
-                    if size >= overlap:
-                        break
-                    seed.insert(0, j)
-                    size += tokens[j]
-                if len(seed) == len(held):  # all of it again would be no progress
-                    seed = seed[1:]
-            held = seed
-            total = sum(tokens[j] for j in held)
-        held.append(i)
+    first, total = 0, 0  # the open chunk is the units first..i-1
+    for i, (n, piece) in enumerate(zip(tokens, split, strict=True)):
+        if i > first and total + n > target:
+            chunks.append(list(range(first, i)))
+            first = i if piece else i - carried(tokens[first:i], overlap)
+            total = sum(tokens[first:i])
         total += n
-    if held:
-        chunks.append(held)
-    return chunks
+    return [*chunks, list(range(first, len(tokens)))] if tokens else []
+
+
+def carried(sizes: list[int], overlap: int) -> int:
+    """How many units at the end of a chunk go into the next one too: as many as reach the overlap, none if the last one alone is larger."""
+    if sizes[-1] > overlap:
+        return 0
+    return min(len(sizes), bisect_left(list(accumulate(reversed(sizes))), overlap) + 1)
 
 
 def pack_chunks(units: DataFrame, order: list[str], *, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:

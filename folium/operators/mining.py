@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -195,14 +197,42 @@ def review_queue(candidates: DataFrame) -> DataFrame:
     return candidates.where(~F.col("in_gazetteer") | (F.col("confidence") != "alta"))
 
 
+#: Names searched for in one pass over the texts.
+NAMES_AT_ONCE = 50_000
+
+
+def _holding(chunks: DataFrame, needles: Sequence[str]) -> DataFrame:
+    """chunks(title, ordinal, excerpt, low) once for each needle that low holds: (title, ordinal, excerpt, needle). One pass by an automaton of the needles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for n in needles:
+            automaton.add_word(n, n)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [sorted({n for _, n in automaton.iter(low)}) if low else [] for low in batch.column("low").to_pylist()]
+            rows = pa.array([i for i, names in enumerate(found) for _ in names], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("title", "ordinal", "excerpt")), pa.array([n for names in found for n in names], pa.string())], ["title", "ordinal", "excerpt", "needle"])
+
+    kept = chunks.select("title", "ordinal", "excerpt", "low")
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[:3], StructField("needle", StringType())]))
+
+
 def mentions(shortlist: DataFrame, chunks: DataFrame) -> DataFrame:
     """(name, title, ordinal, excerpt, by_tail): chunks that hold each name, case aside; names without any are tried by their last two words.
 
-    The shortlist is a curator's: it is broadcast only while the planner's size limit allows.
+    The shortlist is a curator's; it reaches the driver, and every NAMES_AT_ONCE of its names cost two passes over the texts.
+    Empty names are left out.
     """
     low = chunks.select("title", "ordinal", F.col("text").alias("excerpt"), F.lower("text").alias("low"))
-    full = shortlist.select("name").distinct().withColumn("needle", F.lower("name"))
-    hit = full.join(low, F.contains("low", "needle")).select("name", "title", "ordinal", "excerpt", F.lit(False).alias("by_tail"))
-    rest = full.join(hit.select("name").distinct(), "name", "left_anti").withColumn("needle", F.array_join(F.slice(F.split("needle", " "), F.greatest(F.size(F.split("needle", " ")) - 1, F.lit(1)), F.lit(2)), " "))
-    again = rest.join(low, F.contains("low", "needle")).select("name", "title", "ordinal", "excerpt", F.lit(True).alias("by_tail"))
-    return hit.unionByName(again)
+    names = [(r.name, r.needle) for r in shortlist.select("name", F.lower("name").alias("needle")).where("name <> ''").distinct().collect()]
+    out = None
+    for at in range(0, max(1, len(names)), NAMES_AT_ONCE):
+        block = names[at : at + NAMES_AT_ONCE]
+        full = {n for _, n in block}
+        met = {r.needle for r in _holding(low, sorted(full)).select("needle").distinct().collect()} if full else set()
+        asked = [(name, n, False) if n in met else (name, " ".join(n.split(" ")[-2:]), True) for name, n in block]
+        table = chunks.sparkSession.createDataFrame(asked, "name string, needle string, by_tail boolean")
+        found = _holding(low, sorted({n for _, n, _ in asked if n})).join(F.broadcast(table), "needle").select("name", "title", "ordinal", "excerpt", "by_tail")
+        out = found if out is None else out.unionByName(found)
+    return out

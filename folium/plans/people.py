@@ -185,9 +185,9 @@ def _p9(spark, d):
     return p.first_wins(_table(spark, d, "documents").select("source", "doc_id"), "source", ["doc_id"])
 
 
-@_register("p10_profile_chunks", "SELECT 'source-' || source AS slug, count(*) AS n, md5(string_agg(substr(text, 1, 10), chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE doc_id % 2 = 0 GROUP BY source")
+@_register("p10_profile_chunks", "SELECT 'source-' || source AS slug, count(*) AS n, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS digest FROM documents WHERE doc_id % 2 = 0 GROUP BY source")
 def _p10(spark, d):
-    c = _chunks(spark, d).withColumns({"section": F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("Perfil – Source "), "source")).otherwise("Other"), "text": F.substring("text", 1, 10)})
+    c = _chunks(spark, d).withColumns({"section": F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("Perfil – Source "), "source")).otherwise("Other")})
     n = c.where("ordinal % 2 = 0").groupBy(F.concat(F.lit("source-"), "source").alias("slug")).agg(F.count(F.lit(1)).alias("n"))
     return p.profile_chunks(c).join(n, "slug").select("slug", "n", F.md5("text").alias("digest"))
 
@@ -432,9 +432,9 @@ def _io10(spark, d):
     return files.features(_table(spark, d, "customer").select("c_custkey", F.lit('{"type":"Point"}').alias("geometry")))
 
 
-@_register("io11_dossier", "SELECT source AS name, md5('## ' || source || chr(10) || chr(10) || string_agg('> ' || substr(text, 1, 50) || chr(10) || chr(10) || '— title ' || source, chr(10) || chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents GROUP BY source")
+@_register("io11_dossier", "SELECT source AS name, md5('## ' || source || chr(10) || chr(10) || string_agg('> ' || text || chr(10) || chr(10) || '— title ' || source, chr(10) || chr(10) ORDER BY doc_id) || chr(10)) AS digest FROM documents GROUP BY source")
 def _io11(spark, d):
-    return files.dossier(_chunks(spark, d).select(F.col("source").alias("name"), "title", "ordinal", F.substring("text", 1, 50).alias("excerpt"))).select("name", F.md5("section").alias("digest"))
+    return files.dossier(_chunks(spark, d).select(F.col("source").alias("name"), "title", "ordinal", F.col("text").alias("excerpt"))).select("name", F.md5("section").alias("digest"))
 
 
 @_register("t1_quota_flags")

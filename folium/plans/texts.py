@@ -86,8 +86,8 @@ _register("q7_effective_page", "SELECT source, CASE WHEN source = 'src1' AND pag
     lambda p: q.effective_page(p.withColumn("line_no", F.floor(F.col("page") / 20).cast("long")), "src1").select("source", "page")
 )
 _register("q8_text_coverage", "SELECT source, count(*) AS pages, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) AS with_text, coalesce(sum(length(text)), 0)::BIGINT AS characters, round(100.0 * count(*) FILTER (length(trim(coalesce(text, ''))) > 0) / count(*), 2)::DOUBLE AS percent, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) <= 0.5 * count(*) AS scanned FROM p GROUP BY source")(q.text_coverage)
-_register("q9_patch_pages", "SELECT source, page, md5(CASE WHEN page % 3 = 0 AND page BETWEEN 50 AND 500 THEN substr(text, 1, 20) || '!' ELSE text END) AS digest FROM p")(
-    lambda p: q.patch_pages(p, p.where("page % 3 = 0").withColumn("text", F.concat(F.substring("text", 1, 20), F.lit("!"))), 50, 500).select("source", "page", F.md5("text").alias("digest"))
+_register("q9_patch_pages", "SELECT source, page, md5(CASE WHEN page % 3 = 0 AND page BETWEEN 50 AND 500 THEN text || '!' ELSE text END) AS digest FROM p")(
+    lambda p: q.patch_pages(p, p.where("page % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))), 50, 500).select("source", "page", F.md5("text").alias("digest"))
 )
 _register("q10_pending_pages", "SELECT source, page FROM p WHERE page % 4 <> 0")(lambda p: q.pending_pages(p, p.where("page % 4 = 0")).select("source", "page"))
 
@@ -120,7 +120,13 @@ _register("s10_profile_heading", r"SELECT page, regexp_matches(split_part(text,
     lambda p: p.select("page", t.person_heading(F.split_part("text", F.lit("\n"), F.lit(1)), "sigla").alias("sigla"), t.person_heading(F.split_part("text", F.lit("\n"), F.lit(1)), "caps").alias("caps"))
 )
 _register("s11_section_per_paragraph")(lambda p: s.section_per_paragraph(k.paragraphs(p, "\n"), "^[A-D]", "^Z", F.col("text").rlike(_WORD_LINE)).select("source", "page", "para_no", "section"))
-_register("s13_session_detect")(lambda p: s.session_detect(p.withColumn("text", F.concat(F.lit("Foi instalada a "), (F.col("page") % 90).cast("string"), F.lit("ª audiência pública em 1/2/2013\n"), F.col("text")))))
+_register("s13_session_detect", """SELECT source, page, CASE WHEN page % 5 = 4 THEN 70 ELSE 1 + page % 90 END::INT AS number, make_date(2011 + page % 6, 3, 1 + page % 28) AS date FROM p WHERE page % 3 > 0 AND page % 6 BETWEEN 1 AND 4
+UNION ALL SELECT source, page, CASE WHEN page % 5 = 4 THEN 70 ELSE 1 + page % 90 END::INT, NULL FROM p WHERE page % 3 > 0 AND page % 6 NOT BETWEEN 1 AND 4""")(
+    lambda p: s.session_detect(p.withColumn("text", F.concat(
+        F.lit("Há 10 anos foi "), F.get(F.array(*map(F.lit, ("aberta", "instalada", "Instalação"))), (F.col("page") % 3).cast("int")), F.lit(" a "),
+        F.when(F.col("page") % 5 == 4, "septuagésima").otherwise(F.concat((1 + F.col("page") % 90).cast("string"), F.get(F.array(*map(F.lit, "ªº°*")), (F.col("page") % 5).cast("int")))),
+        F.lit(" audiência pública\n"), (1 + F.col("page") % 28).cast("string"), F.lit("-3-"), (2011 + F.col("page") % 6).cast("string"), F.lit("\n"), F.col("text"))))
+)
 _register("s14_sessions_to_ranges", "SELECT source, page AS start, (page // 50)::VARCHAR || 'ª audiência pública' AS label FROM (SELECT *, lag(page // 50) OVER (PARTITION BY source ORDER BY page) AS b FROM p) WHERE b IS DISTINCT FROM page // 50")(
     lambda p: s.sessions_to_ranges(p.select("source", "page", F.floor(F.col("page") / 50).alias("number"), F.lit(None).cast("date").alias("date")))
 )

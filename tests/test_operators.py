@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import geo
 from folium.functions import text as t
-from folium.operators import chunks, quality, records, search, sections, serve, validate
+from folium.operators import chunks, mining, quality, records, search, sections, serve, validate
 from folium.sources import files
 from folium.streaming import ingest, quota
 
@@ -34,6 +34,10 @@ def test_labels_and_dates(spark):
     assert one(spark, t.spelled_ordinal(F.col("a")), a="a septuagésima primeira audiência") == 71
     assert one(spark, t.session_number(F.col("a")), a="Foi instalada a 71ª audiência pública") == 71
     assert one(spark, t.session_number(F.col("a")), a="instalada a centésima décima audiência pública") == 110
+    for line, number in (("Há 10 anos foi instalada a septuagésima audiência pública", 70), ("instalada a 71º audiência pública", 71), ("Instalação da 5ª audiência pública", 5), ("a 5ª audiência pública", None), ("instalado\nx\n instalação da 7* Audiência  Pública", 7)):
+        assert one(spark, t.session_number(F.col("a")), a=line) == number
+    assert one(spark, t.session_date(F.col("a")), a="em 5-6-2013") == datetime.date(2013, 6, 5)
+    assert one(spark, t.session_date(F.col("a")), a="em 5 marco 2013") == datetime.date(2013, 3, 5)
     assert one(spark, t.session_date(F.col("a")), a="em 3/4/1970 e 5/6/2013, 7 de agosto de 2014") == datetime.date(2014, 8, 7)
     for raw, iso in (("31/12/59", "2059-12-31"), ("1/1/60", "1960-01-01"), ("3-4-1970", "1970-04-03"), ("1/13/1970", None)):
         assert one(spark, t.parse_dmy(F.col("a")), a=raw) == iso
@@ -71,13 +75,32 @@ def brute(tokens, split, target=395, overlap=80):
             out.append(list(buffer))
             keep = []
             if not split[i] and tokens[buffer[-1]] <= overlap:
-                while sum(tokens[j] for j in keep) < overlap and len(keep) < len(buffer) - 1:
+                while sum(tokens[j] for j in keep) < overlap and len(keep) < len(buffer):
                     keep = buffer[len(buffer) - len(keep) - 1 :]
             buffer = list(keep)
         buffer.append(i)
     return out + ([buffer] if buffer else [])
 
 
+def test_overlap_may_be_the_whole_chunk():
+    assert chunks.greedy([40, 30, 395, 100], [False] * 4) == [[0, 1], [0, 1, 2], [3]]
+    assert chunks.greedy([], []) == [] and chunks.greedy([500], [False]) == [[0]]
+
+
+def test_both_counters_agree(spark):
+    texts = ["a b,c", "a\u00a0b", "e\u0301t\u00e9 x", "x\x0by\x1cz", "_a-b_ 12", "日本 語", ""]
+    df = spark.createDataFrame([(t_,) for t_ in texts], "text string")
+    assert [r.n for r in df.select(chunks.count_tokens("text").alias("n")).collect()] == [chunks.count_words(t_) for t_ in texts]
+
+
+def test_mentions(spark):
+    names = spark.createDataFrame([("Ana de Sá",), ("Rui Lo",), ("Zé da Vila Nova",), ("",), (None,), ("ANA DE SÁ",)], "name string")
+    texts = spark.createDataFrame([("t", 1, "x ANA de sá y"), ("t", 2, "na vila nova"), ("t", 3, None), ("t", 4, "Vila Nova e Ana de Sá")], "title string, ordinal int, text string")
+    got = {(r.name, r.ordinal, r.by_tail) for r in mining.mentions(names, texts).collect()}
+    assert got == {("Ana de Sá", 1, False), ("Ana de Sá", 4, False), ("ANA DE SÁ", 1, False), ("ANA DE SÁ", 4, False), ("Zé da Vila Nova", 2, True), ("Zé da Vila Nova", 4, True)}
+    assert mining.mentions(names.limit(0), texts).count() == 0
+
+
 def test_packing_against_restatement():
     rng = random.Random(1)
     for _ in range(300):
