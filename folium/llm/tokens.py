@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pre-tokens in one of the two generations of a worker's cache; one batch may add as many again.
-CACHE_SIZE = 150_000
+CACHE_SIZE = 300_000
 #: Ids gathered at a time; characters of one call to the library for texts that go there whole, pre-tokens of one call.
 IDS_AT_ONCE, CALL_CHARACTERS, CALL_PRE_TOKENS = 1 << 20, 1 << 16, 64
 
