@@ -5,10 +5,10 @@ Over the pages of a host, tokens with the same occurrence vector form an
 equivalence class; the vector is never gathered, only a commutative sum of
 hashes of (page, count), so a hot host is summed map-side like any other. Classes
 that are large and frequent enough are valid and nest by their paths into the
-host's template; its slots are the template paths that hold text. Slots that are
-chrome by element or name, mostly links, or that hold the same text on every
-page belong to the template; the rest is extracted. Inside an article or main
-element, where the page names its slot itself, all text that isn't chrome stays.
+host's template; its slots are the template paths that hold text. Slots that hold
+the same text on every page belong to the template, in articles too; so do those
+that are mostly links outside an article. Chrome by element or name goes; the rest
+is extracted, from the article alone where it holds most of the text.
 """
 
 from __future__ import annotations
@@ -27,6 +27,9 @@ from folium.llm.common import batch_columns, bounded_batches, materialize
 #: Pages and tokens a valid class needs, share of the host's pages, share of a slot's text that may stand in links.
 LEAST_PAGES, LEAST_TOKENS, LEAST_SHARE, MOST_LINKED = 3, 2, 0.5, 0.5
 
+#: Share of the unlinked text outside chrome that an article must hold, against the rest, to be the page's text.
+LEAST_SHARE_INSIDE = 0.5
+
 #: Elements by role.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 CHROME = frozenset("nav footer aside form script style noscript template button select option textarea input iframe svg canvas object audio video head title dialog menu noembed noframes xmp".split())
@@ -41,10 +44,22 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-_ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_READ = frozenset("class id role style hidden aria-hidden".split())
+#: Words that say where or in what form a thing stands, beside the word for what it is.
+_FORM_WORDS = frozenset("site page main post article global top bottom left right header inner outer wrap wrapper container box block area bar list item items links buttons button icons section panel col column row slot unit group entry text content primary secondary js is".split())
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
+def _names_chrome(value: str) -> bool:
+    """Whether a class or id names chrome: all words of one of its names do, but for words of form."""
+    for name in value.split():
+        words = {w.lower() for w in _NAMES.findall(name)}
+        if words & CHROME_NAMES and words <= CHROME_NAMES | _FORM_WORDS:
+            return True
+    return False
+
+
 class _Element:
     __slots__ = ("tag", "path", "chrome", "article", "link")
 
@@ -57,9 +72,11 @@ def _open(tag: str, attributes: str, parent: _Element) -> _Element:
     if attributes and not attributes.isspace():
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
+            if name not in _READ:
+                continue
             if name in ("class", "id"):
                 label += "." + re.sub(r"\d+", "", value)
-                chrome = chrome or (tag not in ("html", "body") and any(w.lower() in CHROME_NAMES for w in _NAMES.findall(value)))
+                chrome = chrome or (tag not in ("html", "body", "main", "article") and _names_chrome(value))
             elif name == "role":
                 chrome = chrome or value.lower() in CHROME_ROLES
                 article = article or value.lower() == "main"
@@ -174,11 +191,19 @@ def _close(stack: list[_Element], tag: str, within: tuple[str, ...]) -> None:
 
 
 def main_text(page: str | None, template: frozenset[str] = frozenset()) -> str:
-    """The blocks of the article, joined by blank lines; without one, those outside chrome and the template's slots."""
+    """The blocks outside chrome and the template's slots, joined by blank lines: those of the article, if it holds most of their text.
+
+    A template that would take all text of an article is not that page's: its text stays.
+    """
     _, found = parse(page or "")
-    inside = [b for b in found if b[2]]
-    kept = [b for b in inside if not b[1]] if inside else [b for b in found if not b[1] and b[0] not in template]
-    return "\n\n".join(b[4] for b in kept)
+    open_ = [b for b in found if not b[1]]
+    free = [b for b in open_ if b[0] not in template]
+    inside = [b for b in free if b[2]] or [b for b in open_ if b[2]]
+    outside = [b for b in free if not b[2]]
+    size = lambda blocks: sum(len(b[4]) - b[3] for b in blocks)
+    if inside and (LEAST_SHARE_INSIDE * size(outside) <= size(inside)):
+        return "\n\n".join(b[4] for b in inside)
+    return "\n\n".join(b[4] for b in free)
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -195,9 +220,10 @@ def _observed(pages: DataFrame) -> DataFrame:
                 opened, found = parse(page or "")
                 slots: dict[str, list] = {}
                 for path, chrome, article, linked, text in found:
-                    if not chrome and not article:
+                    if not chrome:
                         s = slots.setdefault(path, [0, 0, xxhash.xxh64()])
-                        s[0], s[1] = s[0] + len(text), s[1] + linked
+                        # links are no sign of the template in an article
+                        s[0], s[1] = s[0] + len(text), s[1] + (0 if article else linked)
                         s[2].update(text)
                 body = xxhash.xxh64_intdigest(page or "") - (1 << 63)
                 for path, n in opened.items():

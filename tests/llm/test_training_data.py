@@ -401,6 +401,24 @@ def test_main_text():
     assert html_text.main_text("plain") == "plain"
 
 
+@pytest.mark.parametrize("attributes", ['class="overflow-hidden"', 'class="has-sidebar"', 'class="alert-free"', 'class="cross-related"', 'data-id="sidebar"', 'title="a hidden gem"'])
+def test_words_of_names_alone_drop_nothing(attributes):
+    assert html_text.main_text(f"<article><div {attributes}><p>The story.</p></div></article>") == "The story."
+    for name in ("site-footer", "cookie-notice", "related-posts sidebar", "commentList"):
+        assert html_text.main_text(f"<article><p>The story.</p><div class='{name}'>x</div></article>") == "The story."
+
+
+def test_teaser_is_not_the_story():
+    story = "This is the long story of the page. " * 5
+    assert html_text.main_text(f"<div><p>{story}</p></div><article>Read more</article>") == f"{story.strip()}\n\nRead more"
+
+
+def test_template_in_articles(spark):
+    page = lambda i: f"<article><p>Story {i} is told</p><div class='x7f'>Notice of the host</div></article>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {(r.page_id, r.text) for r in html_text.extract_text(df).collect()} == {(i, f"Story {i} is told") for i in range(6)}
+
+
 def test_template_slots(spark):
     page = lambda i: f"<html><body><div class='top'>Always the same</div><div class='body'><p>Story {i} is told</p></div><div class='links'><a>l{i}</a></div></body></html>"
     rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)] + [(9, None, None), (10, "http://other/", "<article>x</article>"), (10, "http://other/", "<article>x</article>")]
