@@ -146,8 +146,9 @@ def score_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         score = F.least(F.lit(1.0), F.get("f", F.lit(0)) * 50)
         return featured.withColumn("toxicity", F.struct(score.alias("score"), (score >= threshold).cast("int").alias("predicted"))).drop("f")
     drawn = named.join(F.broadcast(sample.where("part > 0")), "doc_id").groupBy("doc_id", "part", "toxic").agg(F.min("text").alias("text"))  # at most sample_rows
-    rows = with_features(drawn, words).select("part", "toxic", array_to_vector("f").alias("features"))
-    rows = materialize(rows.coalesce(1), "toxicity-training")
+    rows = materialize(with_features(drawn, words).select("doc_id", "part", "toxic", "f"), "toxicity-sampled")
+    rows = rows.select("doc_id", "part", "toxic", array_to_vector("f").alias("features")).coalesce(1).sortWithinPartitions("doc_id")
+    rows = materialize(rows, "toxicity-training")  # numbers alone, in a fixed order
     fit = lambda df: GBTClassifier(featuresCol="features", labelCol="toxic", maxIter=TREES, maxDepth=DEPTH, seed=SEED, minInstancesPerNode=3).fit(df)
     raw = lambda trees, df: trees.transform(df).withColumn("raw", vector_to_array("probability")[1])
     one, two = rows.where("part = 1"), rows.where("part = 2")
