@@ -1,7 +1,7 @@
 """FLAC streams of 8-bit mono samples, coded and decoded in numpy, many frames at a time.
 
 A payload of bytes is one stream: STREAMINFO with the audio's MD5, a SEEKTABLE
-with the sample number and byte offset of the frames, then frames of 192
+with the sample number and byte offset of every eighth frame, then frames of 192
 samples. A subframe is constant, verbatim, a fixed predictor (orders 0 to 2) or
 a quantized linear predictor, whichever is smallest, with its residual in one
 Rice partition. Frames of a whole batch of documents are worked on side by side:
@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from folium.llm.common import batch_columns, bounded_batches, materialize
 
 BLOCK, RATE, LPC_ORDER, LPC_BITS, WARM_BITS = 192, 8000, 2, 12, 8
+#: Frames from one seek point to the next.
+POINT_EVERY = 8
 #: Fixed values of the format: seek points a table may hold, frames coded at a time.
 MOST_POINTS, FRAMES_AT_ONCE = 900_000, 8192
 _POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
@@ -218,7 +220,7 @@ def _stream_head(n_samples: int, md5: bytes, sizes: np.ndarray) -> bytes:
     """Marker, STREAMINFO and SEEKTABLE for frames of the given sizes."""
     info = BLOCK.to_bytes(2, "big") * 2 + int(sizes.min()).to_bytes(3, "big") + int(sizes.max()).to_bytes(3, "big")
     info += ((RATE << 44) | (0 << 41) | (7 << 36) | n_samples).to_bytes(8, "big") + md5
-    step = -(-len(sizes) // MOST_POINTS)
+    step = max(POINT_EVERY, -(-len(sizes) // MOST_POINTS))
     points = np.zeros(-(-len(sizes) // step), _POINT)
     points["sample"] = np.arange(len(sizes), dtype=np.int64)[::step] * BLOCK
     points["offset"] = (np.cumsum(sizes) - sizes)[::step]
@@ -485,7 +487,7 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     media_sha256, feature). Null and empty texts are one frame of spaces. Equal
     texts have equal values; repeated rows and null ids stay as they are.
     """
-    stored = materialize(to_media(docs, id_col, text_col), "flac-media", compression="none")
+    stored = materialize(to_media(docs, id_col, text_col), "flac-media", compression="zstd")
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def of(media: list[bytes]) -> list[pa.Array]:
