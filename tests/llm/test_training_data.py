@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -441,6 +443,64 @@ def test_licenses(spark):
     assert licenses.license_notices(df.limit(0)).count() == 0
 
 
+MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+
+
+def wrapped(text, width):
+    return "\n".join(textwrap.wrap(text, width))
+
+
+def test_whole_license_texts(spark):
+    """Hard-wrapped texts with a holder, a body without its title, the licenses that differ by a clause or a version."""
+    wording = lambda name: max((t[3] for t in licenses.TEMPLATES if t[0] == name), key=len)
+    texts = [("MIT", MIT_BODY), ("MIT", "MIT License\n\nCopyright (c) 2021 Jane Doe\n\n" + MIT_BODY)]
+    for name in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Unlicense"):
+        texts.append((name, "Copyright 2020 Some Body Inc\n" + wrapped(wording(name), 60)))
+    story = "Boats went out to sea at noon.\n"
+    rows = [(i, story + text + "\n" + story) for i, (_, text) in enumerate(texts)]
+    got = licenses.license_notices(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in got if r.confirmed) == [(i, name) for i, (name, _) in enumerate(texts)]
+    assert not any("Boats" in rows[r.doc_id][1][r.start : r.end] for r in got)
+
+
+def test_common_words_against_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        wording = licenses.Wording(a)
+        added, gone = wording.differences(b)
+        assert wording.common(b) == best[-1][-1] == len(b) - len(added) == len(a) - len(gone)
+        assert wording.bound(Counter(b)) >= best[-1][-1]
+
+
+def test_licenses_on_awkward_rows(spark):
+    """Repeated rows, null ids, a very long text with a very long block, and a template that ranks last."""
+    notice, tail = "Released under the MIT License.", "All the copyright lines of the world. " * 3000
+    long = "word and word again. " * 50_000 + "\n" + notice + "\nBoats went out to sea at noon.\n" + tail
+    df = spark.createDataFrame([(1, notice, "x"), (1, notice, "y"), (None, notice, "z"), (2, long, None), (3, None, "n"), (4, "", "e")], "doc_id long, text string, license string")
+    got = licenses.license_notices(df).collect()
+    assert sorted(str(r.doc_id) for r in got if r.license == "MIT" and r.confirmed) == ["1", "1", "2", "None"]
+    assert [(r.end - r.start, r.confirmed) for r in got if r.doc_id == 2 and r.end > len(long) - 9] == [(len(tail.rstrip()), False)]
+    decoys = [("decoy", "never", "", f"Released under the MIT License. {i}") for i in range(40)]
+    assert licenses.Matcher((*decoys, ("MIT", "", "mit", "released under the MIT license"))).match(notice)[::6] == ("MIT", True)
+
+
 # ------------------------------------------------------------------ merge-dropout
 
 
