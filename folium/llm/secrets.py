@@ -1,17 +1,27 @@
 """Secret scans in DataFrame functions alone: base patterns and a randomness test battery.
 
 Texts are read once. Positions come from the lengths of what lies between the
-matches, summed by a window per text. Long tokens are then tested: an encoding
-is inferred from the characters used; chi-squared uniformity over its alphabet,
-a runs test and lag-1 serial correlation must not speak against a random string
-(Simes combination); against ordinary words speaks how often neighbours change
-between lower case, upper case, digits and signs. The latter p-values are
-controlled by Benjamini-Hochberg over all tokens of the corpus, in bands of
-length, from a histogram of bounded size.
+matches, summed by a window per text. Long tokens are then tested. An encoding is
+inferred from the characters used, and two hypotheses are put to each token:
+
+* "random in that encoding": chi-squared uniformity over its alphabet, a runs test
+  and lag-1 serial correlation, combined by Simes;
+* "ordinary words": neighbours seldom change between lower case, upper case, digits
+  and signs, and letters are as frequent as in European languages. The inverse of
+  the likelihood ratio of a random string to that bounds the p-value (Markov).
+
+Benjamini-Hochberg controls both over all tokens of the corpus, in bands of
+length, from histograms of bounded size. A token counts as a secret if the first
+hypothesis stands and the second is rejected. Strings of digits alone are never
+found: ordinary long numbers are as uniform as random ones.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,21 +31,34 @@ from folium.llm.common import materialize
 ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+#: A token keeps to the signs of one encoding and has = at its end alone: key=value is two tokens.
+TOKEN = r"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{20,}={0,2}"
 KINDS = (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("random", TOKEN))
 LEAST_VALUE = 6
-#: Significance against randomness, false-discovery rate, change rate of ordinary words, starts of the length bands.
-ALPHA, FDR, WORD_CHANGES, BANDS = 0.001, 0.01, 0.08, (20, 32, 64, 128)
+#: False-discovery rate of both tests, change rate of ordinary words, starts of the length bands.
+FDR, WORD_CHANGES, BANDS = 0.01, 0.08, (20, 32, 64, 128)
+#: Letters a to z in a thousand of European languages, about; rare ones of one language are rounded up.
+LETTERS = (77, 15, 28, 42, 130, 17, 20, 40, 70, 6, 13, 42, 27, 72, 66, 24, 5, 66, 68, 74, 38, 13, 15, 5, 12, 8)
 #: Encodings by what they are made of, narrowest first, in the order of their alphabets.
 ENCODINGS = (
+    ("0123456789", r"^[0-9]+$"),
     ("0123456789abcdef", r"^[0-9a-f]+$"),
     ("0123456789ABCDEF", r"^[0-9A-F]+$"),
+    ("abcdefghijklmnopqrstuvwxyz", r"^[a-z]+$"),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^[A-Z]+$"),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]+=*$"),
     ("abcdefghijklmnopqrstuvwxyz0123456789", r"^[a-z0-9]+$"),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", r"^[A-Z0-9]+$"),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", r"^[A-Za-z]+$"),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r"^[A-Za-z0-9]+$"),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^[A-Za-z0-9+/]+=*$"),
     ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^[A-Za-z0-9_-]+=*$"),
 )
 _BIN, _BINS = 0.1, 3000
+_CLASSES = (
+    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=",
+    "a" * 26 + "A" * 26 + "0" * 10 + "-" * 5,
+)
 
 
 def _holds(text: Column) -> Column:
@@ -72,8 +95,23 @@ def _two_sided(z: Column) -> Column:
     return F.lit(2.0) / (F.lit(1.0) + F.exp(1.5976 * a + 0.07056 * a * a * a))
 
 
+def _change_rate(alphabet: str) -> float:
+    """How often neighbours of a random string are of different classes of characters."""
+    classes = Counter(alphabet.translate(str.maketrans(*_CLASSES)))
+    return min(max(1 - sum((n / len(alphabet)) ** 2 for n in classes.values()), 1e-9), 1 - 1e-9)
+
+
+def _cuts(tested: DataFrame, bin_col: str, cut: str) -> DataFrame:
+    """(band, cut): Benjamini-Hochberg's least bin that is rejected, bins being -log10 p by their lower edges; a band without one has no row."""
+    bins = tested.groupBy("band", bin_col).agg(F.count(F.lit(1)).alias("n"))
+    down = Window.partitionBy("band").orderBy(F.desc(bin_col)).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = bins.withColumn("above", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy("band")))
+    passed = F.pow(F.lit(10.0), -F.col(bin_col) * _BIN) * F.col("all") <= FDR * F.col("above")
+    return ranked.where(passed).groupBy("band").agg(F.min(bin_col).alias(cut))
+
+
 def battery(tokens: DataFrame) -> DataFrame:
-    """tokens(value) with p_random (small: not random) and strength (-log10 of the chance as an ordinary word).
+    """tokens(value) with p_random (small: not random) and strength (-log10 of the chance as ordinary words).
 
     Steps stand in columns of their own, so that each is computed once a token.
     """
@@ -83,11 +121,16 @@ def battery(tokens: DataFrame) -> DataFrame:
     split = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
     alphabet = F.coalesce(*(F.when(F.col("value").rlike(p), F.lit(a)) for a, p in ENCODINGS))
     t = tokens.withColumns({"core": F.regexp_replace("value", "=+$", ""), "alphabet": alphabet})
+    of_alphabet = lambda f: F.coalesce(*(F.when(F.col("alphabet") == a, F.lit(float(f(a)))) for a, _ in ENCODINGS))
+    rarity = F.array(*(F.lit(math.log(sum(LETTERS) / x)) for x in LETTERS))
     t = t.withColumns({"k": F.length("alphabet").cast("double"), "n": F.greatest(F.length("core"), F.lit(2)).cast("double"), "chars": split(F.col("core")), "classes": split(F.translate("core", *_CLASSES))})
     core, k, n = F.col("core"), F.col("k"), F.col("n")
     t = t.withColumns({
         "counts": F.transform(F.array_distinct("chars"), lambda c: (F.length(core) - F.length(F.replace(core, c, F.lit("")))).cast("double")),
         "codes": F.transform("chars", lambda c: F.position(c, F.col("alphabet")).cast("double") - 1),
+        "letters": split(F.regexp_replace(F.lower("core"), "[^a-z]", "")),
+        "rate": of_alphabet(_change_rate),
+        "n_letters": of_alphabet(lambda a: len(set(re.sub("[^a-z]", "", a.lower()))) or 1),
         "changes": total(F.zip_with(front(F.col("classes")), tail(F.col("classes")), lambda a, b: F.when(a != b, 1.0).otherwise(0.0))),
     })
     t = t.withColumns({"chi": k / n * total(F.transform("counts", lambda c: c * c)) - n, "mean": total(F.col("codes")) / n, "high": F.transform("codes", lambda c: F.when(c * 2 >= k, 1.0).otherwise(0.0))})
@@ -100,36 +143,31 @@ def battery(tokens: DataFrame) -> DataFrame:
         "z_chi": (F.pow(F.greatest(F.col("chi"), F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df)),
         "z_runs": (F.col("runs") - mu) / F.sqrt(F.greatest((mu - 1) * (mu - 2) / (n - 1), F.lit(1e-9))),
         "z_serial": serial * F.sqrt(n),
-        "rate": F.least(F.col("changes") / (n - 1), F.lit(1 - 1e-9)),
     })
     upper = _two_sided(F.col("z_chi")) / 2
     t = t.withColumn("ps", F.array_sort(F.array(F.when(F.col("z_chi") > 0, upper).otherwise(1 - upper), _two_sided(F.col("z_runs")), _two_sided(F.col("z_serial")))))
-    rate, ps = F.col("rate"), F.col("ps")
-    kl = rate * F.log(F.greatest(rate, F.lit(1e-9)) / WORD_CHANGES) + (1 - rate) * F.log((1 - rate) / (1 - WORD_CHANGES))
+    ps = F.col("ps")
     p_random = F.least(ps[0] * 3, ps[1] * 1.5, ps[2])
-    strength = F.when(rate > WORD_CHANGES, (n - 1) * kl / F.log(F.lit(10.0))).otherwise(F.lit(0.0))
+    # ln of the likelihood ratio, averaged over the encodings of which the token's is one
+    rate, changes = F.col("rate"), F.col("changes")
+    by_changes = changes * F.log(rate / WORD_CHANGES) + (n - 1 - changes) * F.log((1 - rate) / (1 - WORD_CHANGES))
+    by_letters = total(F.transform("letters", lambda c: F.element_at(rarity, F.ascii(c) - 96) - F.log("n_letters")))
+    strength = F.greatest((by_changes + by_letters - math.log(len(ENCODINGS))) / math.log(10), F.lit(0.0))
     return t.select(*tokens.columns, p_random.alias("p_random"), strength.alias("strength"))
 
 
-_CLASSES = (
-    "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-=",
-    "a" * 26 + "A" * 26 + "0" * 10 + "-" * 5,
-)
-
-
 def _random(tokens: DataFrame) -> DataFrame:
     """The tokens that are kept as random strings: (uid, kind, value, start, end)."""
     band = sum((F.when(F.length("value") >= b, 1).otherwise(0) for b in BANDS), F.lit(0))
-    # equal tokens are tested once, dealt out by value; strength is -log10 of p_word, its bin's lower edge the larger p
+    # equal tokens are tested once, dealt out by value
     dealt = tokens.select("value").distinct().repartition(int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    scored = battery(dealt).withColumns({"band": band, "bin": F.least(F.floor(F.col("strength") / _BIN), F.lit(_BINS)).cast("int")})
-    tested = materialize(tokens.join(scored.select("value", "band", "bin", "p_random"), "value"), "secret-tokens")
-    bins = tested.groupBy("band", "bin").agg(F.count(F.lit(1)).alias("n"))
-    down = Window.partitionBy("band").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = bins.withColumn("above", F.sum("n").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy("band")))
-    passed = F.pow(F.lit(10.0), -F.col("bin") * _BIN) * F.col("all") <= FDR * F.col("above")
-    cut = ranked.where(passed).groupBy("band").agg(F.min("bin").alias("cut"))
-    kept = tested.join(F.broadcast(cut), "band").where((F.col("bin") >= F.col("cut")) & (F.col("p_random") >= ALPHA))
+    binned = lambda x: F.least(F.floor(x / _BIN), F.lit(_BINS)).cast("int")
+    scored = battery(dealt).withColumns({"band": band, "word_bin": binned(F.col("strength")), "random_bin": binned(-F.log10(F.greatest(F.col("p_random"), F.lit(1e-300))))})
+    scored = scored.withColumn("random_bin", F.greatest("random_bin", F.lit(0)))
+    tested = materialize(tokens.join(scored.select("value", "band", "word_bin", "random_bin"), "value"), "secret-tokens")
+    cuts = _cuts(tested, "word_bin", "word_cut").join(_cuts(tested, "random_bin", "random_cut"), "band", "left")
+    stands = F.col("random_cut").isNull() | (F.col("random_bin") < F.col("random_cut"))
+    kept = tested.join(F.broadcast(cuts), "band").where(stands & (F.col("word_bin") >= F.col("word_cut")))
     return kept.select("uid", "kind", "value", "start", "end")
 
 

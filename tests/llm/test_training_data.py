@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, a round trip or held-out rows, and on awkward tables."""
 
 import hashlib
+import math
 import random
 import re
 import textwrap
@@ -199,6 +200,68 @@ def test_secret_battery(spark):
     assert secrets.redact(df).count() == 30
 
 
+def plain_battery(value):
+    """(p as a random string, -log10 of the bound as ordinary words), step by step."""
+    core = value.rstrip("=")
+    alphabet = next(a for a, p in secrets.ENCODINGS if re.match(p, value))
+    n, k = max(len(core), 2), len(alphabet)
+    two = lambda z: 2 / (1 + math.exp(1.5976 * min(abs(z), 20) + 0.07056 * min(abs(z), 20) ** 3))
+    chi = k / n * sum(c * c for c in Counter(core).values()) - n
+    z_chi = ((max(chi, 0) / (k - 1)) ** (1 / 3) - (1 - 2 / (9 * (k - 1)))) / math.sqrt(2 / (9 * (k - 1)))
+    codes = [alphabet.index(c) for c in core]
+    high = [c * 2 >= k for c in codes]
+    n1, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mu = 2 * n1 * (n - n1) / n + 1
+    z_runs = (runs - mu) / math.sqrt(max((mu - 1) * (mu - 2) / (n - 1), 1e-9))
+    off = [c - sum(codes) / n for c in codes]
+    z_serial = sum(a * b for a, b in zip(off, off[1:])) / max(sum(x * x for x in off), 1e-9) * math.sqrt(n)
+    ps = sorted([two(z_chi) / 2 if z_chi > 0 else 1 - two(z_chi) / 2, two(z_runs), two(z_serial)])
+    kind = lambda c: "l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s"
+    share = Counter(map(kind, alphabet))
+    rate = min(max(1 - sum((x / k) ** 2 for x in share.values()), 1e-9), 1 - 1e-9)
+    ratio = sum(math.log(rate / 0.08) if kind(a) != kind(b) else math.log((1 - rate) / 0.92) for a, b in zip(core, core[1:]))
+    letters = len({c for c in alphabet.lower() if c.isalpha()})
+    ratio += sum(math.log(sum(secrets.LETTERS) / secrets.LETTERS[ord(c) - 97] / letters) for c in core.lower() if c.isalpha())
+    return min(ps[0] * 3, ps[1] * 1.5, ps[2]), max(0, ratio - math.log(len(secrets.ENCODINGS))) / math.log(10)
+
+
+def plain_rejected(strengths):
+    """Benjamini-Hochberg over -log10 p in steps of 0.1."""
+    bins = [int(x / 0.1) for x in strengths]
+    cuts = [b for b in set(bins) if 10 ** (-b * 0.1) * len(bins) <= secrets.FDR * sum(x >= b for x in bins)]
+    return [bool(cuts) and b >= min(cuts) for b in bins]
+
+
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+RANDOM_TOKENS = (UPPER + LOWER + DIGITS + "+/", UPPER + LOWER + DIGITS + "-_", DIGITS + "abcdef", DIGITS + "ABCDEF", UPPER + "234567", LOWER, UPPER, LOWER + DIGITS, UPPER + DIGITS, UPPER + LOWER, UPPER + LOWER + DIGITS)
+
+
+def ordinary(rng):
+    words = rng.choices("configuration international representation application service manager abstract controller document handler response environment production connection".split(), k=rng.randrange(2, 5))
+    forms = ("".join(words), "_".join(words), "/".join(words), "".join(w.title() for w in words), "-".join(words).upper(), "/usr/lib/python3/" + "/".join(words), "2024-01-02-" + "-".join(words))
+    return rng.choice(forms)
+
+
+@pytest.mark.parametrize("alphabet", RANDOM_TOKENS)
+def test_secret_random_spans_against_brute_force(spark, alphabet):
+    """The spans are those of the restated tests; nearly all random tokens are found, also as values of a key, and no ordinary ones."""
+    rng = random.Random(11)
+    rows = [(i, f"key={''.join(rng.choices(alphabet, k=40))} end") for i in range(50)] + [(i, f"see {ordinary(rng)} there") for i in range(50, 500)]
+    got = secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    tokens = [(i, m.start(), m[0]) for i, text in rows for m in re.finditer(r"[A-Za-z0-9+/]{20,}={0,2}|[A-Za-z0-9_-]{20,}={0,2}", text)]
+    bands = [sum(len(v) >= b for b in secrets.BANDS) for _, _, v in tokens]
+    want = []
+    for band in set(bands):
+        mine = [t for t, b in zip(tokens, bands, strict=True) if b == band]
+        p = [plain_battery(v) for _, _, v in mine]
+        fails = plain_rejected([max(0, -math.log10(max(a, 1e-300))) for a, _ in p])
+        words_fail = plain_rejected([b for _, b in p])
+        want += [(i, f"random:{start}:{start + len(v)}") for (i, start, v), f, w in zip(mine, fails, words_fail, strict=True) if w and not f]
+    assert sorted((r.doc_id, s) for r in got for s in r.spans.split(",") if s.startswith("random")) == sorted(want)
+    assert sum(r.n_random > 0 for r in got if r.doc_id < 50) >= 45
+    assert not [r for r in got if r.doc_id >= 50 and r.n_random]
+
+
 # ------------------------------------------------------------------ tokens: packing and files
 
 
