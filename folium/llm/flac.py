@@ -487,7 +487,8 @@ def media_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     media_sha256, feature). Null and empty texts are one frame of spaces. Equal
     texts have equal values; repeated rows and null ids stay as they are.
     """
-    stored = materialize(to_media(docs, id_col, text_col), "flac-media", compression="zstd")
+    # copies of a text and what Rice codes leave of its repeats shrink again in the table that holds the streams
+    stored = materialize(to_media(docs, id_col, text_col), "flac-media", compression="zstd", **{"parquet.compression.codec.zstd.level": "9"})
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def of(media: list[bytes]) -> list[pa.Array]:
