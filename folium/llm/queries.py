@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folium.llm.clusters import CLUSTER_SQL, cluster_digest
 from folium.llm.common import table
 from folium.llm.flac import media_digest
 from folium.llm.html_text import extract_text
 from folium.llm.licenses import license_notices
 from folium.llm.merge_dropout import segmentation_digest
 from folium.llm.packing import pack_documents
+from folium.llm.runs import run_digest
 from folium.llm.secrets import secrets
 from folium.llm.simhash import near_duplicates
 from folium.llm.token_files import token_file_digest
@@ -36,6 +38,8 @@ QUERIES: dict[str, Query] = {
     "op8_topk": _documents(top_k, "embeddings"),
     "op9_token_files": _documents(token_file_digest),
     "op10_licenses": _documents(license_notices),
+    "op11_runs": _documents(run_digest),
+    "op13_clusters": _documents(cluster_digest, "embeddings"),
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_topk": TOP_K_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_topk": TOP_K_SQL, "op13_clusters": CLUSTER_SQL}
