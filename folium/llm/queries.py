@@ -16,6 +16,7 @@ from folium.llm.packing import pack_documents
 from folium.llm.runs import run_digest
 from folium.llm.secrets import secrets
 from folium.llm.simhash import near_duplicates
+from folium.llm.text_quality import quality
 from folium.llm.token_files import token_file_digest
 from folium.llm.topk import TOP_K_SQL, top_k
 from folium.llm.toxicity import toxicity
@@ -39,6 +40,7 @@ QUERIES: dict[str, Query] = {
     "op9_token_files": _documents(token_file_digest),
     "op10_licenses": _documents(license_notices),
     "op11_runs": _documents(run_digest),
+    "op12_quality": lambda spark, sf_dir: quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op13_clusters": _documents(cluster_digest, "embeddings"),
 }
 
