@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,6 +22,8 @@ ORDINALS = {
 }
 #: Words that join the parts of a name.
 CONNECTIVES = ("de", "da", "do", "das", "dos", "e")
+#: Words that stay in lower case within a name.
+PARTICLES = (*CONNECTIVES, "em", "no", "na", "nos", "nas")
 
 
 def strip_ws(c: Column) -> Column:
@@ -199,25 +201,46 @@ def spelled_ordinal(c: Column) -> Column:
     return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0), lambda a, w: a + F.element_at(table, w)))
 
 
+#: The accented letters of the documents and their plain ones.
+_ACCENTED, _PLAIN = "áàâãäéèêëíìîïóòôõöúùûüç", "aaaaaeeeeiiiiooooouuuuc"
+#: Marks that follow the digits of an ordinal.
+_ORDINAL_MARKS = "ºª°*"
+
+
+def plain_lower(c: Column) -> Column:
+    """Lower case without the accents of _ACCENTED, in the JVM."""
+    return F.translate(F.lower(c), _ACCENTED, _PLAIN)
+
+
 def session_number(c: Column) -> Column:
-    """Number of the public session that the first fitting line (at most 250 characters) opens: digits before its title, else ordinal words."""
-    numbered = rf"\b(\d{{1,3}})\s*[ºª°*]\s*[Aa]udi[eê]ncia\s+[Pp][uú]blica"
-    number = lambda x: F.coalesce(F.nullif(F.regexp_extract(x, numbered, 1), F.lit("")).cast("int"), spelled_ordinal(x))
-    opens = lambda x: (F.length(x) <= 250) & x.rlike(r"(?iu)audi[eê]ncia\s+p[uú]blica") & x.rlike("(?iu)instal(?:ada|ado|ação)")
-    found = F.filter(F.transform(F.filter(F.transform(lines(c), strip_ws), opens), number), lambda n: n.isNotNull())
-    return F.get(found, F.lit(0))
+    """Number of the public session that the first fitting line (at most 250 characters) opens: the marked digits before its title, else ordinal words."""
+    title = r"audiencia\s+publica"
+
+    def number(line: Column) -> Column:
+        found = F.regexp_extract(plain_lower(line), rf"(?<!\d)(\d{{1,3}})\s*[{_ORDINAL_MARKS}]\s*{title}", 1)
+        return F.coalesce(F.when(found != "", found).cast("int"), spelled_ordinal(line))
+
+    def opens(line: Column) -> Column:
+        return (F.length(line) <= 250) & plain_lower(line).rlike(title) & plain_lower(line).rlike("instala(?:d[ao]|cao)")
+
+    numbers = F.transform(F.filter(F.transform(lines(c), strip_ws), opens), number)
+    return F.get(F.filter(numbers, lambda n: n.isNotNull()), F.lit(0))
 
 
 def session_date(c: Column, first: int = 2012, last: int = 2015) -> Column:
-    """The first numeric date if its year fits, else the first long-form one ("5 de março de 2013", the words "de" optional) under the same test."""
-    part = lambda p, i: F.regexp_extract(c, p, i)
-    numeric, long_form = r"\b(\d{1,2})[/-](\d{1,2})[/-](\d{4})\b", r"(?i)\b(\d{1,2})\s*(?:de)?\s*([A-Za-zçÇãõ]+)\s*(?:de)?\s*(\d{4})\b"
-    word = F.lower(part(long_form, 2))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.when(word == "marco", F.lit("março")).otherwise(word))
-    one = F.try_to_date(F.concat_ws("-", part(numeric, 3), F.lpad(part(numeric, 2), 2, "0"), F.lpad(part(numeric, 1), 2, "0")))
-    two = F.try_to_date(F.concat_ws("-", part(long_form, 3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(long_form, 1), 2, "0")))
-    fits = lambda d: F.when(F.year(d).between(first, last), d)
-    return F.coalesce(fits(one), fits(two))
+    """The first numeric date if its year fits, else the first long-form one (day, month in words, year, with or without "de" between) under the same test."""
+    text, months = plain_lower(c), F.array(*(plain_lower(F.lit(m)) for m in MONTHS))
+    joint = r"(?:\s+de\s+|\s+)"
+
+    def date(pattern: str, month: Callable[[Column], Column]) -> Column:
+        day, middle, year = (F.regexp_extract(text, rf"(?<!\d){pattern}(?!\d)", i) for i in (1, 2, 3))
+        found = F.try_to_date(F.concat_ws("-", year, F.lpad(month(middle), 2, "0"), F.lpad(day, 2, "0")))
+        return F.when(F.year(found).between(first, last), found)
+
+    return F.coalesce(
+        date(r"(\d{1,2})[-/](\d{1,2})[-/](\d{4})", lambda m: m),
+        date(rf"(\d{{1,2}}){joint}(\p{{L}}{{3,}}){joint}(\d{{4}})", lambda m: F.array_position(months, m).cast("string")),
+    )
 
 
 def footnote_class(c: Column) -> Column:
@@ -259,7 +282,9 @@ def parse_ambiguous_date(c: Column) -> Column:
 
 
 #: Words that stand for nothing known.
-UNKNOWN = ("não se aplica", "nao se aplica", "não identificado", "nao identificado", "não consta", "ignorado", "desconhecido")
+UNKNOWN = ("não se aplica", "nao se aplica", "não identificado", "nao identificado", "não identificada", "nao identificada", "não consta", "ignorado", "desconhecido", "")
+#: Words that stand for no place.
+NO_PLACE = (*UNKNOWN, "exterior")
 
 
 def null_words(c: Column, words: Iterable[str] = UNKNOWN) -> Column:
@@ -268,17 +293,18 @@ def null_words(c: Column, words: Iterable[str] = UNKNOWN) -> Column:
 
 def parse_place(c: Column) -> Column:
     """struct(city, state): a date in front goes, unknown words are null; `City (UF)` gives both."""
-    place = null_words(F.nullif(strip_ws(F.regexp_replace(c, rf"^\s*{_DMY}\s*,?", "")), F.lit("")))
+    place = null_words(F.regexp_replace(strip_ws(F.regexp_replace(c, rf"^\s*{_DMY}\s*,?", "")), r"\s*,$", ""), NO_PLACE)
     pair = r"^(.*?)\s*\(([A-Za-z]{2})\)\s*\.?$"
     state = F.nullif(F.upper(F.regexp_extract(place, pair, 2)), F.lit(""))
-    return F.struct(F.when(state.isNotNull(), strip_ws(F.regexp_extract(place, pair, 1))).otherwise(place).alias("city"), state.alias("state"))
+    return F.struct(F.when(state.isNotNull(), F.regexp_replace(F.regexp_extract(place, pair, 1), r"\s*,$", "")).otherwise(place).alias("city"), state.alias("state"))
 
 
 def title_case_name(c: Column) -> Column:
-    """All-caps names to title case, connectives lower but at the start; mixed case stays."""
-    words = F.split(F.lower(c), " ")
-    cased = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*CONNECTIVES), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))))
-    return F.when(F.upper(c) == c, F.array_join(cased, " ")).otherwise(c)
+    """Names in capitals, or that begin in lower case, to title case, particles lower but at the start; all others are trimmed alone."""
+    words = F.filter(F.split(F.lower(c), r"(?U)\s+"), lambda w: w != "")
+    cased = F.transform(words, lambda w, i: F.when((i > 0) & w.isin(*PARTICLES), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))))
+    mixed = c.rlike(r"^\p{Lu}") & c.rlike(r"\p{Ll}")
+    return F.when(mixed, strip_ws(c)).otherwise(F.array_join(cased, " "))
 
 
 @pandas_udf(StringType())
@@ -315,11 +341,14 @@ def cut_with_mark(c: Column, n: int, mark: str) -> Column:
 
 
 def split_summary(c: Column) -> Column:
-    """struct(summary, answer): divided at the first line of three or more dashes; labels go; all is the answer if a side is empty."""
-    label = r"(?i)^\s*(?:\*\*)?\s*(?:resumo|resposta|summary|answer)\s*(?:\*\*)?\s*:\s*(?:\*\*)?\s*"
+    """struct(summary, answer): divided at the first line of three or more dashes; labels at the start of either side go, all is the answer if a side is empty.
+
+    A label is the side's name, with or without its part's number before it and a colon after it.
+    """
+    label = lambda part, name: rf"(?iU)\A\s*(?:parte\s*{part}\s*[—-]?\s*)?{name}\s*:?\s*"
     at = F.regexp_instr(c, F.lit(r"(?m)^[ \t]*-{3,}[ \t]*$"))
-    head = strip_ws(F.regexp_replace(F.substring(c, F.lit(1), F.greatest(at - 1, F.lit(0))), label, ""))
+    head = strip_ws(F.regexp_replace(F.substring(c, F.lit(1), F.greatest(at - 1, F.lit(0))), label(1, "resumo"), ""))
     tail = strip_ws(F.regexp_replace(F.regexp_replace(F.substr(c, at), r"\A[ \t]*-{3,}[ \t]*", ""), r"\A\s+", ""))
-    tail = strip_ws(F.regexp_replace(tail, label, ""))
+    tail = strip_ws(F.regexp_replace(tail, label(3, r"resposta(?:\s+completa)?"), ""))
     divided = (at > 0) & (head != "") & (tail != "")
     return F.struct(F.when(divided, head).otherwise(F.lit("")).alias("summary"), F.when(divided, tail).otherwise(strip_ws(c)).alias("answer"))

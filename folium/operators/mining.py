@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from folium.functions.text import CONNECTIVES, MONTHS, fold_text
+from folium.functions.text import CONNECTIVES, MONTHS, fold_text, strip_ws
 
 WIDTH, REACH, AFTER_COST = 130, 160, 40
 #: Confidence, best first.
@@ -142,38 +142,64 @@ def birth_headers(pages: DataFrame, back: int = 5, reach: int = 300, excerpt: tu
     return each.select("source", "page", "x.*", F.lit("alta").alias("confidence"))
 
 
-def birth_narrative(pages: DataFrame, state_name: str, other_states: Sequence[str], reach: int = REACH, before: int = 150) -> DataFrame:
-    """(source, page, name, city, excerpt, confidence) of `nascido em X, state`; windows that name another state before it are dropped."""
-    phrase = rf"(?:nascid[oa] (?:em|no|na)|natural d[eao])\s+([A-ZÀ-Þ][\w' -]{{2,40}}?)\s*(?:,|\(|-)\s*(?:no |do |da )?(?:estado d[oae] )?{state_name}"
-    found = re.compile(phrase)
-    other = re.compile("|".join(map(re.escape, other_states)) or r"\Z\A")
+#: Phrases before a birthplace; those of the first group make a find certain enough for "media".
+BORN_IN = (r"nascid[oa]\s+em", r"natural\s+de")
+FROM_PLACE = (r"nasceu\s+em", r"natural\s+d[ao](?:\s+cidade\s+de)?", r"originári[oa]\s+de", r"oriund[oa]\s+de", r"nativ[oa]\s+de", r"procedência\s*:?")
+#: Fixed value: the label of a page with a birth line.
+BIRTH_LABEL = "Data e local de nascimento"
 
-    @pandas_udf("array<struct<city:string,window:string,start:int,end:int,explicit:boolean>>")
+
+def birth_narrative(pages: DataFrame, state_name: str, other_states: Sequence[str], reach: int = REACH, before: int = 150, state_code: str | None = None) -> DataFrame:
+    """(source, page, name, city, excerpt, confidence) of `nascido em X, state`: alta on pages with a birth label, media and baixa by the phrase.
+
+    The state is its name, its code in brackets, or either after "do" or "do
+    Estado do". A find is dropped where another state (name or code) is named as a
+    birthplace shortly before it, not where one is merely mentioned. Phrases are
+    cut off the end of a name.
+    """
+    state = "|".join([rf"(?:do\s+)?(?:estado\s+d[aeo]\s+)?{re.escape(state_name)}", *([rf"\({re.escape(state_code)}\)"] if state_code else [])])
+    found = re.compile(rf"({'|'.join((*BORN_IN, *FROM_PLACE))})\s*([A-Za-zÀ-ÿ\s'-]+?)\s*[,(-]?\s*(?:{state})(?!\w)", re.I)
+    certain = re.compile("|".join(BORN_IN), re.I)
+    other = re.compile(rf"nascid[oa]\s+(?:no|na|em|à)\s+(?:{'|'.join(map(re.escape, other_states))})(?!\w)", re.I) if other_states else re.compile(r"\Z\A")
+
+    @pandas_udf("array<struct<city:string,window:string,start:int,end:int,certain:boolean>>")
     def run(texts: pd.Series) -> pd.Series:
         def of(text: str) -> list[dict]:
             span = reach + 80
             return [
-                {"city": m[1].strip(), "window": text[max(0, m.start() - span) : m.end() + span], "start": min(span, m.start()), "end": min(span, m.start()) + m.end() - m.start(), "explicit": m[0].startswith("nascid")}
+                {"city": " ".join(m[2].split()), "window": text[max(0, m.start() - span) : m.end() + span], "start": min(span, m.start()), "end": min(span, m.start()) + m.end() - m.start(), "certain": bool(certain.match(m[1]))}
                 for m in found.finditer(text)
                 if not other.search(text[max(0, m.start() - before) : m.start()])
             ]
 
         return texts.map(of, na_action="ignore")
 
-    each = pages.where(F.col("text").contains(state_name)).withColumn("x", F.explode(run("text"))).select("source", "page", "x.*")
-    name = nearest_name(proper_names("window"), F.col("start"), F.col("end"), reach)
-    return each.select("source", "page", name.alias("name"), "city", F.col("window").alias("excerpt"), F.when(F.col("explicit"), "media").otherwise("baixa").alias("confidence")).where("name is not null")
+    states = "|".join(re.escape(x) for x in (state_name, state_code) if x)
+    each = pages.where(F.col("text").rlike(f"(?iu){states}")).withColumn("labelled", F.col("text").contains(BIRTH_LABEL)).withColumn("x", F.explode(run("text"))).select("source", "page", "labelled", "x.*")
+    near = nearest_name(proper_names("window"), F.col("start"), F.col("end"), reach)
+    name = strip_ws(F.regexp_replace(near, r"(?iu)\s*(?:natural\s+d[aeo]|nascid[oa]\s+em).*", ""))
+    sure = F.when(F.col("labelled"), "alta").when(F.col("certain"), "media").otherwise("baixa")
+    return each.select("source", "page", name.alias("name"), "city", F.col("window").alias("excerpt"), sure.alias("confidence")).where("name <> ''")
 
 
 def birth_date(text: Column, position: Column, latest: int = 1980) -> Column:
-    """dd/mm/yyyy of the date after a birth phrase between 200 characters before and 500 after; none after the latest year."""
+    """dd/mm/yyyy of the first date up to the latest year that follows a birth phrase between 200 characters before the position and 500 after.
+
+    Months are numbers, words or their first three letters.
+    """
     near = F.substring(text, F.greatest(position - 199, F.lit(1)), F.lit(700))
-    numeric = r"(?i)(?:nascid[oa] em|nascimento:)\s*(\d{1,2})[/.](\d{1,2})[/.](\d{4})"
-    worded = rf"(?i)(?:nascid[oa] em|nascimento:)\s*(\d{{1,2}})º? de ({'|'.join(MONTHS)}) de (\d{{4}})"
-    part = lambda p, i: F.nullif(F.regexp_extract(near, p, i), F.lit(""))
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(part(worded, 2))).cast("string")
-    date = lambda d, m, y: F.when(y.cast("int") <= latest, F.concat_ws("/", F.lpad(d, 2, "0"), F.lpad(m, 2, "0"), y))
-    return F.coalesce(date(part(numeric, 1), part(numeric, 2), part(numeric, 3)), F.when(part(worded, 1).isNotNull(), date(part(worded, 1), month, part(worded, 3))))
+    months = "|".join((*MONTHS, *(m[:3] for m in MONTHS)))
+    joint = r"\s*(?:de|[/.])\s*"
+    dated = rf"(?iu)(?:nascid[oa]\s+em|nasceu\s+em|nascimento\s*:?)\s*(\d{{1,2}})º?{joint}({months}|\d{{1,2}}){joint}(\d{{4}})"
+    short = F.array(*(F.lit(m[:3]) for m in MONTHS))
+
+    def date(phrase: Column) -> Column:
+        day, month, year = (F.regexp_extract(phrase, dated, i) for i in (1, 2, 3))
+        number = F.when(month.rlike(r"^\d"), month).otherwise(F.array_position(short, F.lower(F.substring(month, 1, 3))).cast("string"))
+        return F.when(year.cast("int") <= latest, F.concat_ws("/", F.lpad(day, 2, "0"), F.lpad(number, 2, "0"), year))
+
+    dates = F.transform(F.regexp_extract_all(near, F.lit(dated), F.lit(0)), date)
+    return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
 
 
 def dedup_best(candidates: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
-"""Section labels: as-of joins, carry-forward windows, relabelling."""
+"""Section labels: as-of joins, carry-forward scans, relabelling. A source may be larger than a task."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions.text import chapter_opening, fold_text, lines, page_first, session_date, session_number, strip_ws
+from folium.operators.scans import as_of, scan
 
 
 def running_section(pages: DataFrame, max_n: int, chapter_word: str = "capítulo", cue: str = r"(?i)\b(?:p\.|pp\.|v\.|ed\.|cit\.|ibid)") -> DataFrame:
@@ -27,17 +28,9 @@ def running_section(pages: DataFrame, max_n: int, chapter_word: str = "capítulo
     return pages.withColumns({"detected": F.coalesce(opening, line), "text": F.when(taken.isNotNull(), cleaned).otherwise(F.col("text"))})
 
 
-def with_range_ends(ranges: DataFrame, by: Sequence[str] = ("source",)) -> DataFrame:
-    """Starts turned into [start, before the next start)."""
-    w = Window.partitionBy(*by).orderBy("start")
-    return ranges.withColumn("end", F.lead("start").over(w))
-
-
 def section_by_range(pages: DataFrame, ranges: DataFrame, column: str = "section") -> DataFrame:
     """As-of join: the label of the greatest start not after the page, null before the first. ranges: (source, start, label)."""
-    r = with_range_ends(ranges).select(F.col("source").alias("r_source"), "start", "end", F.col("label").alias(column))
-    at = (F.col("source") == F.col("r_source")) & (F.col("page") >= F.col("start")) & (F.col("end").isNull() | (F.col("page") < F.col("end")))
-    return pages.join(r, at, "left").drop("r_source", "start", "end")
+    return as_of(pages, ranges, ["source"], "page", "start", "label", column)
 
 
 def subsection_coherent(pages: DataFrame, sections: DataFrame, subsections: DataFrame) -> DataFrame:
@@ -65,23 +58,22 @@ def toc_numbers(chunks: DataFrame) -> DataFrame:
     each = chunks.select("source", "ordinal", F.posexplode(lines("text")).alias("line_no", "line")).withColumn("line", strip_ws("line"))
     is_number = F.col("line").rlike(r"^\d{1,4}$")
     name = F.when(~is_number & (F.col("line") != ""), F.regexp_replace("line", r"[.\s]{3,}$", ""))
-    w = Window.partitionBy("source").orderBy("ordinal", "line_no").rowsBetween(Window.unboundedPreceding, -1)
-    return each.withColumn("name", F.last(name, ignorenulls=True).over(w)).where(is_number & F.col("name").isNotNull()).select("source", F.col("line").cast("int").alias("number"), "name")
+    named = scan(each, ["source"], ["ordinal", "line_no"], {"name": ("before", name)})
+    return named.where(is_number & F.col("name").isNotNull()).select("source", F.col("line").cast("int").alias("number"), "name")
 
 
 def carry_section(pages: DataFrame, detected: str = "detected") -> DataFrame:
     """The last detected section holds until the next. Call it before rejected pages are filtered out."""
-    w = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    return pages.withColumn("section", F.last(detected, ignorenulls=True).over(w))
+    return scan(pages, ["source"], ["page"], {"section": ("last", F.col(detected))})
 
 
 def section_per_paragraph(paragraphs: DataFrame, opens: str, closes: str, heading: Column) -> DataFrame:
     """Paragraphs carry the latest heading while the gate between an opening and a closing mark is on. paragraphs: (source, page, para_no, text)."""
-    order = Window.partitionBy("source").orderBy("page", "para_no").rowsBetween(Window.unboundedPreceding, 0)
+    by, order = ["source"], ["page", "para_no"]
     mark = F.when(F.col("text").rlike(opens), True).when(F.col("text").rlike(closes), False)
-    gated = paragraphs.withColumn("gate", F.coalesce(F.last(mark, ignorenulls=True).over(order), F.lit(False)))
+    gated = scan(paragraphs, by, order, {"gate": ("last", mark)}).withColumn("gate", F.coalesce("gate", F.lit(False)))
     found = F.when(F.col("gate") & heading, F.split_part("text", F.lit("\n"), F.lit(1)))
-    carried = gated.withColumn("section", F.last(found, ignorenulls=True).over(order))
+    carried = scan(gated, by, order, {"section": ("last", found)})
     return carried.withColumn("section", F.when(F.col("gate"), F.col("section"))).drop("gate")
 
 
@@ -92,9 +84,8 @@ def session_detect(pages: DataFrame) -> DataFrame:
 
 def sessions_to_ranges(sessions: DataFrame) -> DataFrame:
     """(source, start, label) without detections that repeat the number before them."""
-    before = F.lag("number").over(Window.partitionBy("source").orderBy("page"))
     label = F.concat(F.col("number"), F.lit("ª audiência pública"), F.coalesce(F.date_format("date", " – dd/MM/yyyy"), F.lit("")))
-    return sessions.withColumn("before", before).where(~F.col("number").eqNullSafe(F.col("before"))).select("source", F.col("page").alias("start"), label.alias("label"))
+    return scan(sessions, ["source"], ["page"], {"before": ("previous", F.col("number"))}).where(~F.col("number").eqNullSafe(F.col("before"))).select("source", F.col("page").alias("start"), label.alias("label"))
 
 
 def relabel_chunks(chunks: DataFrame, ranges: DataFrame, keep_below_first: bool = False, pages: Sequence[int] | None = None) -> DataFrame:
@@ -123,9 +114,8 @@ def rename_labels(chunks: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def stamp_from_marker(chunks: DataFrame, section: str, marker: str, note: str) -> DataFrame:
     """Inside a section, from the first chunk that holds the marker to the end, set the note."""
-    w = Window.partitionBy("source", "section").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.max(F.col("text").contains(marker)).over(w)
-    return chunks.withColumn("note", F.when((F.col("section") == section) & seen, F.lit(note)).otherwise(F.col("note")))
+    marked = scan(chunks, ["source", "section"], ["ordinal"], {"seen marker": ("max", F.col("text").contains(marker))})
+    return marked.withColumn("note", F.when((F.col("section") == section) & F.col("seen marker"), F.lit(note)).otherwise(F.col("note"))).drop("seen marker")
 
 
 def patch_source_fields(sources: DataFrame, patches: DataFrame, key: str = "source") -> DataFrame:

@@ -105,20 +105,28 @@ def _m8(d):
     return d.select("p_partkey", t.fold_text(F.concat("p_name", F.lit("  São  Ä "), "p_brand")).alias("folded"))
 
 
-@_register("m13_birth_narrative", "customer", "SELECT c_custkey AS page, 'Maria de Souza' AS name, 'Vila ' || c_mktsegment AS city, 'media' AS confidence FROM customer WHERE c_custkey % 3 > 0")
+@_register("m13_birth_narrative", "customer", """SELECT c_custkey AS page, 'Maria de Souza' AS name, 'Vila ' || lower(c_mktsegment) AS city, CASE WHEN c_custkey % 5 = 0 THEN 'alta' WHEN c_custkey % 8 < 2 THEN 'media' ELSE 'baixa' END AS confidence FROM customer WHERE c_custkey % 3 > 0""")
 def _m13(d):
-    """Every third narrative names another state before the birthplace."""
-    start = F.when(F.col("c_custkey") % 3 == 0, "em Santa Catarina, ").otherwise("em casa, ")
-    text = F.concat(start, F.lit("Maria de Souza foi nascida em Vila "), "c_mktsegment", F.lit(", Paraná, e ficou."))
-    found = m.birth_narrative(d.select(F.lit("s").alias("source"), F.col("c_custkey").alias("page"), text.alias("text")), "Paraná", ["Santa Catarina"])
+    """Every phrase and form of the state; every third narrative names another state as a birthplace before, the others merely mention it; every fifth page has a birth label."""
+    k = F.col("c_custkey")
+    start = F.when(k % 3 == 0, "irmã nascida em Santa Catarina, ").otherwise("em Santa Catarina, ")
+    phrase = F.get(F.array(*map(F.lit, ("nascida em", "natural de", "nasceu em", "natural da cidade de", "oriunda de", "originária de", "nativa de", "procedência:"))), (k % 8).cast("int"))
+    state = F.get(F.array(*map(F.lit, (", Paraná", " (PR)", " do estado do Paraná", ", do Paraná"))), (k % 4).cast("int"))
+    label = F.when(k % 5 == 0, "\nData e local de nascimento").otherwise("")
+    text = F.concat(start, F.lit("Maria de Souza, "), phrase, F.lit(" Vila "), F.lower("c_mktsegment"), state, F.lit(", e ficou."), label)
+    found = m.birth_narrative(d.select(F.lit("s").alias("source"), k.alias("page"), text.alias("text")), "Paraná", ["Santa Catarina"], state_code="PR")
     return found.select("page", "name", "city", "confidence")
 
 
 @_register("m14_birth_date", "orders", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate - INTERVAL 30 YEAR, '%d/%m/%Y') END AS born FROM orders")
 def _m14(d):
-    """Dates of thirty years before, and, at odd keys, too late ones."""
-    day = F.when(F.col("o_orderkey") % 2 == 0, F.add_months("o_orderdate", -360)).otherwise(F.to_date("o_orderdate"))
-    return d.select("o_orderkey", m.birth_date(F.concat(F.lit("Ela, nascida em "), F.date_format(day, "d/M/yyyy"), F.lit(".")), F.lit(1)).alias("born"))
+    """Dates of thirty years before after every phrase and in every form, behind one that is too late; at odd keys the late one alone."""
+    k, day = F.col("o_orderkey"), F.add_months("o_orderdate", -360)
+    word = F.get(F.array(*map(F.lit, t.MONTHS)), F.month(day) - 1)
+    month = F.when(k % 3 == 0, F.concat(F.lit("/"), F.month(day).cast("string"), F.lit("/"))).when(k % 3 == 1, F.concat(F.lit(" de "), word, F.lit(" de "))).otherwise(F.concat(F.lit("/"), F.upper(F.substring(word, 1, 3)), F.lit("/")))
+    phrase = F.get(F.array(*map(F.lit, ("nascida em", "Nasceu em", "nascimento", "Data de nascimento:"))), (k % 8 / 2).cast("int"))
+    early = F.when(k % 2 == 0, F.concat(F.lit(" Ela, "), phrase, F.lit(" "), F.dayofmonth(day).cast("string"), month, F.year(day).cast("string"), F.lit("."))).otherwise("")
+    return d.select("o_orderkey", m.birth_date(F.concat(F.lit("A filha, nascida em 3/4/1992."), early), F.lit(1)).alias("born"))
 
 
 # ------------------------------------------------------------------ rules

@@ -152,16 +152,16 @@ def _p3(spark, d):
     return _orders(spark, d).select("o_orderkey", t.parse_ambiguous_date(F.col("dmy")).alias("parsed"))
 
 
-@_register("p4_parse_place", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE n_name END AS city, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 2 = 0 THEN 'PR' END AS state FROM customer JOIN nation ON c_nationkey = n_nationkey")
+@_register("p4_parse_place", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 OR c_custkey % 7 = 0 THEN NULL ELSE n_name END AS city, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AND c_custkey % 2 = 0 THEN 'PR' END AS state FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _p4(spark, d):
     c = _table(spark, d, "customer").join(_table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    raw = F.when(F.col("c_custkey") % 5 == 0, "não identificado").when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("1/2/50, "), "n_name", F.lit(" (pr)"))).otherwise(F.col("n_name"))
+    raw = F.when(F.col("c_custkey") % 5 == 0, "Não identificada").when(F.col("c_custkey") % 7 == 0, "3/4/1970, Exterior").when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("1/2/50, "), "n_name", F.lit(" (pr)"))).otherwise(F.col("n_name"))
     return c.select("c_custkey", t.parse_place(raw).alias("x")).select("c_custkey", "x.city", "x.state")
 
 
 @_register("p5_null_words", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_name END AS value FROM customer")
 def _p5(spark, d):
-    return _table(spark, d, "customer").select("c_custkey", t.null_words(F.when(F.col("c_custkey") % 4 == 0, " Não se aplica ").otherwise(F.col("c_name"))).alias("value"))
+    return _table(spark, d, "customer").select("c_custkey", t.null_words(F.when(F.col("c_custkey") % 8 == 0, "Não identificada").when(F.col("c_custkey") % 4 == 0, " Não se aplica ").otherwise(F.col("c_name"))).alias("value"))
 
 
 @_register("p6_slugify", "SELECT p_partkey, regexp_replace(regexp_replace(lower(strip_accents(p_name || ' São é')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
@@ -169,10 +169,11 @@ def _p6(spark, d):
     return _table(spark, d, "part").select("p_partkey", t.slugify(F.concat("p_name", F.lit(" São é"))).alias("slug"))
 
 
-@_register("p7_title_case_name", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN array_to_string(list_transform(string_split('maria da ' || lower(c_mktsegment), ' '), lambda w, i: CASE WHEN i > 1 AND w = 'da' THEN w ELSE upper(w[1]) || w[2:] END), ' ') ELSE 'Maria da ' || lower(c_mktsegment) END AS name FROM customer")
+@_register("p7_title_case_name", "SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN 'Na Maria da Serra e no ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' nas em' ELSE 'Na Maria Da ' || lower(c_mktsegment) END AS name FROM customer")
 def _p7(spark, d):
-    raw = F.concat(F.lit("Maria da "), F.lower("c_mktsegment"))
-    return _table(spark, d, "customer").select("c_custkey", t.title_case_name(F.when(F.col("c_custkey") % 2 == 0, F.upper(raw)).otherwise(raw)).alias("name"))
+    raw = F.concat(F.lit("Na Maria da Serra  e no "), F.lower("c_mktsegment"), F.lit(" nas em"))
+    cased = F.when(F.col("c_custkey") % 3 == 1, F.upper(raw)).when(F.col("c_custkey") % 3 == 2, F.lower(raw)).otherwise(F.concat(F.lit("Na Maria Da "), F.lower("c_mktsegment")))
+    return _table(spark, d, "customer").select("c_custkey", t.title_case_name(cased).alias("name"))
 
 
 @_register("p8_source_slug", "SELECT p_partkey, concat_ws('-', 'doc', p_partkey::VARCHAR, array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(p_name), '[^a-z0-9 ]', '', 'g'), ' +'), lambda w: length(w) > 2)[1:4], '-')) AS slug FROM part")

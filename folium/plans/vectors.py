@@ -95,9 +95,16 @@ def _r7(spark, d):
     return h.select("conv_id", "turn", F.when(F.size("history") > 0, F.size("history")).cast("long").alias("n"), F.when(F.size("history") > 0, F.array_join(F.transform("history", lambda x: x["turn"].cast("string")), ",")).alias("turns"))
 
 
-@_register("r8_split_summary", r"SELECT conv_id, turn, CASE WHEN text <> '' THEN 'short' ELSE '' END AS summary, CASE WHEN text <> '' THEN md5(text) ELSE md5('Resumo: short' || chr(10) || '---') END AS digest FROM (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS text FROM conversations)")
+#: How the sides of an answer are labelled, and one side that is nothing but its label.
+_SUMMARIES, _ANSWERS = ("Resumo: short", "RESUMO\nshort", "Parte 1 — Resumo: short", "parte 1 resumo short", "short", "Resumo:"), ("", "Resposta: ", "Resposta completa:\n", "PARTE 3 - Resposta completa ")
+
+
+@_register("r8_split_summary", r"""SELECT conv_id, turn, CASE WHEN text <> '' AND s < 5 THEN 'short' ELSE '' END AS summary, md5(CASE WHEN text <> '' AND s < 5 THEN text ELSE regexp_replace(whole, '^\s+|\s+$', '', 'g') END) AS digest
+FROM (SELECT *, regexp_replace(coalesce(raw, ''), '^\s+|\s+$', '', 'g') AS text, [{s}][s + 1] || chr(10) || ' ----' || chr(10) || [{a}][a + 1] || coalesce(raw, '') AS whole
+  FROM (SELECT conv_id, turn, text AS raw, (conv_id + turn) % 6 AS s, turn % 4 AS a FROM conversations))""".format(**{k: ", ".join("'" + x.replace("\n", "' || chr(10) || '") + "'" for x in v) for k, v in (("s", _SUMMARIES), ("a", _ANSWERS))}))
 def _r8(spark, d):
-    c = _table(spark, d, "conversations").select("conv_id", "turn", split_summary(F.concat(F.lit("Resumo: short\n---\n"), F.coalesce("text", F.lit("")))).alias("s"))
+    pick = lambda forms, i: F.get(F.array(*map(F.lit, forms)), i.cast("int"))
+    c = _table(spark, d, "conversations").select("conv_id", "turn", split_summary(F.concat(pick(_SUMMARIES, (F.col("conv_id") + F.col("turn")) % 6), F.lit("\n ----\n"), pick(_ANSWERS, F.col("turn") % 4), F.coalesce("text", F.lit("")))).alias("s"))
     return c.select("conv_id", "turn", "s.summary", F.md5("s.answer").alias("digest"))
 
 
