@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from folium.functions.text import CONNECTIVES, MONTHS, fold_text, strip_ws
+from folium.sources.shared import written
 
 WIDTH, REACH, AFTER_COST = 130, 160, 40
 #: Confidence, best first.
@@ -102,17 +103,55 @@ def group_candidates(candidates: DataFrame, examples: int | None = None) -> Data
     return per.select("key", "name", (F.slice(excerpts, 1, examples) if examples else excerpts).alias("excerpts"), F.element_at(F.array(*map(F.lit, CONFIDENCE)), F.col("rank").cast("int")).alias("confidence"), "evidence")
 
 
-def known_entities(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
-    """candidates(key, ..) with `known`: one folded name holds the other.
+#: Length of the first signatures; texts that may share one and still be compared; longest signature.
+GRAM, MOST_AT_GRAM, LONGEST_GRAM = 5, 4096, 640
+
+
+def _grams(c: str, n: int) -> Column:
+    """The different stretches of n characters of a text that has as many."""
+    at = F.sequence(F.lit(1), F.length(c) - n + 1)
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(at, lambda i: F.substr(F.col(c), i, F.lit(n)))))
+
 
-    Names in whole words share a word, so both sides meet on words instead of in a
-    nested loop; a hit that cuts through a word is not counted.
+def contained(needles: DataFrame, hays: DataFrame, give: str, *, gram: int = GRAM, most: int = MOST_AT_GRAM) -> DataFrame:
+    """(needle) held by some hay, or (hay) that hold some needle, as `give` says; needles(needle) and hays(hay) are distinct and not empty.
+
+    A needle is placed at its rarest stretch of `gram` characters, a hay at all of
+    its stretches that a needle is placed at; where they meet the whole texts are
+    compared. A needle no longer than a stretch is one, and meets by equality
+    alone. Needles whose every stretch stands in more than `most` hays wait for
+    stretches of twice the length, so no meeting of unequal texts is larger.
     """
-    words = lambda df, c, names: df.select(*names, F.explode(F.array_distinct(F.split(c, " "))).alias("w"))
-    p = profiles.select(fold_text("name").alias("p")).where("p <> ''").distinct()
-    padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    met = words(candidates.select("key").distinct(), "key", ["key"]).join(words(p, "p", ["p"]), "w")
-    hit = met.where(F.contains(padded("key"), padded("p")) | F.contains(padded("p"), padded("key"))).select("key").distinct().withColumn("known", F.lit(True))
+    found = None
+    while gram <= LONGEST_GRAM:
+        short = needles.where(F.length("needle") <= gram).select("needle", F.length("needle").alias("n"))
+        lengths = sorted(r["n"] for r in short.select("n").distinct().collect())  # at most `gram`
+        pieces = hays.select("hay", F.explode(F.flatten(F.array_compact(F.array(*(_grams("hay", n) for n in lengths))))).alias("needle")) if lengths else None
+        hits = [] if pieces is None else [short.join(pieces.select("needle").distinct(), "needle", "left_semi").select("needle") if give == "needle" else pieces.join(short.select("needle"), "needle", "left_semi").select("hay")]
+        long = needles.where(F.length("needle") > gram)
+        placed = hays.select("hay", F.explode(_grams("hay", gram)).alias("g"))
+        asked = long.select("needle", F.explode(_grams("needle", gram)).alias("g"))
+        often = placed.join(asked.select("g").distinct(), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("at"))
+        # a stretch that no hay has rules its needle out: all others are met
+        rarest = asked.join(often, "g", "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("at", F.lit(0)).alias("at"), "g")).alias("r"))
+        rarest = written(rarest.where("r.at > 0").select("needle", "r.at", "r.g"), "names-rarest")
+        met = placed.join(rarest.where(F.col("at") <= most).select("needle", "g"), "g").where(F.contains("hay", "needle"))
+        for hit in (*hits, met.select(give)):
+            found = hit if found is None else found.unionByName(hit)
+        needles = rarest.where(F.col("at") > most).select("needle")
+        if needles.isEmpty():
+            break
+        gram *= 2
+    return found.distinct()
+
+
+def known_entities(candidates: DataFrame, profiles: DataFrame) -> DataFrame:
+    """candidates(key, ..) with `known`: one folded name holds the other, be it inside a word. Empty names are known to nothing."""
+    keys = written(candidates.select("key").where("key <> ''").distinct(), "names-keys")
+    p = written(profiles.select(fold_text("name").alias("p")).where("p <> ''").distinct(), "names-known")
+    within = contained(keys.toDF("needle"), p.toDF("hay"), "needle").toDF("key")
+    around = contained(p.toDF("needle"), keys.toDF("hay"), "hay").toDF("key")
+    hit = within.unionByName(around).distinct().withColumn("known", F.lit(True))
     return candidates.join(hit, "key", "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
@@ -223,42 +262,55 @@ def review_queue(candidates: DataFrame) -> DataFrame:
     return candidates.where(~F.col("in_gazetteer") | (F.col("confidence") != "alta"))
 
 
-#: Names searched for in one pass over the texts.
+#: Names of one automaton, searched for in one pass over the texts.
 NAMES_AT_ONCE = 50_000
 
 
-def _holding(chunks: DataFrame, needles: Sequence[str]) -> DataFrame:
-    """chunks(title, ordinal, excerpt, low) once for each needle that low holds: (title, ordinal, excerpt, needle). One pass by an automaton of the needles."""
+def _holding(chunks: DataFrame, needles: DataFrame, at_once: int) -> DataFrame:
+    """chunks(title, ordinal, excerpt, low) once for each of needles(needle) that low holds: (title, ordinal, excerpt, needle).
+
+    Needles are cut into shards of about `at_once`; a shard is broadcast as one row,
+    which each task finds at its first text and builds its automaton from.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for n in needles:
-            automaton.add_word(n, n)
-        automaton.make_automaton()
+        automaton = None
         for batch in batches:
-            found = [sorted({n for _, n in automaton.iter(low)}) if low else [] for low in batch.column("low").to_pylist()]
+            if automaton is None and batch.num_rows:
+                automaton = ahocorasick.Automaton()
+                for n in batch.column("shard")[0].as_py():
+                    automaton.add_word(n, n)
+                automaton.make_automaton()
+            full = automaton is not None and len(automaton) > 0
+            found = [sorted({n for _, n in automaton.iter(low)}) if low and full else [] for low in batch.column("low").to_pylist()]
             rows = pa.array([i for i, names in enumerate(found) for _ in names], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("title", "ordinal", "excerpt")), pa.array([n for names in found for n in names], pa.string())], ["title", "ordinal", "excerpt", "needle"])
 
-    kept = chunks.select("title", "ordinal", "excerpt", "low")
-    return kept.mapInArrow(run, StructType([*kept.schema.fields[:3], StructField("needle", StringType())]))
+    shards = max(1, -(-needles.count() // at_once))
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    texts = chunks.select("title", "ordinal", "excerpt", "low", first.alias("first"))
+    schema = StructType([*texts.schema.fields[:3], StructField("needle", StringType())])
+    out = None
+    for shard in range(shards):
+        own = needles.where(F.pmod(F.xxhash64("needle"), F.lit(shards)) == shard).agg(F.collect_set("needle").alias("shard"))
+        given = texts.crossJoin(F.broadcast(own)).select("title", "ordinal", "excerpt", "low", F.when(F.col("first"), F.col("shard")).alias("shard"))
+        found = given.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
-def mentions(shortlist: DataFrame, chunks: DataFrame) -> DataFrame:
+def mentions(shortlist: DataFrame, chunks: DataFrame, at_once: int = NAMES_AT_ONCE) -> DataFrame:
     """(name, title, ordinal, excerpt, by_tail): chunks that hold each name, case aside; names without any are tried by their last two words.
 
-    The shortlist is a curator's; it reaches the driver, and every NAMES_AT_ONCE of its names cost two passes over the texts.
-    Empty names are left out.
+    Names stay in tables: a pass over the texts for each `at_once` of them, and one
+    for each `at_once` tails of names that weren't met. Empty names are left out.
     """
     low = chunks.select("title", "ordinal", F.col("text").alias("excerpt"), F.lower("text").alias("low"))
-    names = [(r.name, r.needle) for r in shortlist.select("name", F.lower("name").alias("needle")).where("name <> ''").distinct().collect()]
-    out = None
-    for at in range(0, max(1, len(names)), NAMES_AT_ONCE):
-        block = names[at : at + NAMES_AT_ONCE]
-        full = {n for _, n in block}
-        met = {r.needle for r in _holding(low, sorted(full)).select("needle").distinct().collect()} if full else set()
-        asked = [(name, n, False) if n in met else (name, " ".join(n.split(" ")[-2:]), True) for name, n in block]
-        table = chunks.sparkSession.createDataFrame(asked, "name string, needle string, by_tail boolean")
-        found = _holding(low, sorted({n for _, n, _ in asked if n})).join(F.broadcast(table), "needle").select("name", "title", "ordinal", "excerpt", "by_tail")
-        out = found if out is None else out.unionByName(found)
-    return out
+    names = written(shortlist.select("name", F.lower("name").alias("needle")).where("name <> ''").distinct(), "mentions-names")
+    full = written(_holding(low, names.select("needle").distinct(), at_once), "mentions-full")
+    words = F.split("needle", " ")
+    tails = names.join(full.select("needle").distinct(), "needle", "left_anti").select("name", F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)), " ").alias("needle"))
+    tails = written(tails.where("needle <> ''"), "mentions-tails")
+    by_tail = _holding(low, tails.select("needle").distinct(), at_once)
+    told = lambda found, asked, tail: found.join(asked, "needle").select("name", "title", "ordinal", "excerpt", F.lit(tail).alias("by_tail"))
+    return told(full, names, False).unionByName(told(by_tail, tails, True))

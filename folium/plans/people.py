@@ -65,12 +65,17 @@ def _m9(spark, d):
     return m.group_candidates(_mined(spark, d)).select("key", "name", "confidence", "evidence", F.size("excerpts").alias("excerpts"))
 
 
-@_register("m10_known_entities", "WITH c AS (SELECT c_custkey, lower(c_name) AS n, CASE WHEN c_custkey % 3 = 0 THEN lower(c_name) || ' extra' ELSE lower(c_name) END AS k FROM customer) SELECT DISTINCT k AS key, c_custkey % 2 = 0 AS known FROM c")
+@_register("m10_known_entities", """WITH c AS (SELECT c_custkey, lower(c_name) || ' ' || lower(c_mktsegment) AS n FROM customer),
+k AS (SELECT DISTINCT CASE c_custkey % 4 WHEN 0 THEN n || ' extra' WHEN 1 THEN n WHEN 2 THEN substr(n, 5, 16) ELSE 'x' || substr(n, 3) || 'y' END AS key FROM c),
+p AS (SELECT CASE WHEN c_custkey % 3 = 0 THEN substr(n, 4, 17) ELSE n END AS p FROM c WHERE c_custkey % 2 = 0 UNION ALL SELECT 'auto')
+SELECT key, EXISTS (SELECT 1 FROM p WHERE contains(key, p) OR contains(p, key)) AS known FROM k""")
 def _m10(spark, d):
-    c = _table(spark, d, "customer")
-    key = F.lower("c_name")
-    cands = c.select(F.when(F.col("c_custkey") % 3 == 0, F.concat(key, F.lit(" extra"))).otherwise(key).alias("key"))
-    return m.known_entities(cands, c.where("c_custkey % 2 = 0").select(F.col("c_name").alias("name"))).distinct()
+    """Names that hold each other whole, at a word's border, inside words, or not at all; a short name that a fifth of all holds."""
+    c = _table(spark, d, "customer").select("c_custkey", F.lower(F.concat("c_name", F.lit(" "), "c_mktsegment")).alias("n"))
+    i, n = F.col("c_custkey") % 4, F.col("n")
+    cands = c.select(F.when(i == 0, F.concat(n, F.lit(" extra"))).when(i == 1, n).when(i == 2, F.substring(n, 5, 16)).otherwise(F.concat(F.lit("x"), F.substring(n, 3, 1000), F.lit("y"))).alias("key")).distinct()
+    profiles = c.where("c_custkey % 2 = 0").select(F.when(F.col("c_custkey") % 3 == 0, F.substring(n, 4, 17)).otherwise(n).alias("name"))
+    return m.known_entities(cands, profiles.unionByName(spark.createDataFrame([("Auto",)], "name string")))
 
 
 _CAND = "WITH c AS (SELECT c_name AS name, 'n' || c_nationkey AS city, CASE c_custkey % 3 WHEN 0 THEN 'alta' WHEN 1 THEN 'media' ELSE 'baixa' END AS confidence, c_mktsegment AS seg, c_custkey AS seq, c_custkey % 2 = 0 AS known FROM customer) "
