@@ -40,7 +40,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CHROME_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments disqus respond reply replies form search widget toolbar pagination pager hidden".split()
 )
+#: Words of the names of regions that readers write in.
+READER_WORDS = frozenset("comment comments commentlist commenter commenters disqus discussion discussions reply replies respond".split())
+#: Share of the text outside chrome that a region so named may hold; one that holds more is the page's text.
+MOST_READERS = 0.5
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
+#: Characters of slots that are broadcast; places of a host beyond that.
+BROADCAST_CHARS, PLACES = 1 << 24, 64
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -60,15 +66,20 @@ def _names_chrome(value: str) -> bool:
     return False
 
 
+def _names_readers(value: str) -> bool:
+    """Whether a word of a class or id names a region of readers' comments."""
+    return any(w.lower() in READER_WORDS for w in _NAMES.findall(value))
+
+
 class _Element:
-    __slots__ = ("tag", "path", "chrome", "article", "link")
+    __slots__ = ("tag", "path", "chrome", "article", "link", "readers")
 
-    def __init__(self, tag: str, path: str, chrome: bool, article: bool, link: bool):
-        self.tag, self.path, self.chrome, self.article, self.link = tag, path, chrome, article, link
+    def __init__(self, tag: str, path: str, chrome: bool, article: bool, link: bool, readers: bool):
+        self.tag, self.path, self.chrome, self.article, self.link, self.readers = tag, path, chrome, article, link, readers
 
 
 def _open(tag: str, attributes: str, parent: _Element) -> _Element:
-    label, chrome, article = tag, parent.chrome or tag in CHROME, parent.article
+    label, chrome, article, readers = tag, parent.chrome or tag in CHROME, parent.article, parent.readers
     if attributes and not attributes.isspace():
         for name, *values in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), next((v for v in values if v), "")
@@ -76,7 +87,9 @@ def _open(tag: str, attributes: str, parent: _Element) -> _Element:
                 continue
             if name in ("class", "id"):
                 label += "." + re.sub(r"\d+", "", value)
-                chrome = chrome or (tag not in ("html", "body", "main", "article") and _names_chrome(value))
+                if tag not in ("html", "body", "main", "article"):
+                    chrome = chrome or _names_chrome(value)
+                    readers = readers or _names_readers(value)
             elif name == "role":
                 chrome = chrome or value.lower() in CHROME_ROLES
                 article = article or value.lower() == "main"
@@ -92,12 +105,12 @@ def _open(tag: str, attributes: str, parent: _Element) -> _Element:
         chrome = True
     elif tag in _HEADINGS and parent.tag == "header" and parent.article and not parent.path.count("/header") > 1:
         chrome = False
-    return _Element(tag, f"{parent.path}/{label}", chrome, article, parent.link or tag == "a")
+    return _Element(tag, f"{parent.path}/{label}", chrome, article, parent.link or tag == "a", readers)
 
 
-def parse(page: str) -> tuple[dict[str, int], list[tuple[str, bool, bool, int, str]]]:
-    """(how often each path opens, blocks in page order); a block is (path, chrome, in the article, linked characters, text)."""
-    root = _Element("", "", False, False, False)
+def parse(page: str) -> tuple[dict[str, int], list[tuple[str, bool, bool, int, str, bool]]]:
+    """(how often each path opens, blocks in page order); a block is (path, chrome, in the article, linked characters, text, of readers)."""
+    root = _Element("", "", False, False, False, False)
     stack, opened, found = [root], {}, []
     pieces: list[str] = []
     linked, holder = 0, root
@@ -107,7 +120,7 @@ def parse(page: str) -> tuple[dict[str, int], list[tuple[str, bool, bool, int, s
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                found.append((holder.path, holder.chrome, holder.article, linked, text))
+                found.append((holder.path, holder.chrome, holder.article, linked, text, holder.readers))
             pieces.clear()
         linked = 0
 
@@ -193,10 +206,15 @@ def _close(stack: list[_Element], tag: str, within: tuple[str, ...]) -> None:
 def main_text(page: str | None, template: frozenset[str] = frozenset()) -> str:
     """The blocks outside chrome and the template's slots, joined by blank lines: those of the article, if it holds most of their text.
 
+    Regions of readers go too, unless the page has no article outside them and they hold most of the text outside chrome.
     A template that would take all text of an article is not that page's: its text stays.
     """
     _, found = parse(page or "")
     open_ = [b for b in found if not b[1]]
+    readers = [b for b in open_ if b[5]]
+    told = any(b[2] and not b[5] for b in open_)  # an article outside: readers may well write more than its author
+    if told or sum(len(b[4]) for b in readers) <= MOST_READERS * sum(len(b[4]) for b in open_):
+        open_ = [b for b in open_ if not b[5]]
     free = [b for b in open_ if b[0] not in template]
     inside = [b for b in free if b[2]] or [b for b in open_ if b[2]]
     outside = [b for b in free if not b[2]]
@@ -219,8 +237,8 @@ def _observed(pages: DataFrame) -> DataFrame:
             for host, page in zip(*batch_columns(batch, "host", "html"), strict=True):
                 opened, found = parse(page or "")
                 slots: dict[str, list] = {}
-                for path, chrome, article, linked, text in found:
-                    if not chrome:
+                for path, chrome, article, linked, text, readers in found:
+                    if not chrome and not readers:
                         s = slots.setdefault(path, [0, 0, xxhash.xxh64()])
                         # links are no sign of the template in an article
                         s[0], s[1] = s[0] + len(text), s[1] + (0 if article else linked)
@@ -277,4 +295,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             texts = [main_text(p, frozenset(s or ())) for p, s in zip(*batch_columns(batch, "html", "paths"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return ready.join(slots, "host", "left").select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    size = slots.agg(F.sum(F.aggregate("paths", F.lit(0).cast("long"), lambda n, p: n + F.length(p)))).first()[0] or 0
+    if size <= BROADCAST_CHARS:
+        with_paths = ready.join(F.broadcast(slots), "host", "left")
+    else:  # a host's pages are dealt to several places, its slots copied to each
+        with_paths = ready.withColumn("place", F.pmod(F.xxhash64("html"), F.lit(PLACES)).cast("int")).join(slots.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1)))).hint("merge"), ["host", "place"], "left")
+    return with_paths.select("page_id", "url", "html", "paths").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter
 
@@ -350,6 +351,29 @@ def test_local_search_empties_bins():
 # ------------------------------------------------------------------ FLAC
 
 
+def test_local_search_on_many_alike():
+    rng = np.random.default_rng(6)
+    for low, high in ((520, 1000), (300, 700), (200, 420), (1, 1024)):
+        lengths = rng.integers(low, high, 16_384)
+        began = time.time()
+        bins = packing.pack_lengths(lengths)
+        fill = np.bincount(bins, lengths)
+        assert fill.max() <= 1024 and (fill > 0).sum() <= len(np.unique(packing.best_fit(lengths, 1024)))
+        assert (fill > 0).sum() >= packing.least_bins(lengths, 1024)
+        assert time.time() - began < 20
+    for _ in range(60):  # the bound holds where the fewest bins are found by trying all
+        few = rng.integers(1, 11, 6)
+        assert packing.least_bins(few, 10) <= fewest(sorted(few.tolist(), reverse=True), 10)
+
+
+def fewest(lengths, capacity, rooms=()):
+    if not lengths:
+        return len(rooms)
+    first, rest = lengths[0], lengths[1:]
+    put = [fewest(rest, capacity, (*rooms[:i], r - first, *rooms[i + 1 :])) for i, r in enumerate(rooms) if r >= first]
+    return min([*put, fewest(rest, capacity, (*rooms, capacity - first))])
+
+
 def test_flac_round_trip_and_checks():
     rng = random.Random(6)
     texts = [b"", b"a" * 500, bytes(range(256)) * 3, b"\x00\xff" * 400, b"plain words " * 99, rng.randbytes(3000), b"x" * (192 * 130)]
@@ -473,6 +497,29 @@ def test_words_of_names_alone_drop_nothing(attributes):
         assert html_text.main_text(f"<article><p>The story.</p><div class='{name}'>x</div></article>") == "The story."
 
 
+@pytest.mark.parametrize("name", ["reader-comments", "user-comments-list", "CommentThread", "commentlist", "reader-discussion", "post__replies-open"])
+def test_readers_are_not_the_story(name):
+    for attribute in ("class", "id"):
+        page = f"<article><p>The story is told here, at some length.</p><section {attribute}='{name}'><p>I read it.</p><p>Me too.</p></section></article>"
+        assert html_text.main_text(page) == "The story is told here, at some length."
+    assert html_text.main_text(f"<body class='{name}'><article class='{name}'><p>Short.</p></article></body>") == "Short."
+    assert html_text.main_text(f"<article><p>Short.</p></article><div class='{name}'><p>{'Long talk. ' * 50}</p></div>") == "Short."
+    assert html_text.main_text(f"<h1>T</h1><div class='wrap {name}'><p>The story is told here.</p></div>") == "T\n\nThe story is told here."
+
+
+def test_readers_under_one_plain_name():
+    assert html_text.main_text("<article><p>The story is told here, at some length.</p></article><div class='discussion'><p>Me too.</p></div>") == "The story is told here, at some length."
+
+
+def test_slots_reach_a_host_at_many_places(spark, monkeypatch):
+    page = lambda i: f"<div class='top'>Always the same</div><div class='body'><p>Story {i} is told</p></div>"
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", page(i)) for i in range(20)] + [(90, None, None)], "page_id long, url string, html string")
+    near = sorted(map(tuple, html_text.extract_text(df).collect()))
+    monkeypatch.setattr(html_text, "BROADCAST_CHARS", -1)
+    assert sorted(map(tuple, html_text.extract_text(df).collect())) == near
+    assert (3, "http://h.example/3", "Story 3 is told", 15) in near
+
+
 def test_teaser_is_not_the_story():
     story = "This is the long story of the page. " * 5
     assert html_text.main_text(f"<div><p>{story}</p></div><article>Read more</article>") == f"{story.strip()}\n\nRead more"
