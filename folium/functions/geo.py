@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,18 +25,18 @@ def parse_geometry(raw: Column) -> Column:
 
 def _inside(v: Column, box: tuple[float, float, float, float]) -> Column:
     w, s, e, n = box
-    return v[0].between(w, e) & v[1].between(s, n)
+    return F.get(v, F.lit(0)).between(w, e) & F.get(v, F.lit(1)).between(s, n)
 
 
 def in_bbox(geometry: Column, box: tuple[float, float, float, float]) -> Column:
     """Inclusive: a point inside, or any vertex of an outer ring; no true intersection."""
-    vertex = F.exists(geometry["polygons"], lambda p: F.exists(p[0], lambda v: _inside(v, box)))
+    vertex = F.exists(geometry["polygons"], lambda p: F.exists(F.get(p, F.lit(0)), lambda v: _inside(v, box)))
     return F.coalesce(_inside(geometry["point"], box), vertex, F.lit(False))
 
 
 def in_bbox_first_vertex(geometry: Column, box: tuple[float, float, float, float]) -> Column:
     """The first vertex of the first outer ring alone decides."""
-    return F.coalesce(_inside(geometry["point"], box), _inside(geometry["polygons"][0][0][0], box), F.lit(False))
+    return F.coalesce(_inside(geometry["point"], box), _inside(F.get(F.get(F.get(geometry["polygons"], F.lit(0)), F.lit(0)), F.lit(0)), box), F.lit(False))
 
 
 def to_point(pair: Column) -> Column:
@@ -50,33 +51,159 @@ def circle(lon: Column, lat: Column, km: Column, n: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.array(lon + dx * F.cos(angle(i)), lat + km / 111.0 * F.sin(angle(i))))
 
 
-def _simplify(ring: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker on a closed ring; the ring itself where fewer than four vertices would be left."""
-    keep = np.zeros(len(ring), bool)
-    keep[[0, -1]] = True
-    far = int(np.argmax(((ring - ring[0]) ** 2).sum(axis=1)))
-    keep[far] = True
-    todo = [(0, far), (far, len(ring) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
+class _Vertices:
+    """The vertices that are left of a geometry's rings, found by place."""
+
+    def __init__(self, points: np.ndarray) -> None:
+        self.points, self.low = points, points.min(axis=0)
+        self.side = max(float((points.max(axis=0) - self.low).max()) / max(1.0, np.sqrt(len(points))), 1e-12)
+        self.cells: dict[tuple[int, int], set[int]] = {}
+        for i, cell in enumerate(map(tuple, self._cell(points).tolist())):
+            self.cells.setdefault(cell, set()).add(i)
+
+    def _cell(self, p: np.ndarray) -> np.ndarray:
+        return np.floor((p - self.low) / self.side).astype(np.int64)
+
+    def remove(self, i: int) -> None:
+        self.cells[tuple(self._cell(self.points[i]).tolist())].discard(i)
+
+    def inside(self, corners: tuple[int, int, int]) -> bool:
+        """Whether a vertex that isn't a corner lies in the triangle of three, or on its border."""
+        t = self.points[list(corners)]
+        low, high = self._cell(t.min(axis=0)).tolist(), self._cell(t.max(axis=0)).tolist()
+        spots = [(x, y) for x in range(low[0], high[0] + 1) for y in range(low[1], high[1] + 1)] if (high[0] - low[0] + 1) * (high[1] - low[1] + 1) <= len(self.cells) else [c for c in self.cells if low[0] <= c[0] <= high[0] and low[1] <= c[1] <= high[1]]
+        near = [i for c in spots for i in self.cells.get(c, ()) if i not in corners]
+        if not near:
+            return False
+        p = self.points[near]
+        turn = lambda a, b: (b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0])
+        sides = np.stack([turn(t[0], t[1]), turn(t[1], t[2]), turn(t[2], t[0])])
+        within = (sides >= 0).all(axis=0) | (sides <= 0).all(axis=0)
+        return bool((within & (p >= t.min(axis=0)).all(axis=1) & (p <= t.max(axis=0)).all(axis=1)).any())
+
+
+def _deviation(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
+    """Greatest distance of points to a segment."""
+    d = b - a
+    along = np.clip(((p - a) @ d) / (float(d @ d) or 1.0), 0, 1)
+    return float(np.sqrt((((p - a) - along[:, None] * d) ** 2).sum(axis=1)).max())
+
+
+def simplified(polygons: list[list[list[list[float]]]], tolerance: float) -> list[list[list[list[float]]]]:
+    """The rings with fewer vertices, none of the old ones further than the tolerance from the new ring.
+
+    Vertices go in the order of how little they matter, each only if the triangle
+    with its neighbours holds no other vertex of the geometry: so rings that don't
+    cross themselves or each other never come to, and holes stay inside. A ring
+    keeps its first vertex and at least two more; short or open ones stay as they are.
+    """
+    rings = [np.array(r, float)[:, :2] for p in polygons for r in p if r]
+    shrinks = [len(r) > 4 and bool((r[0] == r[-1]).all()) and bool(np.isfinite(r).all()) for r in rings]
+    if not any(shrinks) or not all(np.isfinite(r).all() for r in rings):
+        return polygons
+    bodies = [r[:-1] if s else r for r, s in zip(rings, shrinks, strict=True)]
+    points = np.concatenate(bodies)
+    left = _Vertices(points)
+    kept, first = np.ones(len(points), bool), 0
+    for body, shrink in zip(bodies, shrinks, strict=True):
+        if shrink:
+            _shrink(points, left, kept, first, len(body), tolerance)
+        first += len(body)
+    at, first, out = 0, 0, []
+    for p in polygons:
+        out.append([])
+        for r in p:
+            if not r:
+                out[-1].append(r)
+                continue
+            body, shrink = bodies[at], shrinks[at]
+            own = [list(v) for v, k in zip(r, kept[first : first + len(body)], strict=False) if k]
+            out[-1].append([*own, list(r[-1])] if shrink else [list(v) for v in r])
+            at, first = at + 1, first + len(body)
+    return out
+
+
+def _shrink(points: np.ndarray, left: _Vertices, kept: np.ndarray, first: int, n: int, tolerance: float) -> None:
+    before, after = [(i - 1) % n for i in range(n)], [(i + 1) % n for i in range(n)]
+
+    def matters(i: int) -> float:
+        a, b = before[i], after[i]
+        between = np.arange(a + 1, b if b > a else b + n) % n
+        return _deviation(points[first + between], points[first + a], points[first + b])
+
+    queue = [(matters(i), i) for i in range(1, n)]
+    heapq.heapify(queue)
+    latest = {i: d for d, i in queue}
+    size = n
+    while queue and size > 3:
+        d, i = heapq.heappop(queue)
+        if latest.get(i) != d:
             continue
-        d, p = ring[b] - ring[a], ring[a + 1 : b] - ring[a]
-        norm = float(np.hypot(*d))
-        gap = np.abs(d[0] * p[:, 1] - d[1] * p[:, 0]) / norm if norm else np.hypot(p[:, 0], p[:, 1])
-        i = int(np.argmax(gap))
-        if gap[i] > tolerance:
-            keep[a + 1 + i] = True
-            todo += [(a, a + 1 + i), (a + 1 + i, b)]
-    return ring[keep] if keep.sum() >= 4 else ring
+        if d > tolerance:
+            break
+        a, b = before[i], after[i]
+        if left.inside((first + a, first + i, first + b)):
+            continue  # it may go once a neighbour has changed
+        kept[first + i] = False
+        left.remove(first + i)
+        del latest[i]
+        after[a], before[b], size = b, a, size - 1
+        for j in (a, b):
+            if j:
+                latest[j] = matters(j)
+                heapq.heappush(queue, (latest[j], j))
 
 
 def simplify_rings(tolerance: float = 0.01):
-    """A vectorised function of polygons; rings that can't be simplified stay as they are."""
+    """A vectorised function of polygons: simplified() of each; null stays null."""
 
     @pandas_udf(RINGS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        plain = lambda g: [[[[float(x) for x in v] for v in r] for r in p] for p in g]
         for polygons in batches:
-            yield polygons.map(lambda g: [[_simplify(np.array([list(v) for v in r], float), tolerance).tolist() if len(r) > 4 else [list(v) for v in r] for r in p] for p in g], na_action="ignore")
+            yield polygons.map(lambda g: simplified(plain(g), tolerance), na_action="ignore")
 
     return run
+
+
+# ------------------------------------------------------------------ places of geometries in a table
+
+#: Finest level of the quadtree whose cells a table of geometries is laid out in: 2 to this power squared.
+FINEST = 6
+
+
+def bounds(geometry: Column) -> Column:
+    """struct(w, s, e, n) of a point or of all outer rings; null without vertices."""
+    own = F.when(geometry["point"].isNotNull(), F.array(geometry["point"]))
+    rings = F.flatten(F.filter(F.transform(geometry["polygons"], lambda p: F.get(p, F.lit(0))), lambda r: r.isNotNull()))
+    v = F.coalesce(own, rings)
+    x, y = F.transform(v, lambda p: F.get(p, F.lit(0))), F.transform(v, lambda p: F.get(p, F.lit(1)))
+    return F.when(F.size(v) > 0, F.struct(F.array_min(x).alias("w"), F.array_min(y).alias("s"), F.array_max(x).alias("e"), F.array_max(y).alias("n")))
+
+
+def _grid(level: int, x: float | Column, y: float | Column) -> tuple:
+    """Column and row of a place among the 2**level squared cells of the world; places beyond it belong to the outermost."""
+    most = (1 << level) - 1
+    if isinstance(x, Column):
+        clip = lambda c: F.greatest(F.lit(0), F.least(F.lit(most), F.floor(c).cast("int")))
+    else:
+        clip = lambda c: int(max(0, min(most, np.floor(c))))
+    return clip((x + 180) / 360 * (most + 1)), clip((y + 90) / 180 * (most + 1))
+
+
+def quad_cell(box: Column, finest: int = FINEST) -> Column:
+    """struct(level, cx, cy): the smallest quadtree cell that holds a box whole; level -1 without a box."""
+    out = F.struct(F.lit(0).alias("level"), F.lit(0).alias("cx"), F.lit(0).alias("cy"))
+    for level in range(1, finest + 1):
+        (x, y), (x2, y2) = _grid(level, box["w"], box["s"]), _grid(level, box["e"], box["n"])
+        out = F.when((x == x2) & (y == y2), F.struct(F.lit(level).alias("level"), x.alias("cx"), y.alias("cy"))).otherwise(out)
+    return F.when(box.isNull(), F.struct(F.lit(-1).alias("level"), F.lit(0).alias("cx"), F.lit(0).alias("cy"))).otherwise(out)
+
+
+def cells_of_box(box: tuple[float, float, float, float], finest: int = FINEST) -> Column:
+    """The rows (level, cx, cy) whose cells touch a box: one range of columns and rows a level."""
+    found = F.lit(False)
+    for level in range(finest + 1):
+        (x, y), (x2, y2) = _grid(level, box[0], box[1]), _grid(level, box[2], box[3])
+        found = found | ((F.col("level") == level) & F.col("cx").between(x, x2) & F.col("cy").between(y, y2))
+    return found

@@ -38,14 +38,15 @@ def count_words(text: str) -> int:
 
 
 def count_tokens(c: Column | str, counter: Callable[[str], int] | None = None) -> Column:
-    """Tokens of a text by a pluggable counter; the default one stays in the JVM. Null texts have none."""
+    """Tokens of a text by a pluggable counter, of many texts at once if it has a method `many`; the default one stays in the JVM. Null texts have none."""
     c = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
+    many = getattr(counter, "many", None)
     if counter is None:
         return F.size(F.regexp_extract_all(c, F.lit(_RULE), 0))
 
     @pandas_udf("int")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(counter)
+        return pd.Series(many(texts.tolist()), dtype="int32") if many else texts.map(counter)
 
     return run(c)
 
@@ -251,16 +252,22 @@ def pack_chunks(units: DataFrame, order: list[str], *, target: int = TARGET, ove
 
 
 def split_overlong(chunks: DataFrame, limit: int = LIMIT, counter: Callable[[str], int] | None = None, commas: bool = True) -> DataFrame:
-    """Chunks above the limit as groups of sentences, sentences above it cut after commas; labels are inherited, `part` keeps the order."""
+    """Chunks above the limit as groups of sentences, sentences above it cut after commas, what is above it still between words; labels are inherited, `part` keeps the order."""
     count = counter or count_words
     most = limit - SPECIAL
 
+    def halved(text: str) -> list[str]:
+        words = text.split()
+        if len(words) < 2 or count(text) <= most:
+            return [text]
+        return halved(" ".join(words[: len(words) // 2])) + halved(" ".join(words[len(words) // 2 :]))
+
     def cut(text: str) -> list[str]:
         if count(text) <= most:
             return [text]
         pieces = [p for s in re.split(r"(?<=[.!?])\s+", text) for p in (re.split(r"(?<=,)\s+", s) if commas and count(s) > most else [s])]
         out: list[str] = []
-        for p in pieces:
+        for p in (h for p in pieces for h in halved(p)):
             if out and count(f"{out[-1]} {p}") <= most:
                 out[-1] = f"{out[-1]} {p}"
             else:

@@ -225,8 +225,17 @@ def _g21(spark, d):
     return g.merge_territory_layers([base, base.where("try_cast(code as int) % 4 = 0")]).select("code", "layer")
 
 
-@_register("g22_simplify_rings")
+@_register("g22_simplify_rings", "SELECT c_custkey, 5 + (c_custkey % 3 = 0)::BIGINT + (c_custkey % 7 = 0)::BIGINT AS vertices, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END::BIGINT AS rings FROM customer")
 def _g22(spark, d):
+    """Squares with vertices along their sides and a bump under the tolerance, which stays where a hole reaches into it, as does a spike above the tolerance."""
     k = F.col("c_custkey")
-    c = _table(spark, d, "customer").select("c_custkey", F.array(F.array(geo.circle((k % 360 - 180).cast("double"), (k % 60).cast("double"), F.lit(10.0)))).alias("polygons"))
-    return c.select("c_custkey", F.size(geo.simplify_rings(0.01)(F.col("polygons"))[0][0]).alias("vertices"))
+    x, y = (k % 300 - 150).cast("double"), (k % 120 - 60).cast("double")
+    at = lambda a, b: F.array(x + a, y + b)
+    along = F.transform(F.sequence(F.lit(1), 1 + k % 5), lambda i: F.array(x + 4 * i / 7.0, y))
+    spike = F.when(k % 7 == 0, F.array(at(4.5, 2.0))).otherwise(F.array(at(4.0, 2.0)))
+    ring = F.concat(F.array(at(0.0, 0.0)), along, F.array(at(4.0, 0.0)), spike, F.array(at(4.0, 4.0), at(2.0, 4.005), at(0.0, 4.0), at(0.0, 0.0)))
+    hole = F.array(at(2.0, 4.003), at(1.9, 3.9), at(2.1, 3.9), at(2.0, 4.003))
+    c = _table(spark, d, "customer").select("c_custkey", F.array(F.when(k % 3 == 0, F.array(ring, hole)).otherwise(F.array(ring))).alias("polygons"))
+    out = geo.simplify_rings(0.01)(F.col("polygons"))
+    return c.select("c_custkey", out[0].alias("p")).select("c_custkey", F.size(F.col("p")[0]).cast("long").alias("vertices"), F.size("p").cast("long").alias("rings"))
+

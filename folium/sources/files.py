@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from folium.functions.geo import FINEST, bounds, cells_of_box, in_bbox, in_bbox_first_vertex, quad_cell
 
 ITEM_COLUMNS = ("handle", "title", "author", "date", "n_files", "main_file", "size_mb", "kind")
 
@@ -47,9 +52,97 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.partitionBy("source").mode("overwrite").json(path)
 
 
-def replace_source(incoming: DataFrame, path: str) -> None:
-    """Swap in the partitions of the sources at hand, leave all others; twice is as once."""
-    incoming.write.partitionBy("source").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+def _entries(spark: SparkSession, folder: str) -> list[str]:
+    """Numbers of the finished manifests in a folder, wherever it lies."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(folder)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(at):
+        return []
+    return [x.getPath().getName() for x in system.listStatus(at) if x.getPath().getName().isdigit() and system.exists(hadoop.Path(x.getPath(), "_SUCCESS"))]
+
+
+def _latest(spark: SparkSession, path: str) -> int:
+    return max(map(int, _entries(spark, f"{path}/manifest")), default=0)
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    """Give a folder a name that must be free."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = gateway.new_array(kind, 1)
+    how[0] = kind.NONE
+    at = jvm.org.apache.hadoop.fs.Path(old)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(at, jvm.org.apache.hadoop.fs.Path(new), how)
+
+
+def live_versions(spark: SparkSession, path: str) -> DataFrame:
+    """(source, version): the version that holds each source's rows, by the latest manifest; none before the first."""
+    latest = _latest(spark, path)
+    return spark.read.schema(_MANIFEST).parquet(f"{path}/manifest/{latest}") if latest else spark.createDataFrame([], _MANIFEST)
+
+
+_MANIFEST = "source string, version string"
+
+
+def replace_source(incoming: DataFrame, path: str, sources: DataFrame | None = None) -> None:
+    """Put incoming's rows in the place of all rows of its sources, and of sources(source) where given; leave all others; twice is as once.
+
+    Rows are written as a version of their own. Then a manifest that names the
+    version of each source is written and renamed to the next number; it holds from
+    that moment. Until then, and if a job fails anywhere, readers see what was there
+    before. Of two writers at once the second to rename fails.
+    Rows without a source are a source of their own.
+    """
+    spark = incoming.sparkSession
+    number, version = _latest(spark, path) + 1, f"v{uuid.uuid4().hex}"
+    before = live_versions(spark, path)
+    incoming.sortWithinPartitions("source").write.parquet(f"{path}/data/version={version}")
+    new = spark.read.schema(incoming.schema).parquet(f"{path}/data/version={version}").select(F.col("source").cast("string"))
+    named = (new if sources is None else new.unionByName(sources.select(F.col("source").cast("string")))).distinct()
+    kept = before.join(named.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named")), "left_anti")
+    kept.unionByName(named.withColumn("version", F.lit(version))).write.parquet(f"{path}/manifest/_{version}")
+    _rename(spark, f"{path}/manifest/_{version}", f"{path}/manifest/{number}")
+
+
+def read_sources(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+    """The rows that replace_source() has put into a table: of each source those of its latest version."""
+    if not _latest(spark, path):
+        raise FileNotFoundError(f"no source has been written to {path}")
+    reader = spark.read.schema(StructType([*_fields(schema), StructField("version", StringType())])) if schema else spark.read.option("mergeSchema", True)
+    rows, live = reader.parquet(f"{path}/data"), live_versions(spark, path).toDF("live source", "live version")
+    same = F.col("source").cast("string").eqNullSafe(F.col("live source")) & (F.col("version") == F.col("live version"))
+    return rows.join(live, same, "left_semi").drop("version")
+
+
+def _fields(schema: str | StructType) -> list[StructField]:
+    return (schema if isinstance(schema, StructType) else StructType.fromDDL(schema)).fields
+
+
+def drop_old_versions(spark: SparkSession, path: str) -> None:
+    """Delete the versions that the latest manifest doesn't name, unfinished ones too, and older manifests. Call it while nobody reads or writes."""
+    hadoop, latest = spark._jvm.org.apache.hadoop.fs, _latest(spark, path)
+    live = {r["version"] for r in live_versions(spark, path).select("version").distinct().toLocalIterator()}
+    for folder, stays in ((f"{path}/data", lambda name: name.removeprefix("version=") in live), (f"{path}/manifest", lambda name: name == str(latest))):
+        at = hadoop.Path(folder)
+        system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for x in system.listStatus(at) if system.exists(at) else []:
+            if not stays(x.getPath().getName()):
+                system.delete(x.getPath(), True)
+
+
+def write_geometries(df: DataFrame, path: str, geometry: str = "geometry", finest: int = FINEST) -> None:
+    """A table of geometries laid out by the quadtree cells that hold them, so that a box reads few files."""
+    cell = quad_cell(bounds(F.col(geometry)), finest)
+    placed = df.withColumn("quad cell", cell).select("*", "quad cell.*").drop("quad cell")
+    placed.repartition("level", "cx", "cy").write.partitionBy("level", "cx", "cy").mode("overwrite").parquet(path)
+
+
+def read_box(spark: SparkSession, path: str, box: tuple[float, float, float, float], geometry: str = "geometry", *, first_vertex: bool = False, finest: int = FINEST) -> DataFrame:
+    """The rows of write_geometries() whose geometry is in the box, by any vertex of an outer ring or by the first alone; files of other cells aren't read."""
+    near = spark.read.parquet(path).where(cells_of_box(box, finest))
+    inside = in_bbox_first_vertex if first_vertex else in_bbox
+    return near.where(inside(F.col(geometry), box)).drop("level", "cx", "cy")
 
 
 def upsert(current: DataFrame, incoming: DataFrame, key: str | list[str]) -> DataFrame:

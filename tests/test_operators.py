@@ -185,7 +185,7 @@ def test_ingest_replaces_per_source(spark, tmp_path):
     go()
     (tmp_path / "in/b.jsonl").write_text('{"pagina":1,"text":"b"}\n', encoding="utf-8")
     go()
-    got = {(r.source, r.page, r.text) for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    got = {(r.source, r.page, r.text) for r in files.read_sources(spark, str(tmp_path / "t")).collect()}
     assert got == {("a", 1, "one x"), ("a", 2, "two"), ("b", 1, "b")}
 
 
@@ -210,7 +210,7 @@ def test_sources(spark, tmp_path):
     for _ in range(2):
         files.replace_source(spark.createDataFrame([("a", 1), ("b", 2)], "source string, n int"), str(tmp_path / "o"))
         files.replace_source(spark.createDataFrame([("a", 3)], "source string, n int"), str(tmp_path / "o"))
-    assert {(r.source, r.n) for r in spark.read.parquet(str(tmp_path / "o")).collect()} == {("a", 3), ("b", 2)}
+    assert {(r.source, r.n) for r in files.read_sources(spark, str(tmp_path / "o")).collect()} == {("a", 3), ("b", 2)}
 
 
 def test_validation(spark):
