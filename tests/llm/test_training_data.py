@@ -141,6 +141,40 @@ def test_similar_texts_against_brute_force(spark, table, cell_rows):
     assert sorted(str(tuple(r)) for r in jaccard.near_duplicates(df, cell_rows=cell_rows).collect()) == want
 
 
+def forms(spark):
+    """Texts of one form with some words of their own each, some of them alike enough."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    form, rows = [word() for _ in range(120)], []
+    for _ in range(150):
+        words = list(form)
+        for _ in range(rng.choice([1, 4, 5])):
+            words[rng.randrange(120)] = word()
+        rows.append(" ".join(words))
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+@pytest.mark.parametrize("cell_rows", [2048, 20])
+def test_texts_of_one_form(spark, cell_rows, monkeypatch):
+    df, written = forms(spark), {}
+    keep = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda frame, name, **o: written.setdefault(name, []).append(keep(frame, name, **o)) or written[name][-1])
+    want = sorted(zip((r.doc_id for r in df.collect()), plain_similar(df.collect()), strict=True))
+    assert sorted(map(tuple, jaccard.near_duplicates(df, cell_rows=cell_rows).collect())) == want
+    assert len(set(c for _, c in want)) > 50
+    assert written["jaccard-pairs"][0].count() < 150  # of 11,175
+
+
+def test_bitmaps_never_rule_out_similar_sets():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 1 << 63, rng.integers(0, 3000)).astype(np.uint64))
+        b = np.unique(np.r_[a[: rng.integers(0, len(a) + 1)], rng.integers(0, 1 << 63, rng.integers(0, 300)).astype(np.uint64)])
+        bits = [np.frombuffer(jaccard.bitmap(x), np.uint64) for x in (a, b)]
+        assert len(bits[0]) == jaccard.BITMAP // 64
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(a, b))
+
+
 def test_pipeline_removes_similar_texts(spark):
     import corpus_pipeline
 
