@@ -169,8 +169,8 @@ def first_match(c: Column, rules: Sequence[tuple[str, str]], default: str | None
 
 def chapter_opening(c: Column, word: str) -> Column:
     """`N – title` of a page that starts with a number line and the chapter word; the title is the lines up to the first blank one, at most four."""
-    number = F.regexp_extract(c, rf"\A\s*(\d+)\s*\n\s*(?i:{word})\s*\n", 1)
-    rest = F.regexp_replace(c, rf"\A\s*\d+\s*\n\s*(?i:{word})\s*\n\s*", "")
+    number = F.regexp_extract(c, rf"\A\s*(\d+)\s*\n\s*(?iu:{word})\s*\n", 1)
+    rest = F.regexp_replace(c, rf"\A\s*\d+\s*\n\s*(?iu:{word})\s*\n\s*", "")
     title = F.array_join(F.slice(lines(F.split(rest, r"\n\s*\n")[0]), 1, 4), " ")
     return F.when(number != "", F.concat_ws(" – ", number, strip_ws(title)))
 

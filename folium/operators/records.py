@@ -57,10 +57,15 @@ def first_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     return df.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def profile_chunks(chunks: DataFrame, prefix: str = "Perfil – ") -> DataFrame:
-    """(slug, name, text) of the chunks under a profile's section, in order."""
+def profile_parts(chunks: DataFrame, prefix: str = "Perfil – ") -> DataFrame:
+    """chunks under a profile's section with its slug and name, a row each: what profile_chunks() joins, for profiles of any size."""
     on = chunks.where(F.col("section").startswith(prefix)).withColumn("name", F.substr("section", F.lit(len(prefix) + 1)))
-    per = on.withColumn("slug", slugify(F.col("name"))).groupBy("slug").agg(F.min("name").alias("name"), F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("t"))
+    return on.withColumn("slug", slugify(F.col("name")))
+
+
+def profile_chunks(chunks: DataFrame, prefix: str = "Perfil – ") -> DataFrame:
+    """(slug, name, text) of the chunks under a profile's section, in order; a profile's text is one value."""
+    per = profile_parts(chunks, prefix).groupBy("slug").agg(F.min("name").alias("name"), F.array_sort(F.collect_list(F.struct("ordinal", "text"))).alias("t"))
     return per.select("slug", "name", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
 

@@ -115,13 +115,13 @@ def remap_vocabulary(df: DataFrame, column: str, mapping: dict[str, str]) -> Dat
 
 
 def replace_term(df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Case-aware replacement on authored fields only; quoted excerpts are never among them."""
+    """Case-aware replacement of whole words, letters of any language counted, on authored fields only; quoted excerpts are never among them."""
     out = {}
     for c in columns:
         e = F.col(c)
         for old, new in pairs:
             for a, b in ((old, new), (old.capitalize(), new.capitalize()), (old.upper(), new.upper())):
-                e = F.regexp_replace(e, rf"\b{a}\b", b)
+                e = F.regexp_replace(e, rf"(?<![\p{{L}}\p{{N}}_]){a}(?![\p{{L}}\p{{N}}_])", b)
         out[c] = e
     return df.withColumns(out)
 

@@ -44,9 +44,14 @@ def _m1(spark, d):
     return m.prefilter(_chunks(spark, d), _TERM).select("source", "ordinal")
 
 
-@_register("m2_term_windows", f"SELECT doc_id AS ordinal, len(regexp_extract_all(text, '(?i){_TERM}')) AS n FROM documents WHERE regexp_matches(text, '(?i){_TERM}')")
+@_register("m2_term_windows", r"""WITH s AS (SELECT doc_id, text, string_split(lower(text), 'the') AS parts FROM documents WHERE contains(lower(text), 'the')),
+u AS (SELECT doc_id, text, unnest(range(1, len(parts))) AS i, parts FROM s),
+w AS (SELECT doc_id, text, (list_sum(list_transform(parts[1:i], lambda x: length(x))) + 3 * (i - 1))::BIGINT AS pos FROM u),
+x AS (SELECT doc_id, pos, substr(text, greatest(pos - 130, 0) + 1, least(pos, 130) + 133) AS span FROM w)
+SELECT doc_id AS ordinal, pos AS start, md5(span) AS digest, least(pos, 130) AS place FROM x WHERE NOT regexp_matches(span, '(?i)licensed|token')""")
 def _m2(spark, d):
-    return m.term_windows(_chunks(spark, d), _TERM).groupBy("ordinal").agg(F.count(F.lit(1)).alias("n"))
+    w = m.term_windows(_chunks(spark, d), "the", ["licensed", "token"])
+    return w.select("ordinal", F.col("start").cast("long").alias("start"), F.md5("window").alias("digest"), F.col("at").cast("long").alias("place"))
 
 
 def _mined(spark: SparkSession, d: str) -> DataFrame:
@@ -198,6 +203,12 @@ def _p10(spark, d):
     return p.profile_chunks(c).join(n, "slug").select("slug", "n", F.md5("text").alias("digest"))
 
 
+@_register("p10_profile_parts", "SELECT 'source-' || source AS slug, 'Source ' || source AS name, doc_id AS ordinal, md5(text) AS digest FROM documents WHERE doc_id % 2 = 0")
+def _p10_parts(spark, d):
+    c = _chunks(spark, d).withColumns({"section": F.when(F.col("ordinal") % 2 == 0, F.concat(F.lit("Perfil – Source "), "source")).otherwise("Other")})
+    return p.profile_parts(c).select("slug", "name", "ordinal", F.md5("text").alias("digest"))
+
+
 @_register("p11_header_or_fallback", "SELECT c_custkey::VARCHAR AS slug, CASE WHEN c_custkey % 2 = 0 THEN 'header' WHEN c_custkey % 3 = 0 THEN 'chunk' END AS fields FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0")
 def _p11(spark, d):
     c = _table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("slug"), "c_custkey")
@@ -221,9 +232,14 @@ def _p13(spark, d):
     return _table(spark, d, "documents").select("doc_id", F.year(x["start"]).alias("first"), F.year(x["end"]).alias("last"))
 
 
-@_register("p15_spreadsheet_records", "SELECT o_custkey::VARCHAR AS source, (o_orderkey % 1000)::INT AS number, 'Name' AS name, '1/2/1950' AS birth, 'PR' AS state, 'M' AS sex, 1970 AS year FROM orders")
+@_register("p15_spreadsheet_records", "SELECT o_custkey::VARCHAR AS source, (o_orderkey % 1000)::INT AS number, 'Name ' || o_orderpriority AS name, CASE WHEN o_orderkey % 4 > 0 THEN strftime(o_orderdate, '%-d/%-m/%Y') END AS birth, CASE WHEN o_orderkey % 5 > 0 THEN ['PR', 'SP', 'MG'][o_orderkey % 3 + 1] END AS state, CASE WHEN o_orderkey % 2 = 0 THEN 'M' ELSE 'F' END AS sex, (1930 + o_orderkey % 60)::INT AS year FROM orders WHERE o_orderkey % 7 > 0")
 def _p15(spark, d):
-    body = F.concat((F.col("o_orderkey") % 1000).cast("string"), F.lit("\nName\norg\nS\nN\n1/2/1950\nCuritiba\nM\nworker\n1970\nLondrina (PR)"))
+    """Records of eleven lines, a date or a state left out of some, and one in seven too short to be one."""
+    k = F.col("o_orderkey")
+    birth = F.when(k % 4 > 0, F.date_format("o_orderdate", "d/M/yyyy")).otherwise("s.d.")
+    place = F.when(k % 5 > 0, F.concat(F.lit("Vila ("), F.get(F.array(*map(F.lit, ("PR", "SP", "MG"))), (k % 3).cast("int")), F.lit(")"))).otherwise("Vila")
+    fields = [F.concat(F.lit("Name "), "o_orderpriority"), F.lit("org"), F.lit("S"), F.lit("N"), birth, F.lit("Curitiba"), F.when(k % 2 == 0, "M").otherwise("F"), F.lit("worker"), (1930 + k % 60).cast("string"), place]
+    body = F.concat_ws("\n", (k % 1000).cast("string"), fields[0], F.when(k % 7 > 0, F.concat_ws("\n", *fields[1:])))
     return p.spreadsheet_records(_lines(spark, d, body))
 
 
@@ -387,9 +403,16 @@ def _v12(spark, d):
     return v.remap_vocabulary(_table(spark, d, "labels").select("doc_id", "toxic"), "toxic", {"1": "toxic"})
 
 
-@_register("v13_replace_term", r"SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\bthe\b', 'that', 'g'), '\bThe\b', 'That', 'g'), '\bTHE\b', 'THAT', 'g')) AS digest FROM documents WHERE lang = 'en'")
+_EDGE = r"[^\p{L}\p{N}_]"
+_REPLACED = "text"
+for _old, _new in (("the", "that"), ("The", "That"), ("THE", "THAT"), ("der", "dér"), ("Der", "Dér"), ("DER", "DÉR")):
+    for _ in range(2):  # words side by side share the character between them
+        _REPLACED = rf"regexp_replace({_REPLACED}, '(^|{_EDGE}){_old}({_EDGE}|$)', '\1{_new}\2', 'g')"
+
+
+@_register("v13_replace_term", f"SELECT doc_id, md5({_REPLACED}) AS digest FROM documents")
 def _v13(spark, d):
-    return v.replace_term(_table(spark, d, "documents").where("lang = 'en'"), ["text"], [("the", "that")]).select("doc_id", F.md5("text").alias("digest"))
+    return v.replace_term(_table(spark, d, "documents"), ["text"], [("the", "that"), ("der", "dér")]).select("doc_id", F.md5("text").alias("digest"))
 
 
 @_register("v14_territory_audit", "SELECT outcome, count(*) AS n FROM (SELECT CASE c_custkey % 6 WHEN 0 THEN 'error: both' WHEN 1 THEN CASE WHEN c_nationkey % 2 = 0 THEN 'A' ELSE 'error: unknown code' END WHEN 2 THEN 'error: radius without point' WHEN 3 THEN 'B' ELSE 'none' END AS outcome FROM customer) GROUP BY 1")
@@ -443,7 +466,16 @@ def _io11(spark, d):
     return files.dossier(_chunks(spark, d).select(F.col("source").alias("name"), "title", "ordinal", F.col("text").alias("excerpt"))).select("name", F.md5("section").alias("digest"))
 
 
-@_register("t1_quota_flags")
+@_register("io11_dossier_parts", "SELECT source AS name, 1 AS place, 'title ' || source AS title, doc_id AS ordinal, md5('> ' || text || chr(10) || chr(10) || '— title ' || source || chr(10)) AS digest FROM documents UNION ALL SELECT DISTINCT source, 0, NULL, NULL, md5('## ' || source || chr(10)) FROM documents")
+def _io11_parts(spark, d):
+    parts = files.dossier_parts(_chunks(spark, d).select(F.col("source").alias("name"), "title", "ordinal", F.col("text").alias("excerpt")))
+    return parts.select("name", "place", "title", "ordinal", F.md5("part").alias("digest"))
+
+
+@_register("t1_quota_flags", """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id::VARCHAR AS key, event_id AS id, floor(epoch_ms(ts) / 100000)::BIGINT AS ts_ms FROM events),
+w(key, began) AS (SELECT key, min(ts_ms) FROM e GROUP BY key UNION ALL SELECT w.key, min(e.ts_ms) FROM w JOIN e ON e.key = w.key AND e.ts_ms >= w.began + 60000 GROUP BY w.key),
+x AS (SELECT e.*, (SELECT max(began) FROM w WHERE w.key = e.key AND w.began <= e.ts_ms) AS began FROM e)
+SELECT key, id, ts_ms, row_number() OVER (PARTITION BY key, began ORDER BY ts_ms, id) <= 20 AS allowed FROM x""")
 def _t1(spark, d):
     """Users are keys; a hundredth of a second here is one there, so that quotas fill."""
     e = _table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.floor(F.unix_millis(F.col("ts").cast("timestamp_ltz")) / 100_000).alias("ts_ms"))

@@ -182,11 +182,13 @@ def _g15(spark, d):
     return g.birthplaces(_profiles(spark, d), (-47, -24, 20, 10)).select("slug", "lon", "lat")
 
 
-@_register("g16_circle", "SELECT c_custkey, 65::BIGINT AS vertices, round((c_custkey % 170 - 85) + 10 / 111.0, 6) AS north FROM customer")
+@_register("g16_circle", "SELECT c_custkey, 65::BIGINT AS vertices, round((c_custkey % 170 - 85) + 10 / 111.0, 6) AS north, round((c_custkey % 360 - 180) + 10 / (111 * cos(radians(c_custkey % 170 - 85))) * cos(2 * pi() * (c_custkey % 64) / 64), 6) AS lon, round((c_custkey % 170 - 85) + 10 / 111.0 * sin(2 * pi() * (c_custkey % 64) / 64), 6) AS lat, true AS closed FROM customer")
 def _g16(spark, d):
+    """Another vertex of each circle is shown."""
     k = F.col("c_custkey")
+    at = F.element_at("ring", (k % 64 + 1).cast("int"))
     c = _table(spark, d, "customer").select("c_custkey", geo.circle((k % 360 - 180).cast("double"), (k % 170 - 85).cast("double"), F.lit(10.0)).alias("ring"))
-    return c.select("c_custkey", F.size("ring").cast("long").alias("vertices"), F.round(F.col("ring")[16][1], 6).alias("north"))
+    return c.select("c_custkey", F.size("ring").cast("long").alias("vertices"), F.round(F.col("ring")[16][1], 6).alias("north"), F.round(at[0], 6).alias("lon"), F.round(at[1], 6).alias("lat"), (F.col("ring")[0] == F.col("ring")[64]).alias("closed"))
 
 
 @_register("g17_origin_territories", _PROFILES + "SELECT slug, nation % 2 = 0 AS official, CASE WHEN nation % 2 = 0 THEN 5 ELSE 65 END AS vertices FROM live WHERE kind = 'vitima'")

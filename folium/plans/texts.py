@@ -28,7 +28,7 @@ def _register(name: str, sql: str | None = None):
     def keep(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
         QUERIES[name] = lambda spark, sf_dir: f(pages(spark, sf_dir))
         if sql:
-            ORACLE_SQL[name] = _PAGES + sql
+            ORACLE_SQL[name] = sql if sql.startswith("WITH ") else _PAGES + sql
         return f
 
     return keep
@@ -54,10 +54,42 @@ CLEANERS: dict[str, tuple[Callable[[Column], Column], str | None]] = {
     "c13_strip_field_labels": (lambda c: t.strip_field_labels(c, ["token", "contact"]), _BLANK.format(r"regexp_replace(text, '(?im)^\s*(?:token|contact)\s*:.*$', '', 'g')")),
     "c14_collapse_blank": (t.collapse_blank, _BLANK.format("text")),
 }
+#: What two of three pages are given first, so that a cleaner has something to do: a piece of text and what stands in its place.
+PLANTED = {
+    "c1_normalize_space": ((" ", " \t "), ("\n", "\n\n\n\n")),
+    "c3_strip_page_number_lines": (("\n", "\n 12\t\n"),),
+    "c5_dehyphenate": (("th", "t-\nh"), ("en", "e-\nn")),
+    "c7_drop_glyph_lines": (("\n", "\n\ue000\ue001ab\n\ue000 one private mark\n"),),
+    "c9_join_spaced_years": (("\n", "\n1 9 6 4\n"),),
+    "c13_strip_field_labels": (("\n", "\nContact : x y\n"),),
+    "c14_collapse_blank": (("\n", "\n\n\n\n"),),
+}
+
+
+def _planted(name: str) -> Column:
+    """The text of a page with what is planted for a query."""
+    text = F.col("text")
+    for old, new in PLANTED.get(name, ()):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return F.when(F.col("page") % 3 > 0, text).otherwise(F.col("text"))
+
+
+def _cleaned_sql(name: str, cleaner: str) -> str:
+    text = "text"
+    for old, new in PLANTED.get(name, ()):
+        text = f"replace({text}, {_quoted(old)}, {_quoted(new)})"
+    return f"SELECT page, length(x) AS n, md5(x) AS digest FROM (SELECT page, {cleaner} AS x FROM (SELECT page, CASE WHEN page % 3 > 0 THEN {text} ELSE text END AS text FROM p))"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'"
+
+
 for _name, (_column, _sql) in CLEANERS.items():
-    _register(_name, f"SELECT page, length(x) AS n, md5(x) AS digest FROM (SELECT page, {_sql} AS x FROM p)" if _sql else None)(
-        lambda p, f=_column: p.select("page", f(F.col("text")).alias("x")).select("page", F.length("x").cast("long").alias("n"), F.md5("x").alias("digest"))
-    )
+    def _clean(p: DataFrame, f: Callable[[Column], Column] = _column, name: str = _name) -> DataFrame:
+        return p.select("page", _planted(name).alias("text")).select("page", f(F.col("text")).alias("x")).select("page", F.length("x").cast("long").alias("n"), F.md5("x").alias("digest"))
+
+    _register(_name, _sql and _cleaned_sql(_name, _sql))(_clean)
 
 
 @_register("c8_repair_ocr_range", r"""SELECT page, md5(CASE WHEN page BETWEEN 100 AND 400 THEN replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^\p{Lu}\p{L}*\.$')), chr(10)), '***', '') ELSE text END) AS digest FROM p""")
@@ -85,7 +117,9 @@ _register("q6_exclude_pages", "SELECT source, page FROM p WHERE NOT EXISTS (SELE
 _register("q7_effective_page", "SELECT source, CASE WHEN source = 'src1' AND page // 20 <= 14 THEN page // 20 ELSE page END AS page FROM p")(
     lambda p: q.effective_page(p.withColumn("line_no", F.floor(F.col("page") / 20).cast("long")), "src1").select("source", "page")
 )
-_register("q8_text_coverage", "SELECT source, count(*) AS pages, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) AS with_text, coalesce(sum(length(text)), 0)::BIGINT AS characters, round(100.0 * count(*) FILTER (length(trim(coalesce(text, ''))) > 0) / count(*), 2)::DOUBLE AS percent, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) <= 0.5 * count(*) AS scanned FROM p GROUP BY source")(q.text_coverage)
+_register("q8_text_coverage", "WITH p AS (SELECT source, page, CASE WHEN source < 'src12' AND page % 3 > 0 THEN NULL WHEN page % 5 = 0 THEN ' ' ELSE text END AS text FROM documents_as_pages) SELECT source, count(*) AS pages, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) AS with_text, coalesce(sum(length(text)), 0)::BIGINT AS characters, round(100.0 * count(*) FILTER (length(trim(coalesce(text, ''))) > 0) / count(*), 2)::DOUBLE AS percent, count(*) FILTER (length(trim(coalesce(text, ''))) > 0) <= 0.5 * count(*) AS scanned FROM p GROUP BY source".replace("documents_as_pages", "(SELECT source, doc_id AS page, text FROM documents)"))(
+    lambda p: q.text_coverage(p.withColumn("text", F.when((F.col("source") < "src12") & (F.col("page") % 3 > 0), None).when(F.col("page") % 5 == 0, " ").otherwise(F.col("text"))))
+)
 _register("q9_patch_pages", "SELECT source, page, md5(CASE WHEN page % 3 = 0 AND page BETWEEN 50 AND 500 THEN text || '!' ELSE text END) AS digest FROM p")(
     lambda p: q.patch_pages(p, p.where("page % 3 = 0").withColumn("text", F.concat("text", F.lit("!"))), 50, 500).select("source", "page", F.md5("text").alias("digest"))
 )
@@ -116,8 +150,15 @@ _register("s8_classify_by_rules", f"SELECT page, {_CASE} AS label FROM p")(lambd
 _register("s9_caps_heading", r"SELECT page, CASE WHEN regexp_matches(x, '^ANEXO [IVXLCDM]+\b') OR (length(regexp_replace(x, '[^\p{L}]', '', 'g')) > 15 AND upper(x) = x) THEN x END AS heading FROM (SELECT page, regexp_replace(split_part(CASE WHEN page % 2 = 0 THEN upper(replace(text, 'ß', 'ss')) ELSE text END, chr(10), 1), '^\s+|\s+$', '', 'g') AS x FROM p)")(
     lambda p: p.select("page", t.caps_heading(F.when(F.col("page") % 2 == 0, F.upper(F.replace("text", F.lit("ß"), F.lit("ss")))).otherwise(F.col("text"))).alias("heading"))
 )
-_register("s10_profile_heading", r"SELECT page, regexp_matches(split_part(text, chr(10), 1), '^\p{Lu}{2,}\s+-\s+\p{Lu}') AS sigla, regexp_matches(split_part(text, chr(10), 1), '^[\p{Lu}][\p{Lu} ''.-]+\s*\(\d{4}\s*[-–]\s*\d{4}\)$') AS caps FROM p")(
-    lambda p: p.select("page", t.person_heading(F.split_part("text", F.lit("\n"), F.lit(1)), "sigla").alias("sigla"), t.person_heading(F.split_part("text", F.lit("\n"), F.lit(1)), "caps").alias("caps"))
+_HEADS = ("'ABC - Maria de Souza'", "'JOÃO D''ÁVILA (1940-1970)'", "'Maria de Souza (Lia)'", "text", "'Comissão Nacional da Verdade e da'", "'A B C D E F G'", "'Maria, de Souza'")
+_FIRST_LINE = f"split_part(CASE page % {len(_HEADS)} " + " ".join(f"WHEN {i} THEN {h}" for i, h in enumerate(_HEADS)) + " END, chr(10), 1)"
+_TITLE = r"regexp_replace(line, '\s*\([^)]*\)\s*$', '')"
+_register("s10_profile_heading", rf"""SELECT page, regexp_matches(line, '^\p{{Lu}}{{2,}}\s+-\s+\p{{Lu}}') AS sigla, regexp_matches(line, '^[\p{{Lu}}][\p{{Lu}} ''.-]+\s*\(\d{{4}}\s*[-–]\s*\d{{4}}\)$') AS caps,
+len(w) BETWEEN 2 AND 6 AND len(list_filter(w, lambda x: NOT (regexp_matches(x, '^\p{{Lu}}[\p{{L}}''-]*$') OR x IN {t.CONNECTIVES}))) = 0 AND NOT regexp_matches(name, '[.,;:!?]') AND regexp_matches(w[1], '^\p{{Lu}}') AND line NOT IN ('Comissão Nacional da Verdade e da') AS title
+FROM (SELECT *, regexp_split_to_array(name, ' +') AS w FROM (SELECT *, {_STRIP.format(_TITLE)} AS name FROM (SELECT page, {_FIRST_LINE} AS line FROM p)))""")(
+    lambda p: p.select("page", F.split_part(F.when(F.col("page") % len(_HEADS) == 3, F.col("text")).otherwise(F.get(F.array(*(F.lit(h.strip("'").replace("''", "'")) for h in _HEADS)), (F.col("page") % len(_HEADS)).cast("int"))), F.lit("\n"), F.lit(1)).alias("line")).select(
+        "page", *(t.person_heading(F.col("line"), style, ["Comissão Nacional da Verdade e da"]).alias(style) for style in ("sigla", "caps", "title"))
+    )
 )
 _register("s11_section_per_paragraph")(lambda p: s.section_per_paragraph(k.paragraphs(p, "\n"), "^[A-D]", "^Z", F.col("text").rlike(_WORD_LINE)).select("source", "page", "para_no", "section"))
 _register("s13_session_detect", """SELECT source, page, CASE WHEN page % 5 = 4 THEN 70 ELSE 1 + page % 90 END::INT AS number, make_date(2011 + page % 6, 3, 1 + page % 28) AS date FROM p WHERE page % 3 > 0 AND page % 6 BETWEEN 1 AND 4

@@ -65,10 +65,10 @@ def _r3(spark, d):
     return rep.withColumn("top_score", F.round("top_score", 6))
 
 
-@_register("r4_unanswered", _HITS + f"SELECT vec_id AS query_id FROM v WHERE vec_id % {EVERY} = 0 AND vec_id NOT IN (SELECT query_id FROM hits WHERE query_id <> chunk_id)")
+@_register("r4_unanswered", _HITS + f"SELECT vec_id AS query_id FROM v WHERE vec_id % {EVERY} = 0 AND vec_id NOT IN (SELECT query_id FROM hits WHERE query_id <> chunk_id AND similarity >= 0.8)")
 def _r4(spark, d):
     q = _table(spark, d, "embeddings").where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("query_id"))
-    return r.unanswered(q, _hits(spark, d).where("query_id <> chunk_id"))
+    return r.unanswered(q, _hits(spark, d).where("query_id <> chunk_id and similarity >= 0.8"))
 
 
 def _texted(spark: SparkSession, d: str) -> DataFrame:

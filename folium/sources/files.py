@@ -178,8 +178,17 @@ def dossier(mentions: DataFrame) -> DataFrame:
     return per.select("name", F.concat(F.lit("## "), F.col("name"), F.lit("\n\n"), body, F.lit("\n")).alias("section"))
 
 
+def dossier_parts(mentions: DataFrame) -> DataFrame:
+    """(name, place, title, ordinal, part): a name's heading (place 0) and each of its quoted excerpts (place 1), a row each; sorted by all but the last they read as dossier() does."""
+    quotes = mentions.select("name", F.lit(1).alias("place"), "title", "ordinal", F.concat(F.lit("> "), F.col("excerpt"), F.lit("\n\n— "), F.col("title"), F.lit("\n")).alias("part"))
+    none = [F.lit(None).cast(mentions.schema[c].dataType).alias(c) for c in ("title", "ordinal")]
+    heads = mentions.select("name").distinct().select("name", F.lit(0).alias("place"), *none, F.concat(F.lit("## "), F.col("name"), F.lit("\n")).alias("part"))
+    return heads.unionByName(quotes)
+
+
 def write_dossier(mentions: DataFrame, path: str) -> None:
-    dossier(mentions).select("section").write.mode("overwrite").text(path)
+    """The parts in one order over all files, so that no name's excerpts have to fit a row or a task."""
+    dossier_parts(mentions).where("part is not null").orderBy("name", "place", "title", "ordinal").select("part").write.mode("overwrite").text(path)
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
