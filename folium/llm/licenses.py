@@ -4,7 +4,9 @@ Candidate blocks are compressed with each template as a zstandard raw-content
 dictionary, and templates are ranked by how much they shrink a block against its
 size without a dictionary. The first of the ranking whose exact differences in
 wording leave enough standing wins; no template is left out of the ranking or,
-if none before it is confirmed, of the comparison.
+if none before it is confirmed, of the comparison. Identifiers that
+begin alike are told apart so: of templates whose wording stands whole the longest
+wins.
 """
 
 from __future__ import annotations
@@ -96,7 +98,20 @@ TEMPLATES = (
      "source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software "
      "dedicate any and all copyright interest in the software to the public domain."),
     ("Proprietary", "rights reserved", "", "Copyright. All rights reserved. No part of this work may be reproduced without written permission."),
+    *((f"EPL-{v}", f"eclipse {v}", "", wording.format(v=v)) for v in ("1.0", "2.0") for wording in (
+        "Licensed under the Eclipse Public License, Version {v}.", "Eclipse Public License {v}.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License {v} which is available at https://www.eclipse.org/legal/")),
+    *((f"EUPL-{v}", f"eupl {v}", "", wording.format(v=v)) for v in ("1.1", "1.2") for wording in (
+        "Licensed under the EUPL, Version {v}.", "EUPL, Version {v}.",
+        "Licensed under the EUPL, Version {v} or as soon they will be approved by the European Commission subsequent versions of the EUPL (the \"Licence\"); You may not use this work except in compliance "
+        "with the Licence. You may obtain a copy of the Licence at: https://joinup.ec.europa.eu/software/page/eupl Unless required by applicable law or agreed to in writing, software distributed under the "
+        "Licence is distributed on an \"AS IS\" basis, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the Licence for the specific language governing permissions and limitations under the Licence.")),
 )
+#: Identifiers that stand after "SPDX-License-Identifier:".
+SPDX = (
+    "MIT MIT-0 Apache-2.0 BSD-2-Clause BSD-3-Clause ISC Zlib MPL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 BSL-1.0 Unlicense CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-ND-4.0 "
+    "GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later"
+).split()
 #: A sentence with one of these is a candidate.
 CUE_WORDS = frozenset("license licence licenses licences licensed licenced licensing copyright copyrighted redistribute redistribution redistributions spdx cc0".split())
 CUE_PAIRS = frozenset({("rights", "reserved"), ("public", "domain"), ("creative", "commons"), ("cc", "by")})
@@ -109,16 +124,20 @@ REMEMBERED = 4096
 
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
 _WORDS = re.compile(r"[^\W_]+(?:\.\d+)*")
+_V = re.compile(r"\bv(?=\d)")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORDS.findall(text.lower())
+    """Words in lower case; a "v" right before a number is none."""
+    return _WORDS.findall(_V.sub("", text.lower()))
 
 
 def _runs(words: list[str]) -> Iterator[tuple[str, str, str]]:
     return zip(words, words[1:], words[2:])
 
 
+TEMPLATES += tuple((name, f"spdx identifier {' '.join(words_of(name))}", "", f"SPDX-License-Identifier: {name}") for name in SPDX)
+
 _TEMPLATE_RUNS = frozenset(run for *_, wording in TEMPLATES for run in _runs(words_of(wording)))
 
 
@@ -234,10 +253,17 @@ class Matcher:
         for reduction, i in ranked:
             _, always, named, wording, _ = self.templates[i]
             # what fails with the most words that can be common fails with those that are
-            if holds(wording.bound(counts), always, named, wording) and holds(wording.common(found), always, named, wording):
-                won = reduction, i
+            if not holds(wording.bound(counts), always, named, wording):
+                continue
+            same = wording.common(found)
+            if not holds(same, always, named, wording):
+                continue
+            whole = same if same == len(wording.words) else 0
+            if won is None or whole > won[2]:
+                won = reduction, i, whole
+            if not whole:
                 break
-        reduction, i = won or ranked[0]
+        reduction, i = won[:2] if won else ranked[0]
         name, _, _, wording, _ = self.templates[i]
         added, gone = wording.differences(found)
         same = len(found) - len(added)

@@ -587,6 +587,18 @@ def test_licenses(spark):
     assert licenses.license_notices(df.limit(0)).count() == 0
 
 
+def test_license_identifiers():
+    match = licenses.Matcher().match
+    for name in licenses.SPDX:
+        for form in ("SPDX-License-Identifier: {}", "// spdx-license-identifier: {} */"):
+            assert match(form.format(name))[::6] == (name, True), name
+    assert not match("SPDX-License-Identifier: Own-1.0")[6]
+    assert match("SPDX-License-Identifier: EPL-2.0 OR Apache-2.0")[6]
+    for notice, name in {"Eclipse Public License v2.0": "EPL-2.0", "Eclipse Public License, Version 1.0": "EPL-1.0", "EUPL, Version 1.2": "EUPL-1.2", "Licensed under the EUPL v1.1": "EUPL-1.1"}.items():
+        assert match(notice)[::6] == (name, True), notice
+    assert not match("Licensed under the Eclipse Public License")[6]
+
+
 MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
 in the Software without restriction, including without limitation the rights
