@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from folium.llm.common import batch_columns, bounded_batches, materialize
 
@@ -341,14 +342,25 @@ def decode_frames(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
         q[linear[has], j] = _signed(r.take(linear[has], precision[has]), precision[has])
     method = r.take(coded, 2)
     partitions = r.take(coded, 4)
-    if (method > 1).any() or (partitions > 0).any():
-        raise CorruptStream("residuals in several partitions aren't written here")
-    parameter = r.take(coded, np.where(method == 0, 4, 5))
-    escape = parameter == np.where(method == 0, 15, 31)
-    raw_bits = np.zeros(len(coded), np.int64)
-    raw_bits[escape] = r.take(coded[escape], 5)
-    plain = not escape.any()
+    size = BLOCK >> partitions
+    if (method > 1).any() or (size << partitions != BLOCK).any() or (size < order[coded]).any():
+        raise CorruptStream("residuals in partitions that don't fit the block")
+    parameter, raw_bits = np.zeros((2, len(coded)), np.int64)
+
+    def enter(which: np.ndarray) -> None:
+        """Read the Rice parameter of the next partition."""
+        parameter[which] = r.take(coded[which], np.where(method[which] == 0, 4, 5))
+        out = which[parameter[which] == np.where(method[which] == 0, 15, 31)]
+        raw_bits[which] = 0
+        raw_bits[out] = r.take(coded[out], 5)
+
+    enter(np.arange(len(coded)))
+    several = np.flatnonzero(partitions > 0)
     for t in range(BLOCK):
+        if t and len(several):
+            enter(several[t % size[several] == 0])
+        escape = parameter == np.where(method == 0, 15, 31)
+        plain = not escape.any()
         live = order[coded] <= t if t < deepest else slice(None)
         rows, k = coded[live], parameter[live]
         if plain:
@@ -411,6 +423,26 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return out
 
 
+def read_samples(stream: bytes, first: int, count: int) -> bytes:
+    """The payload's bytes of samples first to first + count, entered at the seek point before them; only the frames that hold them are read and verified."""
+    n_samples, _, begin, points, offsets = _read_head(stream)
+    last = min(first + count, n_samples)
+    if first < 0 or first >= last:
+        return b""
+    if not len(points) or points[0]:
+        raise CorruptStream("no seek point at the start")
+    point = int(np.searchsorted(points, first, "right")) - 1
+    buffer, at, sample, parts = np.frombuffer(stream, np.uint8), begin + int(offsets[point]), int(points[point]), []
+    while sample < last:
+        x, number, end = decode_frames(buffer, np.array([at]))
+        if int(number[0]) * BLOCK != sample:
+            raise CorruptStream("a frame is out of place")
+        parts.append((x[0] + 128).astype(np.uint8))
+        at, sample = int(end[0]), sample + BLOCK
+    from_ = first - int(points[point])
+    return np.concatenate(parts)[from_ : from_ + last - first].tobytes()
+
+
 def _read_head(s: bytes) -> tuple[int, bytes, int, np.ndarray, np.ndarray]:
     """(samples, MD5, first frame, sample numbers of the seek points, their offsets)."""
     if s[:4] != b"fLaC":
@@ -463,6 +495,20 @@ def _by_batch(df: DataFrame, id_col: str, data_col: str, kept: list[str], schema
     return df.select(F.col(id_col).cast("long").alias("doc_id"), *kept, F.col(data_col).cast("binary").alias("data")).mapInArrow(run, schema)
 
 
+def pcm_samples(media: DataFrame, media_col: str = "media", column: str = "samples") -> DataFrame:
+    """media with a column of a part of each stream's samples: those from its column `first` on, as many as its column `count` says, found by the seek points. Null in any of the three gives null."""
+    bounded_batches(media.sparkSession)
+    schema = StructType([*media.schema.fields, StructField(column, BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*batch_columns(batch, media_col, "first", "count"), strict=True)
+            found = [None if None in (s, a, n) else read_samples(s, a, n) for s, a, n in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, column])
+
+    return media.mapInArrow(run, schema)
+
+
 def pcm_blocks(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """(doc_id, block, first_sample, pcm): the decoded blocks of 192 samples with their sample offsets. Null streams give none."""
     bounded_batches(media.sparkSession)

@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 
 from folium.llm import flac, html_text, jaccard, licenses, merge_dropout, packing, secrets, simhash, token_files, tokens, topk, toxicity
@@ -445,6 +446,73 @@ def test_flac_reads_known_bytes():
     assert flac.decode([stream]) == [b"\x85" * 192] and flac.encode([b"\x85" * 192]) == [stream]
 
 
+def crc(data, polynomial, bits):
+    value = 0
+    for byte in data:
+        value ^= byte << (bits - 8)
+        for _ in range(8):
+            value = (value << 1 ^ (polynomial if value >> (bits - 1) & 1 else 0)) & ((1 << bits) - 1)
+    return value
+
+
+def partitioned_frame(number, samples, order, partitions, method, raw=None):
+    """A frame of 192 samples with a fixed predictor and residuals in 2 ** partitions parts, each with a parameter of its own; part `raw` unfolded."""
+    head = bytes([0xFF, 0xF8, 0x14, 0x02, number])
+    bits = "".join(f"{b:08b}" for b in head + bytes([crc(head, 0x07, 8)])) + f"{(8 + order) << 1:08b}"
+    bits += "".join(f"{s & 255:08b}" for s in samples[:order])
+    guess = {0: lambda t: 0, 1: lambda t: samples[t - 1], 2: lambda t: 2 * samples[t - 1] - samples[t - 2]}[order]
+    bits += f"{method:02b}{partitions:04b}"
+    size, width = 192 >> partitions, (4, 5)[method]
+    for part in range(1 << partitions):
+        rest = [samples[t] - guess(t) for t in range(max(order, part * size), (part + 1) * size)]
+        if part == raw:
+            bits += "1" * width + f"{11:05b}" + "".join(f"{r & 2047:011b}" for r in rest)
+            continue
+        k = part % 7
+        bits += f"{k:0{width}b}"
+        for r in rest:
+            u = 2 * r if r >= 0 else -2 * r - 1
+            bits += "0" * (u >> k) + "1" + (f"{u & ((1 << k) - 1):0{k}b}" if k else "")
+    bits += "0" * (-len(bits) % 8)
+    body = int(bits, 2).to_bytes(len(bits) // 8, "big")
+    return body + crc(body, 0x8005, 16).to_bytes(2, "big")
+
+
+def test_flac_reads_partitioned_residuals():
+    rng = random.Random(3)
+    frames, samples = [], []
+    for n in range(60):
+        x = [max(-128, min(127, int(40 * math.sin(t / 9 + n)) + rng.randrange(-6, 7))) for t in range(192)]
+        partitions = rng.randrange(6)
+        frames.append(partitioned_frame(n, x, rng.randrange(3), partitions, rng.randrange(2), rng.choice([None, rng.randrange(1 << partitions)])))
+        samples += x
+    signed = np.array(samples, np.int8).tobytes()
+    stream = flac._stream_head(len(samples), hashlib.md5(signed).digest(), np.array([len(f) for f in frames])) + b"".join(frames)
+    payload = bytes(s + 128 for s in samples)
+    assert flac.decode([stream]) == [payload]
+    for first, count in ((0, 1), (191, 2), (192 * 9 + 5, 400), (len(samples) - 3, 99), (len(samples), 1), (-1, 5), (7, 0)):
+        assert flac.read_samples(stream, first, count) == (payload[first : first + count] if 0 <= first else b"")
+    with pytest.raises(flac.CorruptStream):
+        flac.decode([stream[:-1] + bytes([stream[-1] ^ 1])])
+
+
+def test_flac_reads_from_a_sample_on(spark):
+    rng = random.Random(4)
+    texts = [None, "", "short", "".join(rng.choices("abc déf\n", k=9000))]
+    media = flac.to_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    asked = media.withColumn("first", F.lit(1500)).withColumn("count", F.lit(700)).unionByName(media.select("doc_id", "n_bytes", F.lit(None).cast("binary").alias("media"), F.lit(0).alias("first"), F.lit(9).alias("count")))
+    got = sorted((r.doc_id, r.samples) for r in flac.pcm_samples(asked).collect() if r.media is not None)
+    assert got == [(i, flac.payload_of((t or "").encode())[1500:2200]) for i, t in enumerate(texts)]
+    assert all(r.samples is None for r in flac.pcm_samples(asked).collect() if r.media is None)
+    stream = media.where("doc_id = 3").first().media
+    whole = flac.decode([stream])[0]
+    at = len(stream) * 9 // 10  # what lies behind isn't read
+    broken = stream[:at] + bytes([stream[at] ^ 0x55]) + stream[at + 1 :]
+    assert flac.read_samples(broken, 200, 300) == whole[200:500]
+    with pytest.raises(flac.CorruptStream):
+        flac.read_samples(broken, 0, len(whole))
+
+
 @pytest.mark.parametrize("table", [sample, awkward, empty])
 def test_media_digest(spark, table):
     df = table(spark)
