@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from folium.functions.text import lines, slugify, strip_ws
+from folium.operators.scans import scan
 
 _LABEL = re.compile(r"^([A-ZÀ-Þ][\wÀ-ÿ /-]{2,40}):\s*(.*)$")
 
@@ -75,11 +76,13 @@ def header_or_fallback(headers: DataFrame, fallback: DataFrame, key: str = "slug
     return headers.join(other, key, "full_outer").select(key, F.coalesce("fields", "fallback").alias("fields"))
 
 
+_ORDER = ["page_first", "ordinal", "line_no"]
+
+
 def _segments(chunks: DataFrame, starts: Column) -> DataFrame:
     """Lines of ordered chunks with `segment`, which counts the starts so far."""
     each = chunks.select("source", "page_first", "ordinal", F.posexplode(lines("text")).alias("line_no", "line")).withColumn("line", strip_ws("line"))
-    w = Window.partitionBy("source").orderBy("page_first", "ordinal", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return each.withColumn("segment", F.sum(F.when(starts, 1).otherwise(0)).over(w))
+    return scan(each, ["source"], _ORDER, {"segment": ("sum", F.when(starts, 1).otherwise(0))})
 
 
 def numbered_items(chunks: DataFrame, item: str = r"^(\d{2,3})\)\s+(.+)$", reference: str = r"^\(\d{2,3}\)\s+\S") -> DataFrame:
@@ -98,10 +101,9 @@ def spreadsheet_records(chunks: DataFrame, least: int = 10) -> DataFrame:
 
     A record starts at a number of at most three digits (four are a year) before a capitalised line.
     """
-    w = Window.partitionBy("source").orderBy("page_first", "ordinal", "line_no")
-    each = _segments(chunks, F.lit(False)).where("line <> ''").withColumn("next", F.lead("line").over(w))
+    each = scan(_segments(chunks, F.lit(False)).where("line <> ''"), ["source"], _ORDER, {"next": ("next", F.col("line"))})
     start = F.col("line").rlike(r"^\d{1,3}$") & F.col("next").rlike(r"^\p{Lu}\p{L}")
-    marked = each.withColumn("record", F.sum(start.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("record > 0")
+    marked = scan(each, ["source"], _ORDER, {"record": ("sum", F.coalesce(start, F.lit(False)).cast("int"))}).where("record > 0")
     per = marked.groupBy("source", "record").agg(F.array_sort(F.collect_list(F.struct("page_first", "ordinal", "line_no", "line"))).alias("l")).withColumn("f", F.transform("l", lambda x: x["line"])).where(F.size("f") >= least)
     pick = lambda p: F.get(F.filter("f", lambda x: x.rlike(p)), F.lit(0))
     return per.select("source", F.col("f")[0].cast("int").alias("number"), F.col("f")[1].alias("name"), pick(r"^\d{1,2}/\d{1,2}/\d{2,4}$").alias("birth"), F.regexp_extract(pick(r"\(\p{Lu}{2}\)"), r"\((\p{Lu}{2})\)", 1).alias("state"), pick("^[MF]$").alias("sex"), pick(r"^(19|20)\d{2}$").cast("int").alias("year"))
@@ -109,17 +111,15 @@ def spreadsheet_records(chunks: DataFrame, least: int = 10) -> DataFrame:
 
 def triple_blocks(chunks: DataFrame, header: str) -> DataFrame:
     """(source, name, sources, count): after the header line, name / sources / integer triples; other lines are passed over one by one."""
-    w = Window.partitionBy("source").orderBy("page_first", "ordinal", "line_no")
     each = _segments(chunks, F.col("line").rlike(header)).where("segment > 0 and line <> ''")
-    two = each.withColumns({"b": F.lead("line", 1).over(w), "c": F.lead("line", 2).over(w)})
+    two = scan(scan(each, ["source"], _ORDER, {"b": ("next", F.col("line"))}), ["source"], _ORDER, {"c": ("next", F.col("b"))})
     upper = F.length(F.regexp_replace("line", r"[^\p{Lu}]", "")) * 2 > F.length(F.regexp_replace("line", r"[^\p{L}]", ""))
     return two.where(F.col("c").rlike(r"^\d+$") & upper & ~F.col("line").rlike(header)).select("source", F.col("line").alias("name"), F.col("b").alias("sources"), F.col("c").cast("int").alias("count"))
 
 
 def place_pairs(chunks: DataFrame, institution: str, neighbourhoods: dict[str, str], capital_state: str) -> DataFrame:
     """(source, name, city): an institution line and the city line below it; neighbourhoods stand for their capital; later pairs win."""
-    w = Window.partitionBy("source").orderBy("page_first", "ordinal", "line_no")
-    each = _segments(chunks, F.lit(False)).where("line <> ''").withColumn("city", F.lead("line").over(w)).withColumn("seq", F.row_number().over(w))
+    each = scan(_segments(chunks, F.lit(False)).where("line <> ''"), ["source"], _ORDER, {"city": ("next", F.col("line")), "seq": ("number", F.lit(1))})
     table = F.create_map(*(F.lit(x) for pair in neighbourhoods.items() for x in pair)) if neighbourhoods else F.create_map().cast("map<string,string>")
     found = each.where(F.col("line").rlike(institution) & F.col("city").isNotNull()).select("source", F.col("line").alias("name"), F.coalesce(F.element_at(table, F.col("city")), "city").alias("city"), "seq")
     last = Window.partitionBy("source", "name").orderBy(F.desc("seq"))

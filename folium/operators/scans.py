@@ -24,8 +24,8 @@ MOST_BLOCKS, KEY_BLOCKS, FAN_OUT = 1 << 16, 4096, 64
 #: Names of columns that a scan adds and takes away again.
 _BLOCK, _CUTS = "scan block", "scan cuts"
 
-#: What a scan gives a row: the latest non-null value with or before it, the sum or greatest value so far, the row before's value, the rows so far.
-KINDS = ("last", "before", "sum", "max", "previous", "number")
+#: What a scan gives a row: the latest non-null value with or before it, the sum or greatest value so far, the row before's or after's value, the rows so far.
+KINDS = ("last", "before", "sum", "max", "previous", "next", "number")
 
 
 def block_cuts(df: DataFrame, by: Sequence[str], order: str, key_rows: int = KEY_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame | None:
@@ -74,6 +74,7 @@ def _scanned(kind: str, value: Column, order: Sequence[str], within: Sequence[st
         "sum": lambda: F.sum(value).over(so_far),
         "max": lambda: F.max(value).over(so_far),
         "previous": lambda: F.lag(F.struct(value.alias("v"))).over(w),
+        "next": lambda: F.lead(F.struct(value.alias("v"))).over(w),
         "number": lambda: F.row_number().over(w).cast("long"),
     }[kind]()
 
@@ -86,6 +87,7 @@ def _summary(kind: str, value: Column, order: Sequence[str]) -> Column:
         "sum": lambda: F.sum(value),
         "max": lambda: F.max(value),
         "previous": lambda: F.max_by(F.struct(value.alias("v")), at),
+        "next": lambda: F.min_by(F.struct(value.alias("v")), at),
         "number": lambda: F.count(F.lit(1)),
     }[kind]()
 
@@ -97,6 +99,7 @@ def _joined(kind: str, own: Column, earlier: Column) -> Column:
         "sum": lambda: F.coalesce(own + earlier, own, earlier),
         "max": lambda: F.coalesce(F.greatest(own, earlier), own, earlier),
         "previous": lambda: F.coalesce(own, earlier),
+        "next": lambda: F.coalesce(own, earlier),
         "number": lambda: own + F.coalesce(earlier, F.lit(0)),
     }[kind]()
 
@@ -118,10 +121,13 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[s
     large = cuts.select(*(F.col(c).alias(f"{c} of key") for c in by))
     of_large = blocked.join(F.broadcast(large), [F.col(c).eqNullSafe(F.col(f"{c} of key")) for c in by], "left_semi")
     sums = of_large.groupBy(*by, _BLOCK).agg(*(_summary(kind, value, order).alias(f"scan sum {i}") for i, (_, (kind, value)) in numbered))
-    earlier = Window.partitionBy(*by).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(*by).orderBy(_BLOCK)
+    earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
 
     def before(i: int, kind: str) -> Column:
         c = F.col(f"scan sum {i}")
+        if kind == "next":
+            return F.first(c).over(later).alias(f"scan before {i}")
         return (F.sum(c) if kind in ("sum", "number") else F.max(c) if kind == "max" else F.last(c, ignorenulls=True)).over(earlier).alias(f"scan before {i}")
 
     carried = sums.select(*(F.col(c).alias(f"{c} of key") for c in by), F.col(_BLOCK).alias("scan block of key"), *(before(i, kind) for i, (_, (kind, _)) in numbered))
@@ -133,7 +139,7 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[s
 
 
 def _field(kind: str, c: Column) -> Column:
-    return c["v"] if kind == "previous" else c
+    return c["v"] if kind in ("previous", "next") else c
 
 
 #: Ranges that stay with each page's task in a broadcast: of all keys, and of one.
