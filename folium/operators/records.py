@@ -79,10 +79,14 @@ def header_or_fallback(headers: DataFrame, fallback: DataFrame, key: str = "slug
 _ORDER = ["page_first", "ordinal", "line_no"]
 
 
+def _lines(chunks: DataFrame) -> DataFrame:
+    """Trimmed lines of ordered chunks."""
+    return chunks.select("source", "page_first", "ordinal", F.posexplode(lines("text")).alias("line_no", "line")).withColumn("line", strip_ws("line"))
+
+
 def _segments(chunks: DataFrame, starts: Column) -> DataFrame:
     """Lines of ordered chunks with `segment`, which counts the starts so far."""
-    each = chunks.select("source", "page_first", "ordinal", F.posexplode(lines("text")).alias("line_no", "line")).withColumn("line", strip_ws("line"))
-    return scan(each, ["source"], _ORDER, {"segment": ("sum", F.when(starts, 1).otherwise(0))})
+    return scan(_lines(chunks), ["source"], _ORDER, {"segment": ("sum", F.when(starts, 1).otherwise(0))})
 
 
 def numbered_items(chunks: DataFrame, item: str = r"^(\d{2,3})\)\s+(.+)$", reference: str = r"^\(\d{2,3}\)\s+\S") -> DataFrame:
@@ -101,7 +105,7 @@ def spreadsheet_records(chunks: DataFrame, least: int = 10) -> DataFrame:
 
     A record starts at a number of at most three digits (four are a year) before a capitalised line.
     """
-    each = scan(_segments(chunks, F.lit(False)).where("line <> ''"), ["source"], _ORDER, {"next": ("next", F.col("line"))})
+    each = scan(_lines(chunks).where("line <> ''"), ["source"], _ORDER, {"next": ("next", F.col("line"))})
     start = F.col("line").rlike(r"^\d{1,3}$") & F.col("next").rlike(r"^\p{Lu}\p{L}")
     marked = scan(each, ["source"], _ORDER, {"record": ("sum", F.coalesce(start, F.lit(False)).cast("int"))}).where("record > 0")
     per = marked.groupBy("source", "record").agg(F.array_sort(F.collect_list(F.struct("page_first", "ordinal", "line_no", "line"))).alias("l")).withColumn("f", F.transform("l", lambda x: x["line"])).where(F.size("f") >= least)
@@ -119,7 +123,7 @@ def triple_blocks(chunks: DataFrame, header: str) -> DataFrame:
 
 def place_pairs(chunks: DataFrame, institution: str, neighbourhoods: dict[str, str], capital_state: str) -> DataFrame:
     """(source, name, city): an institution line and the city line below it; neighbourhoods stand for their capital; later pairs win."""
-    each = scan(_segments(chunks, F.lit(False)).where("line <> ''"), ["source"], _ORDER, {"city": ("next", F.col("line")), "seq": ("number", F.lit(1))})
+    each = scan(_lines(chunks).where("line <> ''"), ["source"], _ORDER, {"city": ("next", F.col("line")), "seq": ("number", F.lit(1))})
     table = F.create_map(*(F.lit(x) for pair in neighbourhoods.items() for x in pair)) if neighbourhoods else F.create_map().cast("map<string,string>")
     found = each.where(F.col("line").rlike(institution) & F.col("city").isNotNull()).select("source", F.col("line").alias("name"), F.coalesce(F.element_at(table, F.col("city")), "city").alias("city"), "seq")
     last = Window.partitionBy("source", "name").orderBy(F.desc("seq"))
