@@ -108,7 +108,8 @@ def scan(df: DataFrame, by: Sequence[str], order: Sequence[str], columns: dict[s
     """df with a column for each name: (kind, value) scanned in ascending `order` within `by`.
 
     Kinds are those of KINDS; nulls come first in the order, rows without a key are
-    a key of their own, rows of equal order lie in any order. df's own column of a
+    a key of their own, rows of equal order lie in any order. The keys of df are
+    counted before it is scanned, so write it first if they are dear to work out. df's own column of a
     name is replaced. An empty table gives no rows. Names of df may not be those of
     _BLOCK and _CUTS.
     """

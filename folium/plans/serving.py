@@ -61,9 +61,12 @@ def _g1(spark, d):
     return g.list_profiles(_profiles(spark, d), 1, 20, name="1", city="BUILD", kind="vitima").select("slug", "name", "total")
 
 
-@_register("g1_literal_wildcards", _PROFILES + "SELECT slug FROM live WHERE contains(lower(name), '%0_')")
+@_register("g1_literal_wildcards", _PROFILES + "SELECT slug FROM live WHERE contains(CASE right(slug, 1) WHEN '7' THEN '50%0_x' WHEN '8' THEN '50x0yx' ELSE lower(name) END, '%0_')")
 def _g1b(spark, d):
-    return g.filter_profiles(_profiles(spark, d), name="%0_").select("slug")
+    """A tenth of the names hold the marks, another tenth what they would stand for in a pattern."""
+    last = F.substring("slug", -1, 1)
+    named = _profiles(spark, d).withColumn("name", F.when(last == "7", "50%0_X").when(last == "8", "50X0yX").otherwise(F.col("name")))
+    return g.filter_profiles(named, name="%0_").select("slug")
 
 
 @_register("g2_period_overlap", _PROFILES + "SELECT slug FROM profiles WHERE (last IS NULL OR last >= DATE '1994-01-01') AND (first IS NULL OR first <= DATE '1995-12-31')")

@@ -11,6 +11,7 @@ from folium.functions import text as t
 from folium.operators import chunks as k
 from folium.operators import quality as q
 from folium.operators import sections as s
+from folium.sources.shared import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -212,7 +213,14 @@ def _chunks(p: DataFrame) -> DataFrame:
 _register("k3_pack_chunks")(lambda p: _chunks(p).select("source", "ordinal", "pages", "section", "tokens", F.md5("text").alias("digest")))
 _register("k7_split_overlong")(lambda p: k.split_overlong(p.withColumn("tokens", k.count_tokens("text"))).select("page", "part", "tokens"))
 _register("k8_renumber", "SELECT source, page, row_number() OVER (PARTITION BY source ORDER BY page) - 1 AS ordinal FROM p")(lambda p: k.renumber(p, ["page"]).select("source", "page", F.col("ordinal").cast("long").alias("ordinal")))
-_register("chunk_stats")(lambda p: k.chunk_stats(_chunks(q.quality_gate(p.withColumn("text", t.collapse_blank(t.normalize_space(F.col("text"))))))))
+
+
+def _cleaned(p: DataFrame) -> DataFrame:
+    """Cleaned pages that pass the gate, written once: labels and chunks read them several times."""
+    return written(q.quality_gate(p.withColumn("text", t.collapse_blank(t.normalize_space(F.col("text"))))), "pages-cleaned")
+
+
+_register("chunk_stats")(lambda p: k.chunk_stats(_chunks(_cleaned(p))))
 _register("k10_chunk_stats", f"SELECT source, count(*) AS chunks, min(n) AS min_tokens, median(n) AS median_tokens, max(n) AS max_tokens, count(*) FILTER (n > 512) AS over_limit, avg((page % 3 > 0)::INT) AS with_section FROM (SELECT *, {_TOKENS.format('text')} AS n FROM p) GROUP BY source")(
     lambda p: k.chunk_stats(p.withColumns({"tokens": k.count_tokens("text").cast("long"), "section": F.when(F.col("page") % 3 > 0, "s")}))
 )
