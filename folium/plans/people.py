@@ -139,6 +139,7 @@ def _m19(spark, d):
 
 # ------------------------------------------------------------------ records
 
+#: Labels of the documents' forms, here and in the queries below.
 _BLOCK = "Filiação: Ana e José\nData e local de nascimento: 1/2/50, Curitiba (PR)\nData e local de morte: 3/4/1970\n"
 
 
