@@ -473,11 +473,12 @@ def _io11_parts(spark, d):
     return parts.select("name", "place", "title", "ordinal", F.md5("part").alias("digest"))
 
 
-@_register("t1_quota_flags", """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id::VARCHAR AS key, event_id AS id, floor(epoch_ms(ts) / 100000)::BIGINT AS ts_ms FROM events),
-w(key, began) AS (SELECT key, min(ts_ms) FROM e GROUP BY key UNION ALL SELECT w.key, min(e.ts_ms) FROM w JOIN e ON e.key = w.key AND e.ts_ms >= w.began + 60000 GROUP BY w.key),
-x AS (SELECT e.*, (SELECT max(began) FROM w WHERE w.key = e.key AND w.began <= e.ts_ms) AS began FROM e)
-SELECT key, id, ts_ms, row_number() OVER (PARTITION BY key, began ORDER BY ts_ms, id) <= 20 AS allowed FROM x""")
+# epoch_ms rounds microseconds up, so the SQL counts in these
+@_register("t1_quota_flags", """WITH RECURSIVE e AS MATERIALIZED (SELECT user_id::VARCHAR AS key, event_id AS id, floor(epoch_us(ts) / 100000000)::BIGINT AS ts_ms FROM events),
+w(key, began) AS (SELECT key, min(ts_ms) FROM e GROUP BY key UNION ALL SELECT w.key, min(e.ts_ms) FROM w JOIN e ON e.key IS NOT DISTINCT FROM w.key AND e.ts_ms >= w.began + 60000 GROUP BY w.key),
+x AS (SELECT e.*, (SELECT max(began) FROM w WHERE w.key IS NOT DISTINCT FROM e.key AND w.began <= e.ts_ms) AS began FROM e)
+SELECT key, id, ts_ms, ts_ms IS NOT NULL AND row_number() OVER (PARTITION BY key, began ORDER BY ts_ms, id NULLS FIRST) <= 20 AS allowed FROM x""")
 def _t1(spark, d):
-    """Users are keys; a hundredth of a second here is one there, so that quotas fill."""
+    """Users are keys; 100 whole seconds here are a millisecond there, so that quotas fill."""
     e = _table(spark, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.floor(F.unix_millis(F.col("ts").cast("timestamp_ltz")) / 100_000).alias("ts_ms"))
     return quota_flags(e)

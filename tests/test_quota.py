@@ -2,10 +2,13 @@
 
 import random
 import time
+from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from folium.plans.registry import ORACLE_SQL, QUERIES
 from folium.streaming import quota
 
 
@@ -32,3 +35,16 @@ def test_one_key_of_a_million_requests(spark):
     # a request each 7 ms: a window opens with each 8,572nd
     assert out.where(F.col("allowed") != (F.col("id") % 8572 < 20)).count() == 0
     assert time.time() - began < 60
+
+
+def test_query_matches_sql_where_times_lie_just_before_a_unit(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(seconds=100 * (i + 1), microseconds=-1 - i), 7) for i in range(5)]
+    # equal times without an id, of users that are null, and rows without a time
+    rows += [(None if i < 15 else i, start, 8) for i in range(30)] + [(i, start + timedelta(days=40 * (i % 2)), None) for i in range(60)] + [(99, None, 7)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["t1_quota_flags"](spark, str(tmp_path)).select("key", "id", "ts_ms", "allowed").collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    said = con.sql(f"SELECT key, id, ts_ms, allowed FROM ({ORACLE_SQL['t1_quota_flags']})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, said))
