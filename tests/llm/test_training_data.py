@@ -843,3 +843,20 @@ def test_pipeline_stages_on_awkward_rows(spark):
     nothing = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, d).count() == 0
+
+
+def test_near_duplicates_leave_neither_sets_nor_shuffle_files(spark):
+    import os
+
+    from folium.llm import jaccard
+    from folium.llm.common import shared_dir
+
+    words = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, " ".join(words[i % 5 :] + [f"x{i // 5}"] * (i % 2))) for i in range(40)], "doc_id long, text string")
+    before = set(os.listdir(shared_dir(spark)))
+    found = jaccard.near_duplicates(docs)
+    assert found.count() == 40
+    assert found.select("component_id").distinct().count() == 1
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(shared_dir(spark))) - before}
+    assert "jaccard-rows" in left
+    assert not left & {"jaccard-prefixes", "jaccard-of-class", "jaccard-sets"}
