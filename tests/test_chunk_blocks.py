@@ -45,3 +45,16 @@ def test_one_run_of_a_million_units(spark):
     prefix_chunks = chunks.greedy([t for _, t, _ in rows], [p for _, _, p in rows])
     told = out.groupBy("chunk").agg(F.min("uid").alias("a"), F.max("uid").alias("b"), F.count(F.lit(1)).alias("n")).orderBy("chunk").toPandas()
     assert [(c[0], c[-1], len(c)) for c in prefix_chunks] == list(zip(told.a, told.b, told.n, strict=True))
+
+
+def test_overlong_texts_are_counted_once(spark):
+    from time import time
+
+    text = " ".join(f"a{i} b, c." for i in range(60_000))
+    df = spark.createDataFrame([("s", text)], "source string, text string").withColumn("tokens", chunks.count_tokens("text"))
+    began = time()
+    parts = chunks.split_overlong(df, 20_000).select("part", "tokens").collect()
+    assert time() - began < 20
+    assert sum(r.tokens for r in parts) == 300_000
+    assert max(r.tokens for r in parts) <= 19_998
+    assert len(parts) == 16
