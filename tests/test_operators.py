@@ -240,3 +240,17 @@ def test_item_records(spark):
     c = spark.createDataFrame([("s", 1, 1, "001) Ana\nfirst\n(07) Other\nlost"), ("s", 2, 2, "002) Rui\nx"), ("s", 3, 3, "more\n001) Ana B\nlast")], "source string, page_first int, ordinal int, text string")
     got = {r.number: (r.name, r.page, r.text) for r in records.numbered_items(c).collect()}
     assert got == {1: ("Ana B", 3, "last"), 2: ("Rui", 2, "x\nmore")}
+
+
+def test_running_section_goes_through_a_page_once(spark):
+    from time import time
+
+    from folium.operators import sections
+
+    body = "\n".join(f"line {i}" for i in range(5000))
+    pages = spark.createDataFrame([(1, "7 – Title\n" + body), (2, body + "\n8 - Last"), (3, None), (4, "")], "page long, text string")
+    began = time()
+    out = {r.page: r for r in sections.running_section(pages, 20).collect()}
+    assert time() - began < 20
+    assert [out[i].detected for i in (1, 2, 3, 4)] == ["7 – Title", "8 - Last", None, None]
+    assert [out[i].text for i in (1, 2, 3, 4)] == [body, body, None, ""]
