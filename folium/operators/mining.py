@@ -10,11 +10,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from folium.functions.text import CONNECTIVES, MONTHS, fold_text, strip_ws
-from folium.sources.shared import written
+from folium.sources.shared import bounded_batches, written
 
 WIDTH, REACH, AFTER_COST = 130, 160, 40
 #: Confidence, best first.
@@ -34,13 +34,22 @@ def term_windows(chunks: DataFrame, term: str, noise: Sequence[str] = (), width:
     """One row per occurrence of the term: start, end, term, window, at (the term's place in the window); noisy windows are dropped."""
     found = re.compile(term, re.I)
 
-    @pandas_udf(WINDOW_STRUCT)
-    def run(texts: pd.Series) -> pd.Series:
-        def of(text: str) -> list[dict]:
-            return [{"start": m.start(), "end": m.end(), "term": m[0], "window": text[max(0, m.start() - width) : m.end() + width], "at": min(width, m.start())} for m in found.finditer(text)]
-
-        return texts.map(of, na_action="ignore")
-
+    @arrow_udf(WINDOW_STRUCT)
+    def run(texts: pa.Array) -> pa.Array:
+        offsets, start, end, terms, windows = [0], [], [], [], []
+        for value in texts:
+            text = value.as_py() or ""
+            for m in found.finditer(text):
+                start.append(m.start())
+                end.append(m.end())
+                terms.append(m[0])
+                windows.append(text[max(0, m.start() - width) : m.end() + width])
+            offsets.append(len(start))
+        at = [min(width, a) for a in start]
+        fields = [pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(terms, pa.string()), pa.array(windows, pa.string()), pa.array(at, pa.int32())]
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(fields, ["start", "end", "term", "window", "at"]))
+
+    bounded_batches(chunks.sparkSession)
     each = prefilter(chunks, term).withColumn("w", F.explode(run("text"))).select(*chunks.columns, "w.*")
     for phrase in noise:
         each = each.where(~F.col("window").rlike(f"(?i){phrase}"))

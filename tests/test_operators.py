@@ -254,3 +254,18 @@ def test_running_section_goes_through_a_page_once(spark):
     assert time() - began < 20
     assert [out[i].detected for i in (1, 2, 3, 4)] == ["7 – Title", "8 - Last", None, None]
     assert [out[i].text for i in (1, 2, 3, 4)] == [body, body, None, ""]
+
+
+def test_windows_and_vectors_are_made_in_bounded_batches(spark):
+    from folium.operators import mining, search
+
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.createDataFrame([(1, "The other one"), (2, None), (3, "none")], "doc_id long, text string")
+    for make in (lambda: mining.term_windows(df, "the", width=3), lambda: search.embed(df)):
+        spark.conf.unset(rows)
+        spark.conf.unset(size)
+        out = make()
+        assert (spark.conf.get(rows), spark.conf.get(size)) == ("2000", str(8 << 20))
+        assert out.count() == (2 if "window" in out.columns else 3)
+    found = mining.term_windows(df, "the", width=3).orderBy("start").collect()
+    assert [(r.start, r.end, r.term, r.window, r["at"]) for r in found] == [(0, 3, "The", "The ot", 0), (5, 8, "the", "e other on"[:9], 3)]
