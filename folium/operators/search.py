@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.text import cut_with_mark
-from folium.sources.shared import written
+from folium.sources.shared import bounded_batches, written
 
 Encoder = Callable[[list[str]], np.ndarray]
 PREFIX = {"index": "passage: ", "search": "query: "}
@@ -38,12 +38,13 @@ def embed(df: DataFrame, role: str = "index", make_encoder: Callable[[], Encoder
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make_encoder()
+        norm = lambda v: (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
         for pdf in batches:
-            texts = [PREFIX[role] + (t or "") for t in pdf[text]]
-            vectors = [v for at in range(0, len(texts), batch) for v in encode(texts[at : at + batch])]
-            norm = lambda v: (v / (np.linalg.norm(v) or 1.0)).astype(np.float32)
-            yield pdf.assign(embedding=[norm(np.asarray(v, float)) for v in vectors])
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                yield part.assign(embedding=[norm(np.asarray(v, float)) for v in encode([PREFIX[role] + (t or "") for t in part[text]])])
 
+    bounded_batches(df.sparkSession)
     return df.mapInPandas(run, f"struct<{schema}>")
 
 
