@@ -176,6 +176,62 @@ def test_bitmaps_never_rule_out_similar_sets():
         assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(a, b))
 
 
+def long_texts(spark):
+    """Texts of 900 to 5,000 words in threes: half of each three's words are alike, or nearly all are, around the sizes where sets are cut into more slices."""
+    rng = random.Random(12)
+    word, rows = lambda: "".join(rng.choices("abcdefgh", k=6)), []
+    for x in range(24):
+        words = [word() for _ in range(rng.choice([900, 1020, 1100, 2040, 2100, 4200, 5000]))]
+        for _ in range(3):
+            own = [word() for _ in words]
+            cut = len(words) // 2 if x % 2 else len(words) - rng.randrange(len(words) // 6)
+            rows.append(" ".join(words[:cut] + own[cut:] if x % 4 < 2 else words[:cut] + own[: len(words) // 20]))
+    return spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+
+
+def test_long_texts_that_share_half_leave_no_pairs(spark, monkeypatch):
+    df, written = long_texts(spark), {}
+    keep = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", lambda frame, name, **o: written.setdefault(name, []).append(keep(frame, name, **o)) or written[name][-1])
+    monkeypatch.setattr(jaccard, "pivot_pairs", lambda met: met.select(met["class"].alias("u"), met["class"].alias("v")).limit(0))
+    monkeypatch.setattr(jaccard, "fingerprint_pairs", lambda classes: classes.select(classes["class"].alias("u"), classes["class"].alias("v")).limit(0))
+    want = sorted(zip((r.doc_id for r in df.collect()), plain_similar(df.collect()), strict=True))
+    # without leads all links are found by slices
+    assert sorted(map(tuple, jaccard.near_duplicates(df).collect())) == want
+    assert 30 < len(set(c for _, c in want)) < 72
+    links = written["jaccard-confirmed"][1].count()
+    assert links <= written["jaccard-pairs"][0].count() <= links + 10
+
+
+def test_similar_sets_are_similar_in_a_slice():
+    rng = np.random.default_rng(6)
+    often = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for _ in range(150):
+        n = int(rng.choice([1, 5, 900, 1000, 1030, 1300, 2050, 2500, 8000, 8200]))
+        shared, more = np.unique(rng.integers(0, 1 << 63, n)).astype(np.uint64), rng.integers(0, 1 << 63, n // 4 + 1).astype(np.uint64)
+        to = int(rng.integers(0, len(more) + 1))
+        a, b = np.unique(np.r_[shared, more[: to // 2]]), np.unique(np.r_[shared, more[to // 2 : to]])
+        if not jaccard.similar(a, b):
+            continue
+        r = jaccard.slices_of(max(len(a), len(b)))
+        x, y = ({i: part for i, part in jaccard.slices(s) if r <= i < 2 * r} for s in (a, b))
+        assert sum(map(len, x.values())) == len(a)
+        assert sum(map(len, y.values())) == len(b)
+        assert max(map(len, x.values())) < 2 * jaccard.BITMAP
+        assert any(jaccard.similar(x[i], y[i]) and len(np.intersect1d(jaccard.prefix(x[i], often), jaccard.prefix(y[i], often))) for i in x.keys() & y.keys())
+
+
+def test_a_pair_is_named_at_few_of_the_places_where_it_meets():
+    n = 500
+    same = np.arange(n)
+    before = np.stack([np.r_[[-1] * k, same[: n - k]] for k in range(1, jaccard.BEFORE + 1)], axis=1)
+    two = lambda a, b: np.stack([a, b], axis=1).reshape(2 * n, *a.shape[1:])
+    ones, bits = np.ones(2 * n, np.int64), np.zeros((2 * n, jaccard.BITMAP // 64), np.uint64)
+    lacks = two(np.where(before < 0, -2, before), np.where(before < 0, -3, before))
+    made = jaccard._pairs(np.repeat(same, 2), two(same * 0, same * 0 + 1), ones > 0, ones * 0, two(same * 0 + 7, same * 0 + 8), 900 * ones, ones, 900 * ones, bits, lacks)
+    assert [(r["u"], r["v"]) for batch in made for r in batch.to_pylist()] == [(7, 8)]
+
+
 def test_pipeline_removes_similar_texts(spark):
     import corpus_pipeline
 
