@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 RINGS = "array<array<array<array<double>>>>"
 
@@ -51,35 +52,44 @@ def circle(lon: Column, lat: Column, km: Column, n: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.array(lon + dx * F.cos(angle(i)), lat + km / 111.0 * F.sin(angle(i))))
 
 
+#: Points that are tested one by one; numpy takes over above.
+FEW = 24
+
+
 class _Vertices:
     """The vertices that are left of a geometry's rings, found by place."""
 
-    def __init__(self, points: np.ndarray) -> None:
-        self.points, self.low = points, points.min(axis=0)
-        self.side = max(float((points.max(axis=0) - self.low).max()) / max(1.0, np.sqrt(len(points))), 1e-12)
+    def __init__(self, points: list[tuple[float, float]]) -> None:
+        xs, ys = [p[0] for p in points], [p[1] for p in points]
+        self.points, self.x, self.y = points, min(xs), min(ys)
+        self.side = max(max(max(xs) - self.x, max(ys) - self.y) / max(1.0, math.sqrt(len(points))), 1e-12)
         self.cells: dict[tuple[int, int], set[int]] = {}
-        for i, cell in enumerate(map(tuple, self._cell(points).tolist())):
-            self.cells.setdefault(cell, set()).add(i)
+        for i, (x, y) in enumerate(points):
+            self.cells.setdefault(self._cell(x, y), set()).add(i)
 
-    def _cell(self, p: np.ndarray) -> np.ndarray:
-        return np.floor((p - self.low) / self.side).astype(np.int64)
+    def _cell(self, x: float, y: float) -> tuple[int, int]:
+        return math.floor((x - self.x) / self.side), math.floor((y - self.y) / self.side)
 
     def remove(self, i: int) -> None:
-        self.cells[tuple(self._cell(self.points[i]).tolist())].discard(i)
+        self.cells[self._cell(*self.points[i])].discard(i)
 
     def inside(self, corners: tuple[int, int, int]) -> bool:
         """Whether a vertex that isn't a corner lies in the triangle of three, or on its border."""
-        t = self.points[list(corners)]
-        low, high = self._cell(t.min(axis=0)).tolist(), self._cell(t.max(axis=0)).tolist()
-        spots = [(x, y) for x in range(low[0], high[0] + 1) for y in range(low[1], high[1] + 1)] if (high[0] - low[0] + 1) * (high[1] - low[1] + 1) <= len(self.cells) else [c for c in self.cells if low[0] <= c[0] <= high[0] and low[1] <= c[1] <= high[1]]
-        near = [i for c in spots for i in self.cells.get(c, ()) if i not in corners]
-        if not near:
-            return False
-        p = self.points[near]
-        turn = lambda a, b: (b[0] - a[0]) * (p[:, 1] - a[1]) - (b[1] - a[1]) * (p[:, 0] - a[0])
-        sides = np.stack([turn(t[0], t[1]), turn(t[1], t[2]), turn(t[2], t[0])])
-        within = (sides >= 0).all(axis=0) | (sides <= 0).all(axis=0)
-        return bool((within & (p >= t.min(axis=0)).all(axis=1) & (p <= t.max(axis=0)).all(axis=1)).any())
+        (ax, ay), (bx, by), (cx, cy) = (self.points[i] for i in corners)
+        low_x, high_x, low_y, high_y = min(ax, bx, cx), max(ax, bx, cx), min(ay, by, cy), max(ay, by, cy)
+        (x0, y0), (x1, y1) = self._cell(low_x, low_y), self._cell(high_x, high_y)
+        spots = [(x, y) for x in range(x0, x1 + 1) for y in range(y0, y1 + 1)] if (x1 - x0 + 1) * (y1 - y0 + 1) <= len(self.cells) else [c for c in self.cells if x0 <= c[0] <= x1 and y0 <= c[1] <= y1]
+        for c in spots:
+            for i in self.cells.get(c, ()):
+                x, y = self.points[i]
+                if i in corners or not (low_x <= x <= high_x and low_y <= y <= high_y):
+                    continue
+                one = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+                two = (cx - bx) * (y - by) - (cy - by) * (x - bx)
+                three = (ax - cx) * (y - cy) - (ay - cy) * (x - cx)
+                if (one >= 0 and two >= 0 and three >= 0) or (one <= 0 and two <= 0 and three <= 0):
+                    return True
+        return False
 
 
 def _deviation(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
@@ -89,6 +99,18 @@ def _deviation(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> float:
     return float(np.sqrt((((p - a) - along[:, None] * d) ** 2).sum(axis=1)).max())
 
 
+def _deviation_of_few(points: list[tuple[float, float]], a: tuple[float, float], b: tuple[float, float]) -> float:
+    """_deviation() without arrays, which cost more than the sums for a few points."""
+    (ax, ay), dx, dy = a, b[0] - a[0], b[1] - a[1]
+    length, most = dx * dx + dy * dy or 1.0, 0.0
+    for px, py in points:
+        x, y = px - ax, py - ay
+        along = min(max((x * dx + y * dy) / length, 0.0), 1.0)
+        x, y = x - along * dx, y - along * dy
+        most = max(most, x * x + y * y)
+    return math.sqrt(most)
+
+
 def simplified(polygons: list[list[list[list[float]]]], tolerance: float) -> list[list[list[list[float]]]]:
     """The rings with fewer vertices, none of the old ones further than the tolerance from the new ring.
 
@@ -97,14 +119,14 @@ def simplified(polygons: list[list[list[list[float]]]], tolerance: float) -> lis
     cross themselves or each other never come to, and holes stay inside. A ring
     keeps its first vertex and at least two more; short or open ones stay as they are.
     """
-    rings = [np.array(r, float)[:, :2] for p in polygons for r in p if r]
-    shrinks = [len(r) > 4 and bool((r[0] == r[-1]).all()) and bool(np.isfinite(r).all()) for r in rings]
-    if not any(shrinks) or not all(np.isfinite(r).all() for r in rings):
+    rings = [[(v[0], v[1]) for v in r] for p in polygons for r in p if r]
+    shrinks = [len(r) > 4 and r[0] == r[-1] for r in rings]
+    if not any(shrinks) or not all(c is not None and math.isfinite(c) for r in rings for v in r for c in v):
         return polygons
     bodies = [r[:-1] if s else r for r, s in zip(rings, shrinks, strict=True)]
-    points = np.concatenate(bodies)
+    points = [v for body in bodies for v in body]
     left = _Vertices(points)
-    kept, first = np.ones(len(points), bool), 0
+    kept, first = [True] * len(points), 0
     for body, shrink in zip(bodies, shrinks, strict=True):
         if shrink:
             _shrink(points, left, kept, first, len(body), tolerance)
@@ -123,13 +145,17 @@ def simplified(polygons: list[list[list[list[float]]]], tolerance: float) -> lis
     return out
 
 
-def _shrink(points: np.ndarray, left: _Vertices, kept: np.ndarray, first: int, n: int, tolerance: float) -> None:
+def _shrink(points: list[tuple[float, float]], left: _Vertices, kept: list[bool], first: int, n: int, tolerance: float) -> None:
     before, after = [(i - 1) % n for i in range(n)], [(i + 1) % n for i in range(n)]
+    ring = points[first : first + n]
+    twice = np.array(ring + ring) if n > FEW else None
 
     def matters(i: int) -> float:
         a, b = before[i], after[i]
-        between = np.arange(a + 1, b if b > a else b + n) % n
-        return _deviation(points[first + between], points[first + a], points[first + b])
+        end = b if b > a else b + n
+        if end - a - 1 > FEW:
+            return _deviation(twice[a + 1 : end], twice[a], twice[b])
+        return _deviation_of_few(ring[a + 1 : end] if end <= n else ring[a + 1 :] + ring[:b], ring[a], ring[b])
 
     queue = [(matters(i), i) for i in range(1, n)]
     heapq.heapify(queue)
@@ -157,11 +183,12 @@ def _shrink(points: np.ndarray, left: _Vertices, kept: np.ndarray, first: int, n
 def simplify_rings(tolerance: float = 0.01):
     """A vectorised function of polygons: simplified() of each; null stays null."""
 
-    @pandas_udf(RINGS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        plain = lambda g: [[[[float(x) for x in v] for v in r] for r in p] for p in g]
+    kind = pa.list_(pa.list_(pa.list_(pa.list_(pa.float64()))))
+
+    @arrow_udf(RINGS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for polygons in batches:
-            yield polygons.map(lambda g: simplified(plain(g), tolerance), na_action="ignore")
+            yield pa.array([None if g is None else simplified(g, tolerance) for g in polygons.to_pylist()], kind)
 
     return run
 

@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -157,6 +158,21 @@ def test_circle_and_simplify(spark):
     assert df.select(geo.simplify_rings(0.01)("g").alias("x")).first().x[0][0] == [[0.0, 0.0], [4.0, 0.0], [4.0, 4.0], [0.0, 4.0], [0.0, 0.0]]
 
 
+def test_small_rings_need_no_arrays(spark, monkeypatch):
+    rings = [[[0.0, 0.0], [1.0, 0.0], [2.0, 0.001], [4.0, 0.0], [4.0, 4.0], [2.0, 4.005], [0.0, 4.0], [0.0, 0.0]], [[2.0, 4.003], [1.9, 3.9], [2.1, 3.9], [2.0, 4.003]]]
+    circle = [[[math.cos(x * math.pi / 100), math.sin(x * math.pi / 100)] for x in range(200)] + [[1.0, 0.0]]]
+    several = geo.simplified([circle], 0.01)
+    monkeypatch.setattr(geo, "FEW", 1000)
+    assert geo.simplified([circle], 0.01) == several
+    assert 10 < len(several[0][0]) < 50
+    monkeypatch.setattr(geo, "np", None)  # a few points cost less without
+    assert geo.simplified([rings], 0.01) == [[[v for i, v in enumerate(rings[0]) if i not in (1, 2)], rings[1]]]
+    monkeypatch.undo()
+    hole = [[[0.0, 0.0], [None, 1.0], [1.0, 1.0], [1.0, 0.0], [0.0, 0.0]]]
+    df = spark.createDataFrame([(1, [hole]), (2, None), (3, []), (4, [[]])], "k int, g array<array<array<array<double>>>>")
+    assert {r.k: r.x for r in df.select("k", geo.simplify_rings(0.01)("g").alias("x")).collect()} == {1: [hole], 2: None, 3: [], 4: [[]]}
+
+
 def test_quota():
     flags, start, count = quota.judge([0] * 21, None, 0)
     assert flags == [True] * 20 + [False] and (start, count) == (0, 20)
